@@ -1 +1,278 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for regression, diagnostics and time-series models (G,
+F9/F10/F13/F16/F17/F22, E2/E8, A9)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from pricewise.functions.linalg import ols_by_group
+from pricewise.operators import diagnostics as D
+from pricewise.operators import regress as M
+from pricewise.operators import series as S
+from pricewise.operators import tsmodels as T
+from pricewise.operators.anomaly import isolation_anomalies
+from pricewise.operators.features import split_hash
+from pricewise.plans.q_series import BY, FILLED, filled_daily
+from pricewise.plans.registry import register, rounded
+from pricewise.session import checkpoint_dir
+from pricewise.sources.fixtures import fixture, with_fixture
+
+EPS = "2.220446049250313e-16"
+
+
+# ------------------------------------------------------------- G1, G7, G8
+@register("g01_eval_metrics", with_fixture("fx_residuals", f"""
+SELECT round(avg(abs(actual - predicted)), 9) AS MAE,
+       round(avg(abs(actual - predicted) / greatest(abs(actual), {EPS})), 9) AS MAPE,
+       round(avg(pow(actual - predicted, 2)), 6) AS MSE,
+       round(sqrt(avg(pow(actual - predicted, 2))), 9) AS RMSE,
+       round(1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(actual)), 9) AS r2
+FROM fx_residuals"""))
+def q_eval(spark, sf_dir):
+    out = D.eval_metrics(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted")
+    return rounded(out, {"MAE": 9, "MAPE": 9, "MSE": 6, "RMSE": 9, "r2": 9})
+
+
+@register("g07_compare_models", with_fixture("fx_residuals", """
+, s AS (SELECT 'group_mean' AS model, actual, predicted FROM fx_residuals
+        UNION ALL SELECT 'global_mean', actual, (SELECT avg(actual) FROM fx_residuals) FROM fx_residuals)
+SELECT model, round(avg(abs(actual - predicted)), 9) AS MAE,
+       round(avg(abs(actual - predicted) / greatest(abs(actual), 2.220446049250313e-16)), 9) AS MAPE,
+       round(avg(pow(actual - predicted, 2)), 6) AS MSE, round(sqrt(avg(pow(actual - predicted, 2))), 9) AS RMSE,
+       round(1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(actual)), 9) AS r2
+FROM s GROUP BY model"""))
+def q_compare(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_residuals")
+    glob = fx.crossJoin(F.broadcast(fx.agg(F.avg("actual").alias("_m")))) \
+        .withColumn("predicted", F.col("_m")).drop("_m")  # one-row mean
+    out = D.compare_models({"group_mean": fx, "global_mean": glob}, "actual", "predicted")
+    return rounded(out, {"MAE": 9, "MAPE": 9, "MSE": 6, "RMSE": 9, "r2": 9})
+
+
+@register("g08_residuals", with_fixture("fx_residuals", """
+SELECT i, round(abs(actual) - abs(predicted), 9) AS residual FROM fx_residuals"""))
+def q_resid(spark, sf_dir):
+    out = D.residuals(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted")
+    return rounded(out.select("i", "residual"), 9)
+
+
+@register("g09_linearity_data", with_fixture("fx_residuals", """
+, r AS (SELECT min(actual) AS x0, max(actual) AS x1, min(predicted) AS y0, max(predicted) AS y1 FROM fx_residuals)
+SELECT CAST(CASE WHEN (x1 - x0) / 20 = 0 THEN 0 ELSE least(floor((actual - x0) / ((x1 - x0) / 20)), 19) END AS INTEGER) AS bx,
+       CAST(CASE WHEN (y1 - y0) / 20 = 0 THEN 0 ELSE least(floor((predicted - y0) / ((y1 - y0) / 20)), 19) END AS INTEGER) AS "by",
+       CAST(count(*) AS BIGINT) AS count
+FROM fx_residuals, r GROUP BY 1, 2"""))
+def q_linearity(spark, sf_dir):
+    pts, _ = D.linearity_data(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted", 20)
+    return pts
+
+
+# ------------------------------------------------------------- G2 OLS (k = 1 closed form)
+@register("g02_fit_ols", with_fixture("fx_listings", """
+SELECT 'intercept' AS term, round(regr_intercept(price, power), 6) AS coef FROM fx_listings
+UNION ALL SELECT 'power', round(regr_slope(price, power), 6) FROM fx_listings
+UNION ALL SELECT '_r2', round(regr_r2(price, power), 9) FROM fx_listings"""))
+def q_ols(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_listings")
+    out = ols_by_group(fx, [], ["power"], "price").where(F.col("term").isin("intercept", "power", "_r2"))
+    coef = F.when(F.col("term") == "_r2", F.round(F.col("coef") * 1e9, 0) / 1e9) \
+        .otherwise(F.round(F.col("coef") * 1e6, 0) / 1e6) + F.lit(0.0)
+    return out.select("term", coef.alias("coef"))
+
+
+# ------------------------------------------------------------- G10-G13
+@register("g10_normality_ad")
+def q_ad(spark, sf_dir):
+    fx = D.residuals(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted", signed=True)
+    return D.normality_ad(fx, "residual")
+
+
+@register("g11_vif", with_fixture("fx_listings", """
+, s AS (SELECT sum(kilometers * kilometers) AS xx, sum(power * power) AS yy, sum(kilometers * power) AS xy
+        FROM fx_listings WHERE kilometers IS NOT NULL AND power IS NOT NULL)
+SELECT 'kilometers' AS feature, round(1 / (1 - xy * xy / (xx * yy)), 6) AS vif FROM s
+UNION ALL SELECT 'power', round(1 / (1 - xy * xy / (xx * yy)), 6) FROM s"""))
+def q_vif(spark, sf_dir):
+    return rounded(D.vif(fixture(spark, sf_dir, "fx_listings"), ["kilometers", "power"]), 6)
+
+
+@register("g11_vif_summary")
+def q_vif_summary(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_listings")
+    return D.vif_summary(D.vif(fx, ["kilometers", "power", "cylinder", "age"]))
+
+
+@register("g12_durbin_watson", with_fixture("fx_residuals", """
+, r AS (SELECT i, actual - predicted AS e FROM fx_residuals),
+l AS (SELECT e, e - lag(e) OVER (ORDER BY i) AS de FROM r)
+SELECT CAST(count(*) AS BIGINT) AS n, round(sum(de * de) / sum(e * e), 9) AS durbin_watson,
+       CASE WHEN sum(de * de) / sum(e * e) < 1.5 THEN 'positive autocorrelation'
+            WHEN sum(de * de) / sum(e * e) > 2.5 THEN 'negative autocorrelation'
+            ELSE 'little to no autocorrelation' END AS verdict FROM l"""))
+def q_dw(spark, sf_dir):
+    fx = D.residuals(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted", signed=True)
+    return rounded(D.durbin_watson(fx, "residual", "i"), 9)
+
+
+@register("g13_residual_spread", with_fixture("fx_residuals", """
+, r AS (SELECT actual - predicted AS e, row_number() OVER (ORDER BY i) AS rk, count(*) OVER () AS n FROM fx_residuals)
+SELECT CAST(floor((rk - 1) * 10 / n) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n,
+       round(avg(e), 9) AS mean, round(stddev_samp(e), 9) AS std FROM r GROUP BY 1"""))
+def q_spread(spark, sf_dir):
+    fx = D.residuals(fixture(spark, sf_dir, "fx_residuals"), "actual", "predicted", signed=True)
+    return rounded(D.residual_spread(fx, "residual", "i", 10), 9)
+
+
+# ------------------------------------------------------------- G3-G6, E2, E8, A9 (pyspark.ml)
+_X = ["age", "year", "price"]
+
+
+def _ml_frame(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_listings")
+    return fx.where(F.col("power").isNotNull())
+
+
+@register("g06_cv_fold_sizes", with_fixture("fx_listings", """
+SELECT CAST((CAST(('0x' || substr(md5('42' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000) % 5 AS INTEGER) AS fold,
+       CAST(count(*) AS BIGINT) AS n FROM fx_listings WHERE power IS NOT NULL GROUP BY 1"""))
+def q_folds(spark, sf_dir):
+    return M.with_fold(_ml_frame(spark, sf_dir), "id", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scores(spark, cv, grid, names):
+    rows = [(str({n: s[0].get(n) for n in names}), s[1]) for s in M.cv_scores(cv, grid)]
+    return spark.createDataFrame(rows, "setting string, rmse double")
+
+
+@register("g03_lasso_cv")
+def q_lasso(spark, sf_dir):
+    cv, grid = M.fit_lasso_cv(_ml_frame(spark, sf_dir), "power", _X, "id")
+    return _scores(spark, cv, grid, ["regParam"])
+
+
+@register("g04_boosted_search")
+def q_gbt(spark, sf_dir):
+    cv, grid = M.fit_boosted_search(_ml_frame(spark, sf_dir), "power", _X, "id", n=3, folds=3)
+    return _scores(spark, cv, grid, ["maxDepth", "stepSize", "subsamplingRate", "minInfoGain",
+                                     "minInstancesPerNode"])
+
+
+@register("g05_gradient_search")
+def q_fm(spark, sf_dir):
+    cv, grid = M.fit_gradient_search(_ml_frame(spark, sf_dir), "power", _X, "id", n=3, folds=3)
+    return _scores(spark, cv, grid, ["factorSize", "maxIter", "regParam", "stepSize"])
+
+
+@register("e02_impute_by_forest")
+def q_impute_forest(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_listings").select("id", "age", "year", "trunk", "cylinder")
+    return M.impute_by_forest(fx, ["trunk", "cylinder"], ["age", "year"], "id",
+                              grid={"minInstancesPerNode": [3], "numTrees": [10, 20]}, folds=3)
+
+
+@register("e08_forest_importance")
+def q_importance(spark, sf_dir):
+    return M.forest_importance(_ml_frame(spark, sf_dir), "power", _X, "id", trees=20)
+
+
+@register("a09_save_load_pipeline")
+def q_save_load(spark, sf_dir):
+    fx = _ml_frame(spark, sf_dir)
+    train = fx.where(split_hash("id") < 800)
+    model = M.fit_scoring_pipeline(train, ["age", "kilometers", "price"], "power")
+    path = os.path.join(checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    M.save_pipeline(model, path)
+    again = M.load_pipeline(path)
+    a = model.transform(fx).select("id", F.col("prediction").alias("p1"))
+    b = again.transform(fx).select("id", F.col("prediction").alias("p2"))
+    return a.join(b, "id").select("id", "p1", "p2", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("same"))
+
+
+# ------------------------------------------------------------- F10, F13, F16, F17, F22, F9
+def _level_sql() -> str:
+    return FILLED + """
+, lv AS (SELECT series, pos, open - lag(open) OVER (PARTITION BY series ORDER BY d) AS dx,
+                lag(open) OVER (PARTITION BY series ORDER BY d) AS lvl FROM bf),
+ok AS (SELECT * FROM lv WHERE dx IS NOT NULL)"""
+
+
+@register("f10_adf_lag0", with_fixture("fx_daily", _level_sql() + """
+, r AS (SELECT series, regr_slope(dx, lvl) AS b, regr_sxx(dx, lvl) AS sxx, regr_syy(dx, lvl) AS syy,
+               regr_sxy(dx, lvl) AS sxy, count(*) AS n FROM ok GROUP BY series)
+SELECT series, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS adf_stat, CAST(n AS BIGINT) AS nobs FROM r"""))
+def q_adf0(spark, sf_dir):
+    out = T.adf_test(filled_daily(spark, sf_dir), BY, "_pos", "open", max_lag=0, autolag=None)
+    return rounded(out.select("series", "adf_stat", "nobs"), 6)
+
+
+@register("f10_adf_autolag")
+def q_adf(spark, sf_dir):
+    return T.adf_test(filled_daily(spark, sf_dir), BY, "_pos", "open")
+
+
+@register("f13_granger_lag1", with_fixture("fx_daily", FILLED + """
+, g AS (SELECT series, open AS y, lag(open) OVER w AS y1, lag(high) OVER w AS x1 FROM bf
+        WINDOW w AS (PARTITION BY series ORDER BY d)),
+v AS (SELECT * FROM g WHERE y1 IS NOT NULL),
+m AS (SELECT series, avg(y) AS my, avg(y1) AS m1, avg(x1) AS m2, count(*) AS n FROM v GROUP BY series),
+s AS (SELECT v.series, max(m.n) AS n, sum((y1 - m1) * (y1 - m1)) AS a, sum((y1 - m1) * (x1 - m2)) AS b,
+             sum((x1 - m2) * (x1 - m2)) AS c, sum((y1 - m1) * (y - my)) AS p, sum((x1 - m2) * (y - my)) AS q,
+             sum((y - my) * (y - my)) AS yy
+      FROM v JOIN m ON v.series = m.series GROUP BY v.series),
+r AS (SELECT series, n, yy - p * p / a AS ssr_r, yy - (c * p * p - 2 * b * p * q + a * q * q) / (a * c - b * b) AS ssr_u
+      FROM s)
+SELECT series, CAST(1 AS INTEGER) AS lag, round((ssr_r - ssr_u) / ssr_u * (n - 3), 6) AS f_stat,
+       round(n * (ssr_r - ssr_u) / ssr_u, 6) AS chi2 FROM r"""))
+def q_granger1(spark, sf_dir):
+    out = T.granger(filled_daily(spark, sf_dir), BY, "_pos", "open", "high", 1)
+    return rounded(out.select("series", "lag", "f_stat", "chi2"), 6)
+
+
+@register("f13_granger")
+def q_granger(spark, sf_dir):
+    return T.granger(filled_daily(spark, sf_dir), BY, "_pos", "open", "high", 5)
+
+
+@register("f16_fit_ar1", with_fixture("fx_daily", FILLED + """
+, a AS (SELECT series, open AS y, lag(open) OVER (PARTITION BY series ORDER BY d) AS y1 FROM bf)
+SELECT series, 'const' AS term, round(regr_intercept(y, y1), 4) AS coef FROM a GROUP BY series
+UNION ALL SELECT series, 'open_L1', round(regr_slope(y, y1), 9) FROM a GROUP BY series"""))
+def q_ar1(spark, sf_dir):
+    c = T.fit_ar(filled_daily(spark, sf_dir), BY, "_pos", "open", [1]).where(F.col("term").isin("const", "open_L1"))
+    coef = F.when(F.col("term") == "const", F.round(F.col("coef") * 1e4, 0) / 1e4) \
+        .otherwise(F.round(F.col("coef") * 1e9, 0) / 1e9) + F.lit(0.0)
+    return c.select("series", "term", coef.alias("coef"))
+
+
+@register("f16_ar_forecast")
+def q_ar_forecast(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    n = S.series_lengths(f, BY, "_pos")
+    train = f.join(F.broadcast(n), BY).where(F.col("_pos") <= F.col("_len") - 30).drop("_len")
+    test = f.join(F.broadcast(n), BY).where(F.col("_pos") > F.col("_len") - 30).drop("_len")
+    coefs = T.fit_ar(train, BY, "_pos", "open", [1, 2], ["high", "low"])
+    return T.forecast_ar(train, coefs, BY, "_pos", "open", [1, 2], test.select(*BY, "_pos", "high", "low"),
+                         ["high", "low"])
+
+
+@register("f17_arima_forecast")
+def q_arima(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    coefs = T.fit_arima(f, BY, "_pos", "open", (1, 1, 1))
+    return T.forecast_arima(f, coefs, BY, "_pos", "open", (1, 1, 1), h=30)
+
+
+@register("f22_forecast_backtest")
+def q_backtest(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    return T.forecast_backtest(f, BY, "_pos", "open", [(1, 1, 1), (1, 1, 2)], ["high", "low"], 30)
+
+
+@register("f09_isolation_anomalies")
+def q_iforest(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    return isolation_anomalies(f, ["open"], contamination=0.01, trees=50, seed=42) \
+        .select("series", "d", "open", "anomaly_score", "anomaly")

@@ -39,7 +39,8 @@ def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
             # round(x * 10^d) / 10^d: the same binary-value rounding DuckDB
             # applies, so exact halves of the decimal string cannot split
             m = float(10 ** d)
-            cols.append((F.round(F.col(f.name) * m, 0) / m).alias(f.name))
+            # ``+ 0.0`` turns a rounded -0.0 into 0.0 (as the SQL side does)
+            cols.append((F.round(F.col(f.name) * m, 0) / m + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

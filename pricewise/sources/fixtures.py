@@ -92,9 +92,10 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 FX_DAILY = """
 SELECT o_orderpriority AS series,
        CAST(o_orderdate AS DATE) AS d,
-       round(avg(o_totalprice), 4) AS open,
+       avg(o_totalprice) AS open,
        max(o_totalprice) AS high,
-       min(o_totalprice) AS low
+       min(o_totalprice) AS low,
+       max(o_totalprice) / min(o_totalprice) AS spread
 FROM orders
 GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)
 """

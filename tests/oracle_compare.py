@@ -78,7 +78,12 @@ def main():
         sql = registry.ORACLE.get(name)
         if sql is None:
             t0 = time.time()
-            n = fn(spark, sf_dir).count()
+            try:
+                n = fn(spark, sf_dir).count()
+            except Exception as e:  # report and continue
+                bad += 1
+                print(f"ERROR {name}: {type(e).__name__}: {str(e)[:600]}", flush=True)
+                continue
             print(f"ROWS-ONLY {name}: {n} rows {time.time() - t0:.1f}s", flush=True)
             continue
         try:
