@@ -98,3 +98,20 @@ def parameter_grid(spark, **lists) -> DataFrame:
     names = list(lists)
     rows = list(product(*[lists[n] for n in names]))
     return spark.createDataFrame(rows, names)
+
+
+def expand_grid(df: DataFrame, **lists) -> DataFrame:
+    """C9 over data: every row of ``df`` repeated once per setting of the
+    grid (the product of ``lists``), generated inside the row by ``explode``
+    so no join is planned; output grows by the grid size only."""
+    out = df
+    for name, values in lists.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return out
+
+
+def reindex_dates(calendar: DataFrame, df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """C4: every calendar row with the data row of the same key, NULL where
+    the data has none (calendar left join)."""
+    return calendar.join(df, keys, "left")
+

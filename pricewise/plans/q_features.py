@@ -99,6 +99,27 @@ def q_anti(spark, sf_dir):
     return R.drop_by_key(fx, bad, "id")
 
 
+@register("c04_reindex_dates", """
+WITH cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem),
+x AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1)
+SELECT c.d, round(x.v, 6) AS value, CAST(x.n AS BIGINT) AS orders FROM cal c LEFT JOIN x ON c.d = x.d""")
+def q_reindex(spark, sf_dir):
+    cal = load(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("d")).distinct()
+    daily = load(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")) \
+        .agg(F.sum("o_totalprice").alias("value"), F.count(F.lit(1)).alias("orders"))
+    return rounded(R.reindex_dates(cal, daily, "d"), 6)
+
+
+# ARIMA orders of the forecast grid (p in 1..2, d = 1, q in 1..2) per series
+@register("c09_parameter_grid", with_fixture("fx_daily", """
+SELECT s.series, p, d, q, CAST(s.n AS BIGINT) AS days
+FROM (SELECT series, count(*) AS n FROM fx_daily GROUP BY series) s,
+     (SELECT unnest([1, 2]) AS p), (SELECT unnest([1]) AS d), (SELECT unnest([1, 2]) AS q)"""))
+def q_grid(spark, sf_dir):
+    series = fixture(spark, sf_dir, "fx_daily").groupBy("series").agg(F.count(F.lit(1)).alias("days"))
+    return R.expand_grid(series, p=[1, 2], d=[1], q=[1, 2]).select("series", "p", "d", "q", "days")
+
+
 # ------------------------------------------------------------- E: features
 @register("e01_impute_mode", with_fixture("fx_listings", """
 SELECT id, coalesce(wheel_drive, (SELECT wheel_drive FROM fx_listings WHERE wheel_drive IS NOT NULL

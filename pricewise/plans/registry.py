@@ -49,4 +49,4 @@ def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from pricewise.plans import (q_features, q_listings, q_models, q_pages,  # noqa: F401
-                                 q_series)
+                                 q_score, q_series)

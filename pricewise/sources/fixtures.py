@@ -125,6 +125,45 @@ SELECT p_partkey AS page_id,
 FROM part
 """
 
+# Scoring requests: parts mapped onto the form vocabularies by
+# position in a space-separated level list; each list ends with the
+# baseline level and one value outside the vocabulary, so fall-through and
+# reject rules are exercised on every scale.
+_LEVELS = {
+    "brand": ("audi bmw chevrolet citroen dacia fiat ford honda hyundai kia mazda mercedes mini "
+              "mitsubishi nissan opel peugeot renault seat skoda smart suzuki toyota volkswagen volvo alfa lada"),
+    "year": "2012 2013 2014 2015 2016 2017 2018 2019 2011 2021",
+    "condition": "megkimelt normal serulesmentes ujszeru kituno roncs",
+    "design": "egyter ferde kisbusz kombi sedan varosi cabrio pickup",
+    "aircon": "digital manual automata nincs",
+    "fuel": "dizel elektromos hibrid hibriddizel benzin gaz",
+    "gearbox": "manual szekvencia automata cvt",
+}
+
+
+def _pick(field: str, driver: str) -> str:
+    n = len(_LEVELS[field].split())
+    return f"split_part('{_LEVELS[field]}', ' ', CAST(({driver}) % {n} + 1 AS INTEGER)) AS {field}"
+
+
+FX_REQUESTS = f"""
+SELECT p_partkey AS id,
+       CAST(p_size * 5000 + p_partkey % 1000 AS INTEGER) AS km,
+       round(p_retailprice / 4, 1) AS trunk,
+       CAST(900 + p_size * 30 AS INTEGER) AS cylinder,
+       CAST(40 + p_size * 2 AS INTEGER) AS power,
+       CAST(round((40 + p_size * 2) * 1.36) AS INTEGER) AS hp,
+       {_pick("brand", "p_partkey")},
+       {_pick("year", "p_size")},
+       {_pick("condition", "p_partkey + p_size")},
+       {_pick("design", "p_partkey")},
+       {_pick("aircon", "p_size + 1")},
+       {_pick("fuel", "p_partkey + 2")},
+       {_pick("gearbox", "p_size + 3")},
+       p_retailprice * 1000 AS price
+FROM part
+"""
+
 FIXTURES = {
     "fx_listings": FX_LISTINGS,
     "fx_raw": FX_RAW,
@@ -132,6 +171,7 @@ FIXTURES = {
     "fx_daily": FX_DAILY,
     "fx_residuals": FX_RESIDUALS,
     "fx_kv_pages": FX_KV_PAGES,
+    "fx_requests": FX_REQUESTS,
 }
 
 
