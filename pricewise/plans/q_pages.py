@@ -160,7 +160,6 @@ SELECT page_id, CAST(block_pos AS INTEGER) AS block_pos, {_sql_text(f"regexp_ext
 FROM r WHERE regexp_matches(blk, '{_HAS_ANCHOR}')""")
 def q_union_listings(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
-    featured = pages.select("page_id", "url", F.posexplode(PG.inner_blocks("html", "h1")).alias("block_pos", "b")) \
-        .select("page_id", "block_pos", PG.tag_text("b").alias("title"), F.col("url").alias("href"))
+    featured = PG.headline_blocks(pages, "h1")
     links, _ = PG.quarantine_bad_rows(PG.extract_listing_links(pages, block_tag="li"))
     return PG.union_listings(featured, links)

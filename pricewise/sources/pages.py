@@ -64,7 +64,8 @@ def extract_listing_links(pages: DataFrame, block_tag: str = "li", block_class:
     result list).  Blocks without an anchor keep NULL ``title``/``href`` and a
     ``reject_reason`` (the collector skipped them; see A7)."""
     blocks = inner_blocks(html, block_tag, block_class)
-    out = pages.select(*key, F.posexplode(blocks).alias("block_pos", "_block"))
+    out = pages.select(*key, F.posexplode_outer(blocks).alias("block_pos", "_block")) \
+        .where(F.col("_block").isNotNull())
     scope = F.col("_block")
     if title_tag is not None:
         scope = F.regexp_extract(scope, rf"(?s){_open_tag(title_tag, None)}(.*?)</{title_tag}>", 1)
@@ -88,23 +89,33 @@ def extract_key_values(pages: DataFrame, table_class: str = "hirdetesadatok", ke
     ``attrs = NULL`` and a ``reject_reason``.
     """
     table_re = rf"(?s)<table\s[^>]*class=\"[^\"]*{table_class}[^\"]*\"[^>]*>(.*?)</table>"
-    table = F.regexp_extract(F.col(html), table_re, 1)
-    keys = inner_blocks(table, "td", key_class)
-    vals = inner_blocks(table, value_tag)
-    pairs = F.transform(vals, lambda v, i: F.struct(tag_text(F.element_at(keys, i + 1)).alias("key"),
-                                                    tag_text(v).alias("value")))
+    # Successive projections: the regex arrays are computed once per page
+    # and then only referenced (lambdas would otherwise re-evaluate them for
+    # every element).
+    step = pages.select(*key, F.col(html).rlike(table_re).alias("_has"),
+                        F.regexp_extract(F.col(html), table_re, 1).alias("_tb"))
+    step = step.select(*key, "_has", inner_blocks("_tb", "td", key_class).alias("_ks"),
+                       inner_blocks("_tb", value_tag).alias("_vs"))
+    reason = (F.when(~F.col("_has"), F.lit("no attribute table"))
+              .when(F.size("_ks") < F.size("_vs"), F.lit("fewer keys than values")))
+    step = step.select(*key, F.transform("_vs", lambda v, i: F.struct(
+        tag_text(F.try_element_at(F.col("_ks"), i + 1)).alias("key"), tag_text(v).alias("value"))).alias("_pairs"),
+        reason.alias("reject_reason"))
     # keep a pair only when no later pair has the same key (last one wins)
+    pairs = F.col("_pairs")
     last_wins = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
                                                        lambda q: q["key"] == p["key"]))
-    has_table = F.col(html).rlike(table_re)
-    reason = (F.when(~has_table, F.lit("no attribute table"))
-              .when(F.size(keys) < F.size(vals), F.lit("fewer keys than values")))
-    return pages.select(*key, F.when(reason.isNull(), last_wins).alias("attrs"), reason.alias("reject_reason"))
+    return step.select(*key, F.when(F.col("reject_reason").isNull(), last_wins).alias("attrs"), "reject_reason")
 
 
 def explode_attributes(kv: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Long form ``(key..., attr_pos, attr, value)`` of A5's arrays."""
-    return kv.select(*key, F.posexplode("attrs").alias("attr_pos", "_kv")) \
+    """Long form ``(key..., attr_pos, attr, value)`` of A5's arrays.
+
+    ``posexplode_outer`` plus a filter on the generated struct: a plain
+    ``posexplode`` makes the optimizer infer ``size(attrs) > 0`` and push that
+    copy of the whole extraction below the scan, doing the regex work twice."""
+    return kv.select(*key, F.posexplode_outer("attrs").alias("attr_pos", "_kv")) \
+        .where(F.col("_kv").isNotNull()) \
         .select(*key, "attr_pos", F.col("_kv.key").alias("attr"), F.col("_kv.value").alias("value"))
 
 
@@ -133,6 +144,15 @@ def widen_attributes(kv: DataFrame, keys: Sequence[str] | None = None, key: Sequ
     return kv.select(*key, *cols)
 
 
+def headline_blocks(pages: DataFrame, tag: str = "h1", key: Sequence[str] = ("page_id",),
+                    html: str = "html", url: str = "url") -> DataFrame:
+    """Featured entries of a page: the text of every ``<tag>`` block, linked
+    to the page itself."""
+    return pages.select(*key, url, F.posexplode_outer(inner_blocks(html, tag)).alias("block_pos", "_b")) \
+        .where(F.col("_b").isNotNull()) \
+        .select(*key, "block_pos", tag_text("_b").alias("title"), F.col(url).alias("href"))
+
+
 def quarantine_bad_rows(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
     """Split into (good rows, rejected rows with their reason).  The
     collector dropped failures silently; the rejected side is kept here."""

@@ -24,9 +24,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose the driver tables as temp views so the shared fixture SQL runs
-    unchanged in Spark and in DuckDB."""
+    unchanged in Spark and in DuckDB.  A view already bound to the same file
+    in this session is kept (re-creating it would list and footer-read the
+    files again)."""
     for name in names:
-        load(spark, sf_dir, name).createOrReplaceTempView(name)
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        conf_key = f"pricewise.view.{name}"
+        if spark.conf.get(conf_key, None) == path and spark.catalog.tableExists(name):
+            continue
+        read_table(spark, path).createOrReplaceTempView(name)
+        spark.conf.set(conf_key, path)
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None,
