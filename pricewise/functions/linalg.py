@@ -43,10 +43,15 @@ def gram(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str | None =
     k = len(names)
     if center:
         means = base.groupBy(*by).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)])
-        means = broadcast_if_small(means)
-        base = base.join(means, by) if by else base.crossJoin(means)
-        xs = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(k)]
-        extra = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(k)]
+        if by:
+            base = base.join(broadcast_if_small(means), by)
+            xs = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(k)]
+            extra = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(k)]
+        else:
+            # one group: the k means are literals of the second pass
+            m = means.first()
+            xs = [F.col(f"_x{i}") - F.lit(m[f"_m{i}"]) for i in range(k)]
+            extra = [F.lit(m[f"_m{i}"]).alias(f"_m{i}") for i in range(k)]
     else:
         xs = [F.col(f"_x{i}") for i in range(k)]
         extra = []
@@ -54,6 +59,15 @@ def gram(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str | None =
                                  *[F.sum(xs[i] * xs[j]).alias(f"_g{i}_{j}") for i, j in _pairs(k)])
 
 
+def merge_moments(parts: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Exact pooled (n, means, centred sums of products) of disjoint groups
+    given each group's own (Chan et al. pairwise update)."""
+    n = sum(p[0] for p in parts)
+    m = sum(p[0] * p[1] for p in parts) / n
+    g = sum(p[2] + p[0] * np.outer(p[1] - m, p[1] - m) for p in parts)
+    return n, m, g
+
+
 def gram_matrix(row, k: int) -> np.ndarray:
     g = np.empty((k, k))
     for i, j in _pairs(k):

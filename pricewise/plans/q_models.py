@@ -149,6 +149,15 @@ def _scores(spark, cv, grid, names):
 
 @register("g03_lasso_cv")
 def q_lasso(spark, sf_dir):
+    """5-fold lasso over 10 alphas from one grouped moment aggregation."""
+    path, best = M.lasso_path_cv(_ml_frame(spark, sf_dir), "power", _X, "id")
+    rows = [(r["alpha"], r["rmse"], r["l1_norm"], r["nonzero"], r["alpha"] == best["alpha"]) for r in path]
+    return spark.createDataFrame(rows, "alpha double, rmse double, l1_norm double, nonzero int, best boolean")
+
+
+@register("g03_lasso_cv_ml")
+def q_lasso_ml(spark, sf_dir):
+    """The same search with pyspark.ml LinearRegression fits per fold."""
     cv, grid = M.fit_lasso_cv(_ml_frame(spark, sf_dir), "power", _X, "id")
     return _scores(spark, cv, grid, ["regParam"])
 
