@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from pricewise.operators.rank import exact_quantiles
+from pricewise.session import with_scalars
 
 EULER = 0.5772156649
 
@@ -152,5 +153,5 @@ def isolation_anomalies(df: DataFrame, x: Sequence[str], contamination: float =
     scored = isolation_scores(df, x, trees, sample_size, seed).persist()
     cut = exact_quantiles(scored, "anomaly_score", [1 - contamination]) \
         .select(F.col("q").alias("_cut"))
-    j = scored.crossJoin(F.broadcast(cut))  # one row
+    j = with_scalars(scored, cut)
     return j.withColumn(label, F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1)).drop("_cut")

@@ -16,6 +16,7 @@ from pricewise.functions.dist import ad_pvalue_udf, log_norm_cdf_pair_udf
 from pricewise.functions.linalg import gram, gram_matrix
 from pricewise.operators.profile import binned_pairs
 from pricewise.operators.rank import ranked_value_counts, successive_difference_sums, with_global_rank
+from pricewise.session import with_scalars
 
 EPS = float(np.finfo(np.float64).eps)
 
@@ -70,7 +71,7 @@ def normality_ad(df: DataFrame, r: str, alpha: float = 0.05) -> DataFrame:
     base = df.where(F.col(r).isNotNull())
     st = base.agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_mu"), F.stddev_samp(r).alias("_sd"))
     ranked, _ = ranked_value_counts(base, r)
-    j = ranked.crossJoin(F.broadcast(st))  # one row
+    j = with_scalars(ranked, st)
     z = (F.col("_v") - F.col("_mu")) / F.col("_sd")
     a = (F.col("_cum") - F.col("_cnt")).cast("double")
     c = F.col("_cnt").cast("double")
@@ -133,7 +134,7 @@ def residual_spread(df: DataFrame, r: str, order: str, bins: int = 10) -> DataFr
     row order (data behind the constant-variance plot)."""
     ranked = with_global_rank(df.where(F.col(r).isNotNull()), [order])
     n = df.where(F.col(r).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.crossJoin(F.broadcast(n))  # one row
+    j = with_scalars(ranked, n)
     b = F.floor((F.col("_rank") - 1) * bins / F.col("_n")).cast("int")
     return j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"),
                                          F.stddev_samp(r).alias("std"))

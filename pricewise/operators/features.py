@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pricewise.operators.profile import correlation_matrix, modes
 from pricewise.operators.rank import exact_quantiles, stacked, with_global_rank
+from pricewise.session import with_scalars
 
 
 def _one_row_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "_q") -> DataFrame:
@@ -30,7 +31,7 @@ def filter_upper_fence(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     stay); rows with NULL ``x`` are kept."""
     q = _one_row_quantiles(df, col, [0.25, 0.75])
     fence = q.select((F.col("_q1") + k * (F.col("_q1") - F.col("_q0"))).alias("_ul"))
-    j = df.crossJoin(F.broadcast(fence))  # one row
+    j = with_scalars(df, fence)
     return j.where(~F.coalesce(F.col(col) > F.col("_ul"), F.lit(False))).drop("_ul")
 
 
@@ -42,7 +43,7 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     m = modes(df, cols)
     wide = m.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"_m_{i}")
                    for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(wide))  # one row
+    j = with_scalars(df, wide)
     return j.select(*[F.coalesce(F.col(c), F.col(f"_m_{cols.index(c)}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
@@ -205,7 +206,7 @@ def train_test_split(df: DataFrame, key: str, train_size: float = 0.8, seed: int
     h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     ranked = with_global_rank(h, ["_h", key])
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.crossJoin(F.broadcast(n))  # one row
+    j = with_scalars(ranked, n)
     role = F.when(F.col("_rank") <= F.round(F.col("_n") * train_size), "train").otherwise("test")
     return j.withColumn(role_col, role).drop("_h", "_rank", "_n")
 
@@ -215,7 +216,7 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFra
     cols = list(cols)
     st = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
                 *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(st))  # one row
+    j = with_scalars(df, st)
     new = {}
     for i, c in enumerate(cols):
         s = F.when(F.col(f"_s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_s{i}"))
@@ -235,7 +236,7 @@ def apply_min_max(df: DataFrame, fitted: DataFrame, cols: Sequence[str], suffix:
     uses a range of 1 (so it maps to ``x - min``); test rows may leave
     [0, 1]."""
     cols = list(cols)
-    j = df.crossJoin(F.broadcast(fitted))  # one row
+    j = with_scalars(df, fitted)
     new = {}
     for i, c in enumerate(cols):
         rng = F.col(f"_hi{i}") - F.col(f"_lo{i}")

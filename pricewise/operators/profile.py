@@ -22,14 +22,14 @@ from pyspark.sql.window import Window
 
 from pricewise.functions.dist import chi2_sf_col
 from pricewise.operators.rank import exact_quantiles, stacked
-from pricewise.session import broadcast_if_small
+from pricewise.session import broadcast_if_small, with_scalars
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating NULL = NULL, keeping one copy of each key."""
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right)
+        return with_scalars(left, right)  # no keys: a global aggregate
     r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
@@ -187,7 +187,7 @@ def binned_pairs(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> D
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     rng = base.agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
                    F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
-    j = base.crossJoin(F.broadcast(rng))  # one row
+    j = with_scalars(base, rng)
     wx = (F.col("_x1") - F.col("_x0")) / nx
     wy = (F.col("_y1") - F.col("_y0")) / ny
     bx = F.when(wx == 0, 0).otherwise(F.least(F.floor((F.col("_x") - F.col("_x0")) / wx), F.lit(nx - 1)))
@@ -263,15 +263,20 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return src.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 10_000) -> DataFrame:
     """Contingency counts in long form ``a, b, count`` including zero
     cells (levels of a x levels of b); rows with a NULL in either dropped."""
     base = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull())
     counts = base.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
-    la = counts.select("a").distinct()
-    lb = counts.select("b").distinct()
-    grid = la.crossJoin(lb)  # the R x C cells of the matrix itself
+    # The C column levels become a literal array (bounded and checked like
+    # any pivot's column list); each row level expands to its C cells in
+    # place, so no cartesian join is planned.
+    cols_b = counts.select("b").distinct().limit(max_levels + 1).collect()
+    if len(cols_b) > max_levels:
+        raise ValueError(f"more than {max_levels} levels in {b}")
+    levels = F.array(*[F.lit(r["b"]) for r in sorted(cols_b, key=lambda r: r["b"])])
+    grid = counts.select("a").distinct().select("a", F.explode(levels).alias("b"))
     return grid.join(counts, ["a", "b"], "left").select(
         "a", "b", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
@@ -342,7 +347,7 @@ def cramers_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 3,
     pairs = [(x, y) for x in cols for y in cols]
     res = _chi2_from_cells(_pair_cells(df, pairs))
     total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    j = res.crossJoin(F.broadcast(total))  # one row
+    j = with_scalars(res, total)
     mind = F.least(F.col("r"), F.col("c")) - 1
     v = F.when(mind > 0, F.sqrt(F.col("chi2") / (F.col("_rows") * mind)))
     if digits is not None:
@@ -370,7 +375,7 @@ def correlation_ratio(df: DataFrame, y: str, by: Sequence[str] | str) -> DataFra
         F.count("_y").alias("_n"), F.avg("_y").alias("_avg"), F.stddev_samp("_y").alias("_std"))
     tot = df.agg(F.count(F.lit(1)).alias("_rows"), F.avg(F.col(y)).alias("_mean"),
                  F.var_samp(F.col(y)).alias("_var"))
-    j = groups.crossJoin(F.broadcast(tot))  # one row
+    j = with_scalars(groups, tot)
     agg = j.groupBy("feature").agg(
         (F.sum(F.col("_n") * F.pow(F.col("_avg") - F.col("_mean"), 2)) / F.first("_rows")).alias("between_var"),
         (F.sum(F.col("_n") * F.pow(F.col("_std"), 2)) / F.first("_rows")).alias("within_var"),

@@ -17,7 +17,7 @@ from pricewise.operators.anomaly import isolation_anomalies
 from pricewise.operators.features import split_hash
 from pricewise.plans.q_series import BY, FILLED, filled_daily
 from pricewise.plans.registry import register, rounded
-from pricewise.session import checkpoint_dir
+from pricewise.session import checkpoint_dir, with_scalars
 from pricewise.sources.fixtures import fixture, with_fixture
 
 EPS = "2.220446049250313e-16"
@@ -46,7 +46,7 @@ SELECT model, round(avg(abs(actual - predicted)), 9) AS MAE,
 FROM s GROUP BY model"""))
 def q_compare(spark, sf_dir):
     fx = fixture(spark, sf_dir, "fx_residuals")
-    glob = fx.crossJoin(F.broadcast(fx.agg(F.avg("actual").alias("_m")))) \
+    glob = with_scalars(fx, fx.agg(F.avg("actual").alias("_m"))) \
         .withColumn("predicted", F.col("_m")).drop("_m")  # one-row mean
     out = D.compare_models({"group_mean": fx, "global_mean": glob}, "actual", "predicted")
     return rounded(out, {"MAE": 9, "MAPE": 9, "MSE": 6, "RMSE": 9, "r2": 9})

@@ -75,3 +75,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global aggregate (one row by construction) to
+    every row of ``df`` as typed literals.
+
+    The row is fetched by a ``limit(2)`` job and checked, so at most two rows
+    of a handful of numbers reach the driver; the consumer stays a narrow
+    projection (no cartesian product, no broadcast)."""
+    from pyspark.sql import functions as F
+
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected exactly one aggregate row, got {len(rows)}")
+    r = rows[0]
+    return df.withColumns({f.name: F.lit(r[f.name]).cast(f.dataType) for f in one_row.schema.fields})
+
