@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricewise.functions.dist import chi2_sf, f_sf, mackinnon_p_constant
 from pricewise.operators.series import series_lengths, with_window_columns
-from pricewise.session import broadcast_if_small
+from pricewise.session import broadcast_if_small, cut_lineage
 
 
 def _key_schema(df: DataFrame, by: Sequence[str]) -> list[str]:
@@ -235,9 +235,11 @@ def forecast_ar(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y:
                 F.lit(False).alias("_fut"))
     fut = future.select(*by, pos, F.lit(None).cast("double").alias("_y"),
                         *[F.col(e).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"))
-    wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by).pivot("term").agg(F.first("coef"))
-    rows = tail.unionByName(fut).join(wide, by)
     names = [f"{y}_L{k}" for k in lags]
+    terms = ["const", *names, *exog, "_ssr", "_n", "_sigma2"]
+    wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by) \
+        .pivot("term", [f"c_{t}" for t in terms]).agg(F.first("coef"))
+    rows = tail.unionByName(fut).join(wide, by)
     schema = ", ".join(_key_schema(rows, by) + [f"`{pos}` long", "forecast double"])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +304,7 @@ def fit_arima(df: DataFrame, by: Sequence[str], pos: str, y: str, order=(1, 1, 1
     c1 = g1.groupBy(*by).applyInPandas(
         lambda pdf: _coef_rows(pdf, by, m, [f"_a{k}" for k in range(1, m + 1)], solve_ols),
         ", ".join(_key_schema(g1, by) + ["term string", "coef double"]))
-    w1 = c1.groupBy(*by).pivot("term").agg(F.first("coef"))
+    w1 = c1.groupBy(*by).pivot("term", ["const", *[f"_a{k}" for k in range(1, m + 1)]]).agg(F.first("coef"))
     resid = F.col("_dy") - F.col("const")
     for k in range(1, m + 1):
         resid = resid - F.col(f"_a{k}") * F.col(f"c__a{k}")
@@ -356,7 +358,10 @@ def forecast_arima(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str,
             *by, F.col(pos).cast("long").alias(pos), F.lit(None).cast("double").alias("_y"),
             *[F.col(e).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"), "_len")
     rows = tail.select(*by, F.col(pos).cast("long").alias(pos), "_y", *exog, "_fut", "_len").unionByName(fut)
-    wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by).pivot("term").agg(F.first("coef"))
+    terms = ["const", *[f"ar_L{k}" for k in range(1, p + 1)], *[f"ma_L{k}" for k in range(1, q + 1)], *exog,
+             "_ssr", "_n", "_sigma2", "_k"]
+    wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by) \
+        .pivot("term", [f"c_{t}" for t in terms]).agg(F.first("coef"))
     rows = rows.join(wide, by)
     z = 1.959963984540054 if abs(level - 0.95) < 1e-12 else float(np.sqrt(2) * _erfinv(level))
     schema = ", ".join(_key_schema(rows, by) + [f"`{pos}` long", "forecast double", "lower double",
@@ -426,13 +431,16 @@ def forecast_backtest(df: DataFrame, by: Sequence[str], pos: str, y: str, orders
     out with its known exog, and report RMSE plus AIC / BIC of the fit:
     ``by..., order, rmse, aic, bic``."""
     by = list(by)
+    # every order reads the input several times (fit, forecast, hold-out):
+    # materialise it once in the shared checkpoint folder
+    df = cut_lineage(df)
     n = series_lengths(df, by, pos)
     j = df.join(broadcast_if_small(n), by)
     train = j.where(F.col(pos) <= F.col("_len") - h).drop("_len")
     test = j.where(F.col(pos) > F.col("_len") - h).drop("_len")
     out = None
     for order in orders:
-        coefs = fit_arima(train, by, pos, y, order, exog)
+        coefs = cut_lineage(fit_arima(train, by, pos, y, order, exog))  # small: terms per series
         fc = forecast_arima(train, coefs, by, pos, y, order, test.select(*by, pos, *exog), h, exog)
         err = fc.join(test.select(*by, pos, F.col(y).alias("_actual")), [*by, pos])
         rmse = err.groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col("forecast") - F.col("_actual"), 2))).alias("rmse"))
