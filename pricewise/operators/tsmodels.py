@@ -162,8 +162,13 @@ def granger(df: DataFrame, by: Sequence[str], pos: str, y: str, x: str, max_lag:
         make[f"_xl{k}"] = (lambda w, k=k: F.lag("_x", k).over(w))
     lagged = with_window_columns(c, by, pos, max_lag, make)
     cols = [*[f"_yl{k}" for k in range(1, max_lag + 1)], *[f"_xl{k}" for k in range(1, max_lag + 1)], "_y"]
-    masks = {L: F.col(pos) >= L + 1 for L in range(1, max_lag + 1)}
-    g = _masked_gram(lagged.fillna(0.0, subset=cols[:-1]), by, cols, masks)
+    # The row sets of the lags are nested (lag L uses positions > L), so one
+    # Gram per (series, position bucket) with bucket = min(pos - 1, max_lag)
+    # gives every lag's Gram as a suffix sum over buckets: one aggregation of
+    # plain sums instead of max_lag masked ones.
+    bucketed = lagged.fillna(0.0, subset=cols[:-1]).withColumn(
+        "_b", F.least(F.col(pos) - 1, F.lit(max_lag)).cast("int")).where(F.col("_b") >= 1)
+    g = _masked_gram(bucketed, [*by, "_b"], cols, {0: F.lit(True)})
     schema = ", ".join(_key_schema(g, by) + ["lag int", "f_stat double", "f_p double", "chi2 double",
                                              "chi2_p double", "lr double", "lr_p double"])
     k = len(cols) + 1
@@ -171,20 +176,23 @@ def granger(df: DataFrame, by: Sequence[str], pos: str, y: str, x: str, max_lag:
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in pdf.iterrows():
-            row = r.to_dict()
-            for L in range(1, max_lag + 1):
-                gm, n = _gram_from(row, L, k), int(row[f"_n{L}"])
-                ylags = list(range(1, 1 + L))
-                xlags = list(range(1 + max_lag, 1 + max_lag + L))
-                _, ssr_r, _ = _ols_sub(gm, [0, *ylags], yi, n)
-                _, ssr_u, _ = _ols_sub(gm, [0, *ylags, *xlags], yi, n)
-                dfd = n - 2 * L - 1
-                fstat = (ssr_r - ssr_u) / ssr_u / L * dfd
-                chi = n * (ssr_r - ssr_u) / ssr_u
-                lr = -2 * (_llf(ssr_r, n) - _llf(ssr_u, n))
-                out.append([*[row[b] for b in by], L, fstat, f_sf(fstat, L, dfd), chi, chi2_sf(chi, L),
-                            lr, chi2_sf(lr, L)])
+        rows = [r.to_dict() for _, r in pdf.iterrows()]
+        grams = {int(r["_b"]): (_gram_from(r, 0, k), int(r["_n0"])) for r in rows}
+        keys = [rows[0][b] for b in by] if rows else []
+        for L in range(1, max_lag + 1):
+            parts = [grams[b] for b in grams if b >= L]
+            if not parts:
+                continue
+            gm, n = sum(p[0] for p in parts), sum(p[1] for p in parts)
+            ylags = list(range(1, 1 + L))
+            xlags = list(range(1 + max_lag, 1 + max_lag + L))
+            _, ssr_r, _ = _ols_sub(gm, [0, *ylags], yi, n)
+            _, ssr_u, _ = _ols_sub(gm, [0, *ylags, *xlags], yi, n)
+            dfd = n - 2 * L - 1
+            fstat = (ssr_r - ssr_u) / ssr_u / L * dfd
+            chi = n * (ssr_r - ssr_u) / ssr_u
+            lr = -2 * (_llf(ssr_r, n) - _llf(ssr_u, n))
+            out.append([*keys, L, fstat, f_sf(fstat, L, dfd), chi, chi2_sf(chi, L), lr, chi2_sf(lr, L)])
         return pd.DataFrame(out, columns=[*by, "lag", "f_stat", "f_p", "chi2", "chi2_p", "lr", "lr_p"])
 
     return g.groupBy(*by).applyInPandas(fn, schema)
