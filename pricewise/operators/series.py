@@ -77,28 +77,44 @@ def with_window_columns(df: DataFrame, by: Sequence[str], pos: str, lookback: in
     return b.where(~F.col("_halo")).drop("_blk", "_halo")
 
 
-def _fill(df: DataFrame, by: Sequence[str], pos: str, col: str, out: str, forward: bool,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _fill_many(df: DataFrame, by: Sequence[str], pos: str, cols: dict[str, str], forward: bool,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fill NULLs of every ``cols`` key (output name = value) from the
+    nearest non-null value before (``forward``) or after it in the series.
+
+    All columns share one block window, one per-block edge aggregation and
+    one join with the carries, so the input is read by a single plan branch
+    pair whatever the number of columns."""
     by = list(by)
     b = df.withColumn("_blk", F.floor((F.col(pos) - 1) / block_rows).cast("long"))
     w = Window.partitionBy(*by, "_blk").orderBy(pos)
-    if forward:
-        inner = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(pos)))
-    else:
-        inner = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(pos)))
-    b = b.withColumn("_in", inner)
-    # carry: nearest non-null value in an earlier (ffill) / later (bfill) block
-    per_blk = b.groupBy(*by, "_blk").agg(edge.alias("_edge"))
     wb = Window.partitionBy(*by).orderBy("_blk")
-    if forward:
-        carry = F.last("_edge", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        carry = F.first("_edge", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
-    per_blk = per_blk.withColumn("_carry", carry).select(*by, "_blk", "_carry")
+    inner, edges, carries = {}, [], []
+    for i, c in enumerate(cols):
+        if forward:
+            inner[f"_in{i}"] = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            edges.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_edge{i}"))
+            carries.append(F.last(f"_edge{i}", ignorenulls=True)
+                           .over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry{i}"))
+        else:
+            inner[f"_in{i}"] = F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+            edges.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_edge{i}"))
+            carries.append(F.first(f"_edge{i}", ignorenulls=True)
+                           .over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_carry{i}"))
+    b = b.withColumns(inner)
+    # carry: nearest non-null value in an earlier (ffill) / later (bfill)
+    # block, from a table of one row per block
+    per_blk = b.groupBy(*by, "_blk").agg(*edges).select(*by, "_blk", *carries)
     j = b.join(broadcast_if_small(per_blk), [*by, "_blk"], "left")
-    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_blk", "_in", "_carry")
+    n = len(cols)
+    return j.withColumns({out: F.coalesce(F.col(f"_in{i}"), F.col(f"_carry{i}"))
+                          for i, out in enumerate(cols.values())}) \
+        .drop("_blk", *[f"_in{i}" for i in range(n)], *[f"_carry{i}" for i in range(n)])
+
+
+def _fill(df: DataFrame, by: Sequence[str], pos: str, col: str, out: str, forward: bool,
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return _fill_many(df, by, pos, {col: out}, forward, block_rows)
 
 
 # ---------------------------------------------------------------- F1, F2
@@ -118,16 +134,12 @@ def fill_missing_dates(df: DataFrame, by: Sequence[str], d: str, impute: dict |
 
 def backfill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]) -> DataFrame:
     """replace NULL by the next non-null value of the series."""
-    for c in cols:
-        df = _fill(df, by, pos, c, c, forward=False)
-    return df
+    return _fill_many(df, by, pos, {c: c for c in cols}, forward=False)
 
 
 def forward_fill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]) -> DataFrame:
     """Replace NULL by the previous non-null value of the series."""
-    for c in cols:
-        df = _fill(df, by, pos, c, c, forward=True)
-    return df
+    return _fill_many(df, by, pos, {c: c for c in cols}, forward=True)
 
 
 # ---------------------------------------------------------------- F3-F8

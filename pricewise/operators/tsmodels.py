@@ -32,6 +32,11 @@ def _masked_gram(df: DataFrame, by: Sequence[str], cols: Sequence[str], masks: d
     named row mask: ``_n{m}``, ``_g{m}_{i}_{j}``."""
     names = ["_one", *cols]
     base = df.withColumn("_one", F.lit(1.0))
+    if len(masks) == 1:
+        # a single mask is a row filter: plain sums, no per-cell CASE
+        (m, cond), = masks.items()
+        base = base.where(cond)
+        masks = {m: F.lit(True)}
     aggs = []
     for m, cond in masks.items():
         aggs.append(F.count(F.when(cond, 1)).alias(f"_n{m}"))
