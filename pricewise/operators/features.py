@@ -48,13 +48,21 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                       for c in df.columns])
 
 
-def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 10_000) -> dict[str, list[str]]:
     """Sorted non-null levels per column (one stacked distinct, collected:
-    the levels name the output columns, so they are needed at plan time)."""
+    the levels name the output columns, so they are needed at plan time).
+
+    Levels become columns, so their number is bounded: at most
+    ``max_levels`` per column, checked with a ``limit`` before collecting."""
+    cols = list(cols)
     long = stacked(df, cols, (), cast="string").where(F.col("value").isNotNull()).distinct()
+    rows = long.limit(max_levels * len(cols) + 1).collect()
     levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in long.collect():
+    for r in rows:
         levels[r["column"]].append(r["value"])
+    too_many = [c for c, v in levels.items() if len(v) > max_levels]
+    if too_many or len(rows) > max_levels * len(cols):
+        raise ValueError(f"more than {max_levels} levels in {too_many or cols}; one-hot needs a bounded vocabulary")
     return {c: sorted(v) for c, v in levels.items()}
 
 
