@@ -3,7 +3,7 @@
 Documents are read as overlapping passages.  Passages are TF-IDF vectors over
 the benchmark's words; words in more than ``STOP_SHARE`` of all passages are
 left out (every item keeps its ``LIVE_WORDS`` rarest).  A randomised SVD of the passage matrix A gives the latent space:
-one pass sums Y = A'A W for a random test matrix W (a small matrix per
+one pass sums Y = A'A W for a test matrix W (a small matrix per
 partition, added up by Spark), and the Nystrom form of A'A from Y and W gives
 the leading right singular vectors.  Passages and benchmark items are compared
 by cosine in that space.  Pairs over ``MIN_COSINE`` are candidates, and a
@@ -15,7 +15,7 @@ The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS``
 items, and each block meets all passages of all documents, in whole texts.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased
-in A-Z.  Results in special cases: null or empty texts and items match
+in A-Z and in Latin-1's letters.  Results in special cases: null or empty texts and items match
 nothing; an item matches a document once, with its best share; equal items
 both match; equal rows give equal rows; an empty benchmark or document table
 gives no match; all other columns are kept.
@@ -38,17 +38,17 @@ PASSAGES = ((24, 8), (40, 16), (64, 32))  # words and stride of the passages com
 COUNTED = 64                     # words of the (disjoint) passages counted and decomposed
 STOP_SHARE, STOP_COUNT = 0.002, 20  # a word in more passages than both is left out ...
 LIVE_WORDS = 8                      # ... unless it is among the rarest of an item
-RANK, OVERSAMPLE = 144, 16
+RANDOM = 24                         # random columns of the test matrix, beside the items
 MIN_COSINE = 0.45
 MIN_SHARE = 0.7
 MIN_PARAPHRASE = 0.5
 ANSWER_WORDS = 5
-BLOCK_ITEMS = 5000
+BLOCK_ITEMS = 256
 
 
 def term_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and word offsets by text."""
-    d = K.LOWER[data]
+    d = K.lower_latin(data)
     starts, ends, word_offs = K.words(d, offs, K.IS_TERM)
     return K.word_hashes(d, starts, ends), word_offs
 
@@ -163,7 +163,7 @@ def _sketch_pass(docs: DataFrame, words: Vocabulary, idf: np.ndarray, test: np.n
     return y.reshape(-1, test.shape[1]) if len(y) else np.zeros(test.shape)
 
 
-def latent_space(y: np.ndarray, test: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(y: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leading right singular vectors and singular values of A, from
     Y = A'A W (Nystrom form with a small shift for stability)."""
     shift = 1e-8 * max(1e-12, np.linalg.norm(y))
@@ -172,7 +172,7 @@ def latent_space(y: np.ndarray, test: np.ndarray, rank: int = RANK) -> tuple[np.
     root = np.linalg.cholesky((core + core.T) / 2)
     u, s, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
     keep = s > 1e-6 * max(s[0], 1e-12)
-    return u[:, keep][:, :rank], np.sqrt(np.maximum(0.0, s[keep][:rank] ** 2 - shift))
+    return u[:, keep], np.sqrt(np.maximum(0.0, s[keep] ** 2 - shift))
 
 
 @dataclass
@@ -216,13 +216,20 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
     at = at[items.embed[found[at]].any(axis=1)] if len(at) else at
     sums = np.zeros((len(at) + 1, items.embed.shape[1]))
     np.cumsum(items.embed[found[at]], axis=0, out=sums[1:])
+    sums = sums.astype(np.float32)
     seen = set()
     for width, stride in PASSAGES:
         text, lo, hi = passages(wo, width, stride)
         a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
         busy = np.flatnonzero(b - a >= items.least)
+        if not len(busy):
+            continue
+        # neighbours with the same vector words are one passage
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(a[busy]) != 0) | (np.diff(b[busy]) != 0))))
+        hi[busy[first]] = np.maximum.reduceat(hi[busy], first)
+        busy = busy[first]
         for part in np.array_split(busy, max(1, len(busy) // 4096)):
-            v = (sums[b[part]] - sums[a[part]]).astype(np.float32)
+            v = sums[b[part]] - sums[a[part]]
             size = np.linalg.norm(v, axis=1)
             cosine = (v / np.maximum(size, 1e-9)[:, None]) @ items.vectors.T
             p, j = np.nonzero(cosine >= MIN_COSINE)
@@ -261,13 +268,17 @@ def prepare(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
         own = np.unique(f)
         live[own[np.argsort(df[own], kind="stable")[:LIVE_WORDS]]] = True
     idf = np.where(live, np.log((1 + total) / (1 + df)) + 1.0, 0.0)
-    rank = min(RANK + OVERSAMPLE, len(idf))
-    test = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), rank)))[0]
+    # the test matrix: random columns, and the items themselves, so that the
+    # space holds what lies near an item however rare it is in the documents
+    tf = np.array([np.bincount(f, minlength=len(idf)) * idf for f in found])
+    test = np.vstack([tf, np.random.default_rng(7).standard_normal((RANDOM, len(idf))) * (idf > 0)])
+    test = np.linalg.qr(test.T)[0]
     v, _ = latent_space(_sketch_pass(docs, words, idf, test), test)
     embed = (idf[:, None] * v).astype(np.float32)
     vectors = np.array([embed[f].sum(axis=0) for f in found])
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, vectors, min(2, *map(len, found)) if len(found) > 1 else 1)
+    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, vectors,
+                 max(1, min(len(np.unique(f[live[f]])) for f in found) // 2 - 1))
 
 
 MATCHES = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer:boolean>>"

@@ -59,6 +59,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and U+00C0 to U+00DE (but U+00D7) lower-cased."""
+    d = LOWER[data]
+    at = np.flatnonzero(d[:-1] == 0xC3) + 1
+    second = d[at]
+    d[at[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 0x20
+    return d
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))
