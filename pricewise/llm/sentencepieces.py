@@ -37,7 +37,8 @@ from pricewise.llm.merging import PairTable, merge_rows
 from pricewise.llm.registry import register, table
 
 SPACE = "▁"
-CACHE = 300_000  # remembered segments per worker
+CACHE = 200_000  # remembered segments per worker
+ROWS = 500          # texts encoded at a time
 LONG = 48           # characters; longer segments are composed one by one
 PAIR_BITS = 20      # of the table of known pair weights (forgotten when half full)
 UNIGRAM, BPE = 1, 2
@@ -332,25 +333,37 @@ def _machine(spec) -> Transducer:
     return _machines[key]
 
 
-def codec(spark: SparkSession, path: str) -> tuple[Column, Column]:
-    """Column functions encode (text -> ids) and decode (ids -> text)."""
+def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in ids] + [False]))
+    flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, "<i4")])
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+
+
+def codec(spark: SparkSession, path: str) -> tuple[Column, Column, Column]:
+    """Column functions encode (text -> ids), decode (ids -> text) and both
+    (text -> struct of piece_ids and decoded, in one pass)."""
     model = spark.sparkContext.broadcast(read_model(path))  # the model file bounds its size
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        machine = _machine(model.value)
-        ids = machine.encode_all(text.to_pylist())
-        ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids])
-        offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in ids] + [False]))
-        flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, "<i4")])
-        return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+        return _lists(_machine(model.value).encode_all(text.to_pylist()))
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         machine = _machine(model.value)
-        return pa.array([None if x is None else machine.decode(x) for x in ids.to_pylist()], pa.string())
+        return pa.array((machine.decode(x.as_py()) if x.is_valid else None for x in ids), pa.string())
+
+    @F.arrow_udf("struct<piece_ids:array<int>,decoded:string>")
+    def both(text: pa.Array) -> pa.Array:
+        machine, parts = _machine(model.value), []
+        for lo in range(0, max(1, len(text)), ROWS):  # few rows at a time: ids are long
+            ids = machine.encode_all(text.slice(lo, ROWS).to_pylist())
+            back = pa.array([None if x is None else machine.decode(x.tolist()) for x in ids], pa.string())
+            parts.append(pa.StructArray.from_arrays([_lists(ids), back], names=["piece_ids", "decoded"]))
+        return pa.concat_arrays(parts)
 
-    return encode, decode
+    return encode, decode, both
 
 
 def vocabulary(name: str) -> str:
@@ -361,10 +374,11 @@ def vocabulary(name: str) -> str:
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` plus piece_ids, n_pieces and round_trip
     (decoding gives the text back)."""
-    encode, decode = codec(docs.sparkSession, path or vocabulary("piece_bpe_32k.model"))
-    docs = docs.withColumn("piece_ids", encode(F.col("text").cast("string")))
-    return docs.withColumns({"n_pieces": F.size("piece_ids").cast("long"),
-                             "round_trip": decode("piece_ids").eqNullSafe(F.col("text"))})
+    both = codec(docs.sparkSession, path or vocabulary("piece_bpe_32k.model"))[2]
+    found = both(F.col("text").cast("string"))
+    return docs.withColumns({"piece_ids": found["piece_ids"],
+                             "n_pieces": F.coalesce(F.size(found["piece_ids"]), F.lit(0)).cast("long"),
+                             "round_trip": found["decoded"].eqNullSafe(F.col("text").cast("string"))})
 
 
 @register("op3_sentencepiece_codec")
