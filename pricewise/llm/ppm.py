@@ -181,7 +181,7 @@ class Tables:
     def nodes(self) -> np.ndarray:
         """Row of the longest known context for all 2^24 contexts."""
         if self._node is None:
-            node = np.zeros(1 << 24, dtype=np.int32)
+            node = np.zeros(1 << 24, dtype=np.uint16 if sum(map(len, self.keys)) < 1 << 16 else np.int32)
             k1, k2, k3 = self.keys[1:]
             wide = node.reshape(1 << 16, 256)
             wide[:, k1] = 1 + np.arange(len(k1))
@@ -196,7 +196,7 @@ class Tables:
         full = np.flatnonzero(np.diff(offs) > 0)
         if len(full):
             at = self.nodes()[contexts(data, offs)].astype(np.int64) * 256 + data
-            out[full] = np.add.reduceat(self.table[at].astype(np.float64), offs[:-1][full], axis=0)
+            out[full] = np.add.reduceat(self.table[at], offs[:-1][full], axis=0, dtype=np.float64)
         return out
 
 

@@ -37,7 +37,7 @@ from pricewise.llm.merging import PairTable, merge_rows
 from pricewise.llm.registry import register, table
 
 SPACE = "▁"
-CACHE = 200_000  # remembered segments per worker
+CACHE = 100_000  # remembered segments per worker
 ROWS = 500          # texts encoded at a time
 LONG = 48           # characters; longer segments are composed one by one
 PAIR_BITS = 20      # of the table of known pair weights (forgotten when half full)
@@ -97,6 +97,7 @@ class Transducer:
         if self.kind == BPE:
             self.compile_merges()
             self.compile_lexicon()
+            self.lexicon = {}  # the table has it all
 
     # ---- normaliser
     def normalise(self, text: str) -> str:

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20  # texts worked on at a time, in bytes (at least one text)
+BLOCK_BYTES = 1 << 19  # texts worked on at a time, in bytes (at least one text)
+
+KEPT_POWERS = 2 << 20
 
 # Byte classes.  White space is [\x20\x09-\x0D]; a term byte is an ASCII
 # letter or digit or any byte of a non-ASCII character.
@@ -54,7 +56,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         inv = pow(_BASE, -1, 1 << 64)
         have = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, b, dtype=np.uint64))))
                      for b in (_BASE, inv))
-        if size <= 4 * BLOCK_BYTES:
+        if size <= KEPT_POWERS:
             _powers[0] = have
     return have
 

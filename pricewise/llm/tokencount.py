@@ -34,7 +34,7 @@ from pricewise.llm.registry import register, table
 
 LIMIT = 1024
 LONG = 64            # bytes; longer pre-tokens go through the heap
-CACHE = 400_000      # remembered pre-tokens per worker, beyond the vocabulary
+CACHE = 200_000      # remembered pre-tokens per worker, beyond the vocabulary
 # Fixed value: the pre-token pattern of this vocabulary family; white space is
 # Unicode's White_Space property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
