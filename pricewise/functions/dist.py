@@ -163,6 +163,16 @@ def mackinnon_p_constant(t: float) -> float:
     return norm_cdf(poly)
 
 
+def log_norm_cdf(z: float) -> float:
+    """ln of the standard normal distribution function, for any finite z."""
+    if np.isnan(z):
+        return float("nan")
+    if z > -10.0:
+        return math.log(0.5 * math.erfc(-z / math.sqrt(2.0)))
+    w = 1.0 / (z * z)
+    return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-w * (1 - 3 * w * (1 - 5 * w)))
+
+
 def _vec(fn, *series: pd.Series) -> pd.Series:
     vals = [s.astype("float64").to_numpy() for s in series]
     out = [fn(*args) for args in zip(*vals)]
@@ -186,10 +196,9 @@ def norm_cdf_udf(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def log_norm_cdf_pair_udf(z: pd.Series) -> pd.Series:
-    """ln P(z) computed through erfc so the lower tail keeps its digits."""
-    zz = z.astype("float64").to_numpy()
-    return pd.Series([math.log(0.5 * math.erfc(-v / math.sqrt(2.0))) if not np.isnan(v) else np.nan
-                      for v in zz], dtype="float64")
+    """ln P(z): through erfc, and by the tail's asymptotic series where erfc
+    would underflow."""
+    return pd.Series([log_norm_cdf(v) for v in z.astype("float64").to_numpy()], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())

@@ -78,8 +78,7 @@ def head(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
 def row_at(df: DataFrame, order: Sequence[str], position: int, col: str) -> DataFrame:
     """One cell at a 0-based position of an explicit ascending order.
 
-    Takes the first ``position + 1`` rows (a bounded top-k), then the last of
-    them by reversing the order: no global sort and no unpartitioned window.
+    The order's offset is planned as a bounded top-k (no unpartitioned
+    window); a position past the end gives no row.
     """
-    top = head(df, position + 1, [F.col(c).asc() for c in order])
-    return top.orderBy(*[F.col(c).desc() for c in order]).limit(1).select(col)
+    return df.orderBy(*[F.col(c).asc() for c in order]).offset(position).limit(1).select(col)

@@ -56,16 +56,40 @@ def _gram_from(row, m: int, k: int) -> np.ndarray:
 
 
 def _ols_sub(g: np.ndarray, idx: list[int], yi: int, n: int):
-    """OLS on the Gram sub-block ``idx`` (includes the ones column) for
-    target column ``yi``: (beta, ssr, inv(X'X))."""
-    xtx = g[np.ix_(idx, idx)]
-    xty = g[idx, yi]
-    inv = np.linalg.pinv(xtx)
-    beta = inv @ xty
-    ssr = max(float(g[yi, yi] - beta @ xty), 0.0)
+    """OLS on the Gram sub-block ``idx`` (its first entry is the ones column)
+    for target column ``yi``: (beta, ssr, inv(X'X) without the constant).
+
+    Works on moments about the fitted rows' own means, with every regressor
+    scaled to unit length, so columns of very different size lose no digits.
+    ``beta[0]`` is the constant; row and column 0 of the inverse are NaN."""
+    xs = idx[1:]
+    mean = g[0] / n
+    centred = g - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(centred)[xs], 0.0))
+    scale[scale == 0] = 1.0
+    unit = centred[np.ix_(xs, xs)] / np.outer(scale, scale)
+    cross = centred[xs, yi] / scale
+    inv_unit = np.linalg.pinv(unit, rcond=1e-12, hermitian=True) if xs else unit
+    slope = inv_unit @ cross
+    ssr = max(float(centred[yi, yi] - slope @ cross), 0.0)
+    beta = np.empty(len(idx))
+    beta[1:] = slope / scale
+    beta[0] = mean[yi] - beta[1:] @ mean[xs]
+    inv = np.full((len(idx), len(idx)), np.nan)
+    inv[1:, 1:] = inv_unit / np.outer(scale, scale)
     return beta, ssr, inv
 
 
+def _complete_lags(names: Sequence[str]):
+    """Largest k such that the first k of ``names`` are all not NULL."""
+    if not names:
+        return F.lit(0)
+    k = F.when(F.col(names[0]).isNull(), 0)
+    for i, c in enumerate(names[1:], 1):
+        k = k.when(F.col(c).isNull(), i)
+    return k.otherwise(len(names))
+
+
 def _llf(ssr: float, n: int) -> float:
     return -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
 
@@ -85,8 +109,8 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     by = list(by)
     nobs = df.where(F.col(col).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_nobs"))
     if max_lag is None:
-        ml = F.greatest(F.lit(0), F.least(F.ceil(12.0 * F.pow(F.col("_nobs") / 100.0, 0.25)),
-                                          F.floor(F.col("_nobs") / 2) - 2)).cast("int")
+        ml = F.greatest(F.lit(0), F.least(F.ceil(12.0 * F.pow((F.col("_nobs") + 1) / 100.0, 0.25)),
+                                          F.floor((F.col("_nobs") + 1) / 2) - 2)).cast("int")
         lmax = int(nobs.select(ml.alias("m")).agg(F.max("m")).collect()[0][0] or 0)
     else:
         ml = F.lit(int(max_lag))
@@ -100,6 +124,8 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     # centre by the series means for conditioning (the ones column absorbs it)
     mu = lagged.groupBy(*by).agg(F.avg(col).alias("_mu"), F.avg("_dx").alias("_mdx"))
     lagged = lagged.join(broadcast_if_small(mu), by).join(mls, by)
+    # complete cases: a row counts for a fit only if all lags of that fit exist
+    lagged = lagged.withColumn("_whole", _complete_lags([f"_dl{k}" for k in range(1, lmax + 1)]))
     lagged = lagged.withColumn("_lvl", F.col("_lvl") - F.col("_mu")).withColumns(
         {c: F.col(c) - F.col("_mdx") for c in xs if c != "_lvl"}).fillna(0.0, subset=xs[1:-1])
     ok = F.col("_dx").isNotNull() & F.col("_lvl").isNotNull()
@@ -108,7 +134,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     key_schema = _key_schema(lagged, by)
 
     if autolag:
-        g_common = _masked_gram(lagged, [*by, "_ml"], xs, {0: ok & (F.col(pos) >= F.col("_ml") + 2)})
+        g_common = _masked_gram(lagged, [*by, "_ml"], xs, {0: ok & (F.col(pos) >= F.col("_ml") + 2) & (F.col("_whole") >= F.col("_ml"))})
 
         def pick(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -132,7 +158,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     refit = lagged.join(broadcast_if_small(chosen), by)
     refit = refit.withColumns({f"_dl{j}": F.when(F.col("_L") >= j, F.col(f"_dl{j}")).otherwise(F.lit(0.0))
                                for j in range(1, lmax + 1)})
-    g_fit = _masked_gram(refit, [*by, "_L"], xs, {0: ok & (F.col(pos) >= F.col("_L") + 2)})
+    g_fit = _masked_gram(refit, [*by, "_L"], xs, {0: ok & (F.col(pos) >= F.col("_L") + 2) & (F.col("_whole") >= F.col("_L"))})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -167,12 +193,13 @@ def granger(df: DataFrame, by: Sequence[str], pos: str, y: str, x: str, max_lag:
         make[f"_xl{k}"] = (lambda w, k=k: F.lag("_x", k).over(w))
     lagged = with_window_columns(c, by, pos, max_lag, make)
     cols = [*[f"_yl{k}" for k in range(1, max_lag + 1)], *[f"_xl{k}" for k in range(1, max_lag + 1)], "_y"]
-    # The row sets of the lags are nested (lag L uses positions > L), so one
-    # Gram per (series, position bucket) with bucket = min(pos - 1, max_lag)
-    # gives every lag's Gram as a suffix sum over buckets: one aggregation of
-    # plain sums instead of max_lag masked ones.
-    bucketed = lagged.fillna(0.0, subset=cols[:-1]).withColumn(
-        "_b", F.least(F.col(pos) - 1, F.lit(max_lag)).cast("int")).where(F.col("_b") >= 1)
+    # The row sets of the lags are nested (lag L uses the complete cases of
+    # lags 1..L), so one Gram per (series, bucket) with bucket = number of
+    # complete lags gives every lag's Gram as a suffix sum over buckets: one
+    # aggregation of plain sums instead of max_lag masked ones.
+    pairs = [F.when(F.col(f"_yl{k}").isNotNull(), F.col(f"_xl{k}")).alias(f"_p{k}") for k in range(1, max_lag + 1)]
+    bucketed = (lagged.select("*", *pairs).withColumn("_b", _complete_lags([f"_p{k}" for k in range(1, max_lag + 1)]))
+                .where(F.col("_y").isNotNull() & (F.col("_b") >= 1)).fillna(0.0, subset=cols[:-1]))
     g = _masked_gram(bucketed, [*by, "_b"], cols, {0: F.lit(True)})
     schema = ", ".join(_key_schema(g, by) + ["lag int", "f_stat double", "f_p double", "chi2 double",
                                              "chi2_p double", "lr double", "lr_p double"])

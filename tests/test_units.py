@@ -114,3 +114,39 @@ def test_linear_scorer_matches_numpy(spark):
     x = np.arange(1, 50, dtype=float)
     assert means["km"] == pytest.approx(x.mean()) and stds["trunk"] == pytest.approx((x * x).std())
     assert math.isfinite(stds["km"])
+
+
+def test_log_tail_is_smooth_and_finite():
+    assert dist.log_norm_cdf(-10.0) == pytest.approx(dist.log_norm_cdf(-9.9999999), rel=1e-6)
+    assert dist.log_norm_cdf(-40.0) == pytest.approx(-804.608442, rel=1e-8)
+
+
+def test_row_at_past_the_end(spark):
+    from pricewise.operators import columns as C
+    df = spark.range(10).select((F.col("id") * 2).alias("v"))
+    assert [r.v for r in C.row_at(df, ["v"], 3, "v").collect()] == [6]
+    assert C.row_at(df, ["v"], 10, "v").collect() == []
+
+
+def test_granger_uses_complete_cases(spark):
+    from pricewise.operators.tsmodels import granger
+    rng = np.random.default_rng(4)
+    n = 300
+    x, y = rng.normal(size=n) * 1e4 + 3e5, rng.normal(size=n)
+    x[::5] = np.nan
+    rows = [("s", i + 1, float(y[i]), None if np.isnan(x[i]) else float(x[i])) for i in range(n)]
+    got = granger(spark.createDataFrame(rows, "k string, pos long, y double, x double"), ["k"], "pos", "y", "x", 2).collect()
+
+    def ssr(cols, target):
+        a = np.column_stack([np.ones(len(target)), *cols])
+        beta = np.linalg.lstsq(a, target, rcond=None)[0]
+        return float(((target - a @ beta) ** 2).sum())
+
+    for r in got:
+        lags = range(1, r.lag + 1)
+        ok = [i for i in range(r.lag, n) if not any(np.isnan(x[i - k]) for k in lags)]
+        yl = [np.array([y[i - k] for i in ok]) for k in lags]
+        xl = [np.array([(x[i - k] - 3e5) / 1e4 for i in ok]) for k in lags]
+        t = np.array([y[i] for i in ok])
+        a, b = ssr(yl, t), ssr([*yl, *xl], t)
+        assert r.f_stat == pytest.approx((a - b) / b / r.lag * (len(t) - 2 * r.lag - 1), rel=1e-8)
