@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewise.session import broadcast_if_small
 
 
 def _pairs(k: int):
@@ -44,7 +43,7 @@ def gram(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str | None =
     if center:
         means = base.groupBy(*by).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)])
         if by:
-            base = base.join(broadcast_if_small(means), by)
+            base = base.join(means, by)
             xs = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(k)]
             extra = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(k)]
         else:

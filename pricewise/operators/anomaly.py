@@ -1,10 +1,10 @@
 """Isolation-forest anomaly labels (F9; Liu, Ting and Zhou, 2008).
 
-1. Each tree gets a sample of at most ``sample_size`` rows: rows draw a tree
-   id and a random key from a seeded hash, a Bernoulli pre-sample bounds the
-   volume, and ``row_number`` over ``(tree)`` keeps the first
-   ``sample_size`` per tree (every window partition holds at most
-   ``sample_size * oversample`` rows).
+1. Every tree draws its own ``sample_size`` rows, independently of the other
+   trees: those whose hash of (seed, tree, key) is smallest.  A threshold on
+   the hash (three times the share needed) keeps the rest away from the
+   shuffle.  The draw depends on the rows' unique key alone, so neither the
+   partitioning nor the row order changes a label.
 2. ``groupBy(tree).applyInPandas`` grows each tree (random feature, random
    split between min and max, depth limit ``ceil(log2(sample_size))``).
 3. The forest (``trees x 2^(depth+1)`` nodes: bounded by the parameters,
@@ -95,26 +95,29 @@ def _path_lengths(x: np.ndarray, trees) -> np.ndarray:
     return total / len(trees)
 
 
-def isolation_scores(df: DataFrame, x: Sequence[str], trees: int = 100, sample_size: int = 256,
-                     seed: int = 42, out: str = "anomaly_score") -> DataFrame:
-    """Anomaly score per row (higher = more isolated)."""
-    x = list(x)
-    n = df.where(_complete(x)).count()
+def isolation_scores(df: DataFrame, x: Sequence[str], key: Sequence[str], trees: int = 100,
+                     sample_size: int = 256, seed: int = 42, out: str = "anomaly_score") -> DataFrame:
+    """Anomaly score per row (higher = more isolated); ``key`` is unique."""
+    x, key = list(x), list(key)
+    base = df.where(_complete(x))
+    n = base.count()
     psi = min(sample_size, n)
-    frac = min(1.0, 3.0 * psi * trees / max(n, 1))
-    pre = df.where(_complete(x)).select(*[F.col(c).cast("double").alias(c) for c in x]) \
-        .sample(False, frac, seed)
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in x], F.monotonically_increasing_id())
-    pre = pre.withColumn("_tree", F.pmod(h, F.lit(trees)).cast("int")) \
-        .withColumn("_key", F.xxhash64(F.lit(seed + 1), F.col("_tree"), h))
-    w = Window.partitionBy("_tree").orderBy("_key")
-    samp = pre.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_key")
+    # a tree expects 3 * psi rows below the limit; fewer than psi has odds below 1e-80
+    limit = int(min(1.0, 3.0 * sample_size / max(n, 1)) * (1 << 53))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.xxhash64(F.lit(seed), t, *[F.col(k) for k in key]).alias("draw")))
+    picked = F.filter(draws, lambda d: F.shiftrightunsigned(d["draw"], 11) < F.lit(limit))
+    w = Window.partitionBy("_tree").orderBy(F.shiftrightunsigned("_draw", 11), "_draw")
+    samp = (base.select(*[F.col(c).cast("double").alias(c) for c in x], F.explode(picked).alias("_p"))
+            .select(*x, F.col("_p.tree").alias("_tree"), F.col("_p.draw").alias("_draw"))
+            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_draw"))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
         rng = np.random.default_rng(seed * 100003 + t)
-        feat, thr, left, right, size = _grow(pdf[x].to_numpy(dtype=float), rng, max_depth)
+        sample = pdf.sort_values("_r")[x].to_numpy(dtype=float)
+        feat, thr, left, right, size = _grow(sample, rng, max_depth)
         return pd.DataFrame({"_tree": t, "node": np.arange(len(feat)), "feat": feat, "thr": thr,
                              "left": left, "right": right, "size": size})
 
@@ -129,7 +132,9 @@ def isolation_scores(df: DataFrame, x: Sequence[str], trees: int = 100, sample_s
         rows = sorted(forest[t], key=lambda r: r["node"])
         packed.append(tuple(np.array([getattr(r, k) for r in rows]) for k in ("feat", "thr", "left", "right", "size")))
     bc = df.sparkSession.sparkContext.broadcast(packed)
-    cn = c_factor(psi)
+    # normalised by the samples really drawn
+    cn = float(np.mean([c_factor(size[0]) for *_, size in packed])) if packed else 0.0
+    cn = cn or 1.0
 
     @F.pandas_udf(DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
@@ -146,11 +151,12 @@ def _complete(cols):
     return cond
 
 
-def isolation_anomalies(df: DataFrame, x: Sequence[str], contamination: float = 0.01, trees: int = 100,
-                        sample_size: int = 256, seed: int = 42, label: str = "anomaly") -> DataFrame:
+def isolation_anomalies(df: DataFrame, x: Sequence[str], key: Sequence[str], contamination: float = 0.01,
+                        trees: int = 100, sample_size: int = 256, seed: int = 42,
+                        label: str = "anomaly") -> DataFrame:
     """label -1 for the ``contamination`` share of rows with the highest
     isolation score, 1 otherwise."""
-    scored = isolation_scores(df, x, trees, sample_size, seed).persist()
+    scored = isolation_scores(df, x, key, trees, sample_size, seed)
     cut = exact_quantiles(scored, "anomaly_score", [1 - contamination]) \
         .select(F.col("q").alias("_cut"))
     j = with_scalars(scored, cut)

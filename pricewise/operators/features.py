@@ -48,37 +48,24 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                       for c in df.columns])
 
 
-def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 10_000) -> dict[str, list[str]]:
-    """Sorted non-null levels per column (one stacked distinct, collected:
-    the levels name the output columns, so they are needed at plan time).
-
-    Levels become columns, so their number is bounded: at most
-    ``max_levels`` per column, checked with a ``limit`` before collecting."""
-    cols = list(cols)
-    long = stacked(df, cols, (), cast="string").where(F.col("value").isNotNull()).distinct()
-    rows = long.limit(max_levels * len(cols) + 1).collect()
-    levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        levels[r["column"]].append(r["value"])
-    too_many = [c for c, v in levels.items() if len(v) > max_levels]
-    if too_many or len(rows) > max_levels * len(cols):
-        raise ValueError(f"more than {max_levels} levels in {too_many or cols}; one-hot needs a bounded vocabulary")
-    return {c: sorted(v) for c, v in levels.items()}
-
-
-def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
-            levels: dict[str, list[str]] | None = None, sep: str = "_") -> DataFrame:
-    """0/1 columns ``col_level`` for sorted levels, first level dropped
-    when ``drop_first``; NULL gives all zeros.  Non-encoded columns come
-    first (pandas ``get_dummies`` layout).  Pass ``levels`` fitted on a
-    training frame to encode another frame the same way."""
+def category_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct non-null levels of every column in long form (``column,
+    value``): whatever their number, none of them becomes a column."""
+    return stacked(df, list(cols), (), cast="string").where(F.col("value").isNotNull()).distinct()
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], levels: dict[str, Sequence[str]], drop_first: bool = True,
+            sep: str = "_") -> DataFrame:
+    """0/1 columns ``col_level`` for the declared ``levels`` in sorted
+    order, the first one dropped when ``drop_first``; NULL gives all zeros.
+    Non-encoded columns come first (pandas ``get_dummies`` layout).  Levels
+    name output columns, so the caller declares them (``category_levels``
+    lists those of a table); the same ones encode any other frame alike."""
     cols = list(cols)
-    levels = levels or category_levels(df, cols)
     keep = [F.col(c) for c in df.columns if c not in cols]
     flags = []
     for c in cols:
-        lv = levels[c][1:] if drop_first else levels[c]
-        for v in lv:
+        for v in sorted(levels[c])[1 if drop_first else 0:]:
             flags.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
                          .alias(f"{c}{sep}{v}"))
     return df.select(*keep, *flags)

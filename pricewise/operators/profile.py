@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pricewise.functions.dist import chi2_sf_col
 from pricewise.operators.rank import exact_quantiles, stacked
-from pricewise.session import broadcast_if_small, with_scalars
+from pricewise.session import with_scalars
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -46,13 +46,13 @@ def find_duplicates(df: DataFrame) -> DataFrame:
 
     Duplicate keys are found with a map-side combined ``groupBy(all).count``
     (a hot repeated row collapses to one row before the shuffle) and joined
-    back null-safely.  The key table is broadcast only if proven small;
-    otherwise the sort-merge join relies on AQE skew splitting.
+    back null-safely.  AQE broadcasts the key table when its
+    bytes are few; otherwise it splits skewed partitions of the join.
     """
     cols = df.columns
     dup_keys = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
                 .where(F.col("_c") > 1).drop("_c"))
-    return _semi_null_safe(df, broadcast_if_small(dup_keys), cols)
+    return _semi_null_safe(df, dup_keys, cols)
 
 
 def _semi_null_safe(df: DataFrame, keys_df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -147,9 +147,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: flo
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("_lo", F.col("q1") - k * F.col("iqr"))
         .withColumn("_hi", F.col("q3") + k * F.col("iqr")))
-    # one row per (group, column): bounded by the group count, size-checked
-    qb = broadcast_if_small(qw)
-    j = _null_safe_join(long, qb, [*by, "column"])
+    j = _null_safe_join(long, qw, [*by, "column"])
     v = F.col("value")
     agg = j.groupBy(*by, "column").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -169,8 +167,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: Sequence[str] = ()) -
         base = base.where(_all_not_null(by))
     rng = base.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     rng = rng.withColumn("_w", (F.col("_max") - F.col("_min")) / bins)
-    rb = broadcast_if_small(rng)
-    j = _null_safe_join(base, rb, by)
+    j = _null_safe_join(base, rng, by)
     b = F.when(F.col("_w") == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_min")) / F.col("_w")), F.lit(bins - 1))).cast("int")
     counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -213,7 +210,7 @@ def group_density(df: DataFrame, x: str, by: str, grid: int = 100, cut: float =
           .where(F.col("_h") > 0)
           .withColumn("_g0", F.col("_mn") - cut * F.col("_h"))
           .withColumn("_gs", (F.col("_mx") - F.col("_mn") + 2 * cut * F.col("_h")) / (grid - 1)))
-    sb = broadcast_if_small(st)
+    sb = st
     j = base.join(sb, "level")
     j = j.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     g = F.col("_g0") + F.col("gi") * F.col("_gs")
@@ -263,22 +260,19 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return src.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 10_000) -> DataFrame:
-    """Contingency counts in long form ``a, b, count`` including zero
-    cells (levels of a x levels of b); rows with a NULL in either dropped."""
+def crosstab(df: DataFrame, a: str, b: str, levels: Sequence | None = None) -> DataFrame:
+    """Contingency counts in long form ``a, b, count``; rows with a NULL
+    in either are dropped.  Observed cells only, unless the caller declares
+    the ``levels`` of ``b``: then every level of ``a`` also lists its zero
+    cells (and values of ``b`` beyond the declared ones still appear)."""
     base = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull())
-    counts = base.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
-    # The C column levels become a literal array (bounded and checked like
-    # any pivot's column list); each row level expands to its C cells in
-    # place, so no cartesian join is planned.
-    cols_b = counts.select("b").distinct().limit(max_levels + 1).collect()
-    if len(cols_b) > max_levels:
-        raise ValueError(f"more than {max_levels} levels in {b}")
-    levels = F.array(*[F.lit(r["b"]) for r in sorted(cols_b, key=lambda r: r["b"])])
-    grid = counts.select("a").distinct().select("a", F.explode(levels).alias("b"))
-    return grid.join(counts, ["a", "b"], "left").select(
-        "a", "b", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    counts = base.groupBy("a", "b").agg(F.count(F.lit(1)).cast("long").alias("count"))
+    if levels is None:
+        return counts
+    # a level of ``a`` adds zeros to its own counts: no join, no list on the driver
+    zeros = counts.select("a", F.explode(F.array(*[F.lit(v) for v in levels])).alias("b"), F.lit(0).alias("count"))
+    return counts.unionByName(zeros.distinct()).groupBy("a", "b").agg(F.sum("count").alias("count"))
 
 
 def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -295,8 +289,8 @@ def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def _chi2_from_cells(cells: DataFrame) -> DataFrame:
     """Pearson chi-square per table from observed cells only:
-    ``chi2 = sum(O^2/E) - N`` over observed cells (zero cells add E to
-    sum(E) and nothing else).  Tables with one degree of freedom (2 x 2) get
+    ``chi2 = sum((O-E)^2/E) + (N - sum(E))``: a zero cell adds its E, and all
+    E add up to N.  Tables with one degree of freedom (2 x 2) get
     the Yates correction ``|O-E| -> |O-E| - min(0.5, |O-E|)`` over all four
     cells, zero cells included.  Returns ``var1, var2, chi2, dof, r, c, n``.
     """
@@ -318,7 +312,10 @@ def _chi2_from_cells(cells: DataFrame) -> DataFrame:
         F.sum(F.pow(dev - F.least(F.lit(0.5), dev), 2) / e).alias("chi2_y"))
     big = cells.join(ra, [*keys, "a"]).join(cb, [*keys, "b"]).join(dims, keys)
     pear = big.groupBy(*keys).agg(
-        (F.sum(F.pow(F.col("o"), 2) / e) - F.first("n")).alias("chi2_p"))
+        (F.sum(F.pow(F.col("o") - e, 2) / e)
+         # without zero cells the difference is rounding only
+         + F.when(F.count(F.lit(1)) < F.first("r") * F.first("c"), F.greatest(F.first("n") - F.sum(e), F.lit(0.0)))
+         .otherwise(0.0)).alias("chi2_p"))
     out = dims.join(pear, keys).join(yates, keys, "left")
     dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("long")
     chi2 = F.when(dof == 0, F.lit(0.0)).when(dof == 1, F.col("chi2_y")).otherwise(

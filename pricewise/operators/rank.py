@@ -14,7 +14,7 @@ The operators here get exact answers with neither:
 3. A per-partition running sum (``mapInPandas``, NumPy cumsum in the task)
    plus a small table of per-(partition, group) totals gives every distinct
    value its global cumulative count.  That table has at most
-   ``partitions + groups`` rows; it is broadcast only after a size check.
+   ``partitions + groups`` rows.
 
 Quantiles then pick the (at most two) values around each target rank.
 """
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pricewise.session import broadcast_if_small
-
 
 def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of ``left[k]`` and ``right['_r_' + k]``."""
@@ -48,6 +46,15 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in df.columns])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the left keys stay."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("a join needs a key")
+    r = _renamed(right, keys)
+    return left.join(r, _null_safe_on(left, r, keys), how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _running_sum(group_col: str | None, weight_col: str, out_col: str):
     """Per-partition running sum of ``weight_col`` that restarts whenever
     ``group_col`` changes; rows arrive sorted within the partition."""
@@ -95,8 +102,8 @@ def ranked_value_counts(df: DataFrame, value: str | Column, by: Sequence[str] =
     """Distinct values with their global cumulative counts per group.
 
     Returns ``(ranked, sizes)``:
-    ``ranked`` has ``by..., _v, _cnt, _cum`` where ``_cum`` is the number of
-    non-null rows of the group with a value ``<= _v``; ``sizes`` has
+    ``ranked`` has ``by..., _v, _cnt, _cum, _n`` where ``_cum`` is the number
+    of non-null rows of the group with a value ``<= _v``; ``sizes`` has
     ``by..., _n`` (non-null rows per group, one small row per group).
     """
     by = list(by)
@@ -118,37 +125,36 @@ def ranked_value_counts(df: DataFrame, value: str | Column, by: Sequence[str] =
            .withColumn("_n", F.sum("_ptot").over(whole))
            .select("_pid", *by, "_off", "_n"))
     off = off.persist(StorageLevel.MEMORY_AND_DISK)
-    off_b = broadcast_if_small(_renamed(off, ["_pid", *by]))
+    off_b = _renamed(off, ["_pid", *by])
 
     ranked = (local.join(off_b, _null_safe_on(local, off_b, ["_pid", *by]))
               .select(*[local[b] for b in by], local["_v"], local["_cnt"],
-                      (local["_lcum"] + off_b["_off"]).alias("_cum")))
+                      (local["_lcum"] + off_b["_off"]).alias("_cum"), off_b["_n"]))
     sizes = off.groupBy(*by).agg(F.max("_n").alias("_n"))
     return ranked, sizes
 
 
-def quantiles_from_ranked(ranked: DataFrame, sizes: DataFrame, probs: Sequence[float],
-                          by: Sequence[str] = ()) -> DataFrame:
+def quantiles_from_ranked(ranked: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles (numpy/pandas default) per group.
 
     Returns ``by..., p, q`` with ``q = lo + (hi - lo) * frac`` where ``lo``
     and ``hi`` are the values at 0-based positions ``floor((n-1)p)`` and
-    ``ceil((n-1)p)``.
+    ``ceil((n-1)p)``.  Every ranked value knows its group's ``_n``, so the
+    values around a target rank are picked in place, without a join: at most
+    two per group and probability reach the final shuffle.
     """
     by = list(by)
-    targets = (sizes.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-               .withColumn("_rlo", F.floor("_h") + 1)
-               .withColumn("_rhi", F.ceil("_h") + 1)
-               .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    t = broadcast_if_small(_renamed(targets, by))
-    lo_hit = (t["_rlo"] > ranked["_cum"] - ranked["_cnt"]) & (t["_rlo"] <= ranked["_cum"])
-    hi_hit = (t["_rhi"] > ranked["_cum"] - ranked["_cnt"]) & (t["_rhi"] <= ranked["_cum"])
-    joined = ranked.join(t, _null_safe_on(ranked, t, by) & (lo_hit | hi_hit))
-    agg = (joined.groupBy(*[t[f"_r_{b}"].alias(b) for b in by], t["_p"])
-           .agg(F.max(F.when(lo_hit, ranked["_v"])).alias("_vlo"),
-                F.max(F.when(hi_hit, ranked["_v"])).alias("_vhi"),
-                F.max(t["_frac"]).alias("_frac")))
+    h = (F.col("_n") - 1) * F.col("_p")
+
+    def holds(rank: Column) -> Column:
+        return (rank > F.col("_cum") - F.col("_cnt")) & (rank <= F.col("_cum"))
+
+    picked = (ranked.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+              .withColumns({"_lo": holds(F.floor(h) + 1), "_hi": holds(F.ceil(h) + 1), "_frac": h - F.floor(h)})
+              .where(F.col("_lo") | F.col("_hi")))
+    agg = (picked.groupBy(*by, "_p")
+           .agg(F.max(F.when(F.col("_lo"), F.col("_v"))).alias("_vlo"),
+                F.max(F.when(F.col("_hi"), F.col("_v"))).alias("_vhi"), F.max("_frac").alias("_frac")))
     q = (F.col("_vlo").cast("double")
          + (F.col("_vhi").cast("double") - F.col("_vlo").cast("double")) * F.col("_frac"))
     return agg.select(*by, F.col("_p").alias("p"), q.alias("q"))
@@ -157,8 +163,8 @@ def quantiles_from_ranked(ranked: DataFrame, sizes: DataFrame, probs: Sequence[f
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles of ``value`` per group: ``by..., p, q``."""
-    ranked, sizes = ranked_value_counts(df, value, by)
-    return quantiles_from_ranked(ranked, sizes, probs, by)
+    ranked, _ = ranked_value_counts(df, value, by)
+    return quantiles_from_ranked(ranked, probs, by)
 
 
 def stacked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
@@ -197,8 +203,7 @@ def with_global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "_rank
     # at most one row per partition: a single-task window over this table is
     # bounded by the partition count, not by the data
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_pc").over(w), F.lit(0)))
-    offsets = broadcast_if_small(offsets)
-    out = (with_id.join(offsets, "_pid")
+    out = (with_id.join(F.broadcast(offsets), "_pid")
            .withColumn(rank_col, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
            .drop("_mid", "_pid", "_pc", "_first", "_off"))
     return out

@@ -1,7 +1,7 @@
 """Joins and set operations.
 
-Join strategy is left to Catalyst/AQE except where a side is provably small
-(``broadcast_if_small`` counts it first).  C6 is a bounded fan-out instead of
+Join strategy is left to Catalyst and AQE, which broadcasts a side when its
+measured bytes are few.  C6 is a bounded fan-out instead of
 a self-join, so its cost is linear in ``max_shift``.
 """
 
@@ -13,8 +13,6 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewise.session import broadcast_if_small
-
 
 def group_stats(df: DataFrame, by: Sequence[str], y: str, prefix: str = "") -> DataFrame:
     """C1 (folded): sample std, mean and count of ``y`` per group, one agg."""
@@ -26,7 +24,7 @@ def group_stats(df: DataFrame, by: Sequence[str], y: str, prefix: str = "") -> D
 def join_group_stats(df: DataFrame, by: Sequence[str], y: str, prefix: str = "") -> DataFrame:
     """Left join of the group statistics back onto the rows."""
     stats = group_stats(df, by, y, prefix)
-    return df.join(broadcast_if_small(stats), list(by), "left")
+    return df.join(stats, list(by), "left")
 
 
 def _not_null(cols):
@@ -37,9 +35,8 @@ def _not_null(cols):
 
 
 def lookup_map(df: DataFrame, small: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Per-row dictionary lookup as a left join; the lookup side is
-    broadcast only after a size check."""
-    return df.join(broadcast_if_small(small), on, "left")
+    """Per-row dictionary lookup as a left join."""
+    return df.join(small, on, "left")
 
 
 def align_on_date(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "full_outer") -> DataFrame:
@@ -89,7 +86,7 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def drop_by_key(df: DataFrame, bad: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Remove rows whose key appears in ``bad`` (left anti join)."""
-    return df.join(broadcast_if_small(bad), key, "left_anti")
+    return df.join(bad, key, "left_anti")
 
 
 def parameter_grid(spark, **lists) -> DataFrame:

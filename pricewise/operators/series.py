@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricewise.functions.dist import chi2_sf_col
-from pricewise.operators.rank import with_global_rank
-from pricewise.session import broadcast_if_small
+from pricewise.operators.rank import null_safe_join, with_global_rank
 
 BLOCK_ROWS = 1_000_000
 
@@ -35,14 +34,20 @@ BLOCK_ROWS = 1_000_000
 # ---------------------------------------------------------------- layout
 def positions(df: DataFrame, by: Sequence[str], order: str, pos_col: str = "_pos") -> DataFrame:
     """1-based position of each row within its series in ``order`` (unique
-    within a series), without a per-series window."""
+    within a series), without a per-series window.  A NULL series key is a
+    series of its own."""
     by = list(by)
     ranked = with_global_rank(df, [*by, order], "_grank")
     first = ranked.groupBy(*by).agg(F.min("_grank").alias("_gfirst"))
-    out = ranked.join(broadcast_if_small(first), by)
+    out = null_safe_join(ranked, first, by)
     return out.withColumn(pos_col, F.col("_grank") - F.col("_gfirst") + 1).drop("_grank", "_gfirst")
 
 
+def dense(df: DataFrame, by: Sequence[str], pos: str) -> DataFrame:
+    """``pos`` numbered 1..n again in its own order, after rows were dropped."""
+    return positions(df, by, pos, "_dense").drop(pos).withColumnRenamed("_dense", pos)
+
+
 def series_lengths(df: DataFrame, by: Sequence[str], pos: str = "_pos") -> DataFrame:
     return df.groupBy(*by).agg(F.max(pos).alias("_len"))
 
@@ -69,7 +74,8 @@ def with_window_columns(df: DataFrame, by: Sequence[str], pos: str, lookback: in
     """Add columns computed over a bounded ordered window per series.
 
     ``make[name](w)`` returns a Column using the window spec ``w`` and may
-    look back at most ``lookback`` rows.
+    look back at most ``lookback`` rows.  ``pos`` must have no holes within a
+    series (see ``dense``): halos are cut by position.
     """
     b = blocked(df, pos, lookback, block_rows)
     w = block_window(by, pos)
@@ -105,7 +111,7 @@ def _fill_many(df: DataFrame, by: Sequence[str], pos: str, cols: dict[str, str],
     # carry: nearest non-null value in an earlier (ffill) / later (bfill)
     # block, from a table of one row per block
     per_blk = b.groupBy(*by, "_blk").agg(*edges).select(*by, "_blk", *carries)
-    j = b.join(broadcast_if_small(per_blk), [*by, "_blk"], "left")
+    j = null_safe_join(b, per_blk, [*by, "_blk"], "left")
     n = len(cols)
     return j.withColumns({out: F.coalesce(F.col(f"_in{i}"), F.col(f"_carry{i}"))
                           for i, out in enumerate(cols.values())}) \
@@ -132,9 +138,10 @@ def fill_missing_dates(df: DataFrame, by: Sequence[str], d: str, impute: dict |
     return out.drop("_present")
 
 
-def backfill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]) -> DataFrame:
+def backfill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str],
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """replace NULL by the next non-null value of the series."""
-    return _fill_many(df, by, pos, {c: c for c in cols}, forward=False)
+    return _fill_many(df, by, pos, {c: c for c in cols}, forward=False, block_rows=block_rows)
 
 
 def forward_fill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]) -> DataFrame:
@@ -157,7 +164,8 @@ def add_lags(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: Sequenc
         f"{col}_lag_value_{k}": (lambda w, k=k: F.lag(col, k).over(w)) for k in lags})
 
 
-def rolling_stats(df: DataFrame, by: Sequence[str], pos: str, col: str, w: int) -> DataFrame:
+def rolling_stats(df: DataFrame, by: Sequence[str], pos: str, col: str, w: int,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """trailing mean, sample std, min and max over ``w`` rows; NULL until
     ``w`` non-null values are in the window."""
     def guard(expr_fn):
@@ -168,32 +176,37 @@ def rolling_stats(df: DataFrame, by: Sequence[str], pos: str, col: str, w: int)
         f"recent_std_dev_{w}": guard(lambda r: F.stddev_samp(col).over(r)),
         f"recent_min_{w}": guard(lambda r: F.min(col).over(r)),
         f"recent_max_{w}": guard(lambda r: F.max(col).over(r)),
-    })
+    }, block_rows)
 
 
 def pct_change(df: DataFrame, by: Sequence[str], pos: str, col: str, n: int = 1,
-               out: str | None = None) -> DataFrame:
+               out: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``x / lag(x, n) - 1`` after a forward fill (pandas' default pad);
     a zero base gives NULL."""
     out = out or f"{col}_pct_change_{n}"
-    filled = _fill(df, by, pos, col, "_ff", forward=True)
+    filled = _fill(df, by, pos, col, "_ff", forward=True, block_rows=block_rows)
     res = with_window_columns(filled, by, pos, n, {
-        out: lambda w: F.try_divide(F.col("_ff"), F.lag("_ff", n).over(w)) - 1})
+        out: lambda w: F.try_divide(F.col("_ff"), F.lag("_ff", n).over(w)) - 1}, block_rows)
     return res.drop("_ff")
 
 
 def growth_features(df: DataFrame, by: Sequence[str], pos: str, col: str, week: int = 7,
-                    month: int = 30) -> DataFrame:
+                    month: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """F6 + F7: ``1_week_pct_growth`` and ``growth_volatility_past_month``
     (trailing sample std of the 1-row growth over ``month`` rows)."""
-    g = pct_change(df, by, pos, col, week, "1_week_pct_growth")
-    g = pct_change(g, by, pos, col, 1, "_g1")
-    r = F.col("_g1")
-    res = with_window_columns(g, by, pos, month - 1, {
-        "growth_volatility_past_month": lambda w: F.when(
-            F.count(r).over(w.rowsBetween(-(month - 1), 0)) == month,
-            F.stddev_samp(r).over(w.rowsBetween(-(month - 1), 0)))})
-    return res.drop("_g1")
+    filled = _fill(df, by, pos, col, "_ff", forward=True, block_rows=block_rows)
+    # one layout for both layers: the oldest growth used needs the value ``month`` rows back
+    b = blocked(filled, pos, max(week, month), block_rows)
+    w = block_window(by, pos)
+    recent = w.rowsBetween(-(month - 1), 0)
+
+    def growth(n: int) -> Column:
+        return F.try_divide(F.col("_ff"), F.lag("_ff", n).over(w)) - 1
+
+    b = b.withColumns({"1_week_pct_growth": growth(week), "_g1": growth(1)}).withColumn(
+        "growth_volatility_past_month",
+        F.when(F.count("_g1").over(recent) == month, F.stddev_samp("_g1").over(recent)))
+    return b.where(~F.col("_halo")).drop("_blk", "_halo", "_ff", "_g1")
 
 
 def additional_regressors(df: DataFrame, by: Sequence[str], pos: str, col: str, w: int) -> DataFrame:
@@ -216,15 +229,18 @@ def fourier_terms(df: DataFrame, pos: str, m: float, k: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F11, F12, F19
-def acf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10) -> DataFrame:
+def acf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10,
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """biased autocorrelation ``sum(z_t z_{t-k}) / sum(z_t^2)`` with
-    ``z = x - mean``: ``by..., lag, acf`` for lag 0..``lags``."""
+    ``z = x - mean``: ``by..., lag, acf`` for lag 0..``lags``.  NULL values
+    are left out first and the rest is numbered afresh, so a lag is a number
+    of values whatever holes the positions have."""
     by = list(by)
-    base = df.where(F.col(col).isNotNull())
+    base = dense(df.where(F.col(col).isNotNull()).select(*by, pos, col), by, pos)
     mean = base.groupBy(*by).agg(F.avg(col).alias("_mu"))
-    z = base.join(broadcast_if_small(mean), by).withColumn("_z", F.col(col) - F.col("_mu"))
+    z = null_safe_join(base, mean, by).withColumn("_z", F.col(col) - F.col("_mu"))
     lagged = with_window_columns(z, by, pos, lags, {
-        f"_z{k}": (lambda w, k=k: F.lag("_z", k).over(w)) for k in range(1, lags + 1)})
+        f"_z{k}": (lambda w, k=k: F.lag("_z", k).over(w)) for k in range(1, lags + 1)}, block_rows)
     sums = lagged.groupBy(*by).agg(
         F.sum(F.col("_z") * F.col("_z")).alias("_s0"),
         *[F.sum(F.col("_z") * F.col(f"_z{k}")).alias(f"_s{k}") for k in range(1, lags + 1)])
@@ -250,12 +266,13 @@ def _durbin_levinson(r: np.ndarray, lags: int) -> np.ndarray:
     return out
 
 
-def pacf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10) -> DataFrame:
+def pacf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10,
+         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """partial autocorrelation by Durbin-Levinson on the biased ACF
     (Yule-Walker, MLE-style variance): ``by..., lag, pacf``.  The recursion
     runs per series on its ``lags + 1`` ACF values only."""
     by = list(by)
-    a = acf(df, by, pos, col, lags)
+    a = acf(df, by, pos, col, lags, block_rows)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema.fields if f.name in by]
                        + ["lag int", "pacf double"])
 
@@ -271,13 +288,14 @@ def pacf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10) -
     return a.groupBy(*by).applyInPandas(fn, schema)
 
 
-def ljung_box(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 5) -> DataFrame:
+def ljung_box(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 5,
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``Q_L = n(n+2) sum_{k<=L} r_k^2 / (n-k)`` and its chi-square p
     for L = 1..``lags``: ``by..., lag, lb_stat, lb_pvalue``."""
     by = list(by)
-    a = acf(df, by, pos, col, lags).where(F.col("lag") > 0)
+    a = acf(df, by, pos, col, lags, block_rows).where(F.col("lag") > 0)
     n = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    j = a.join(broadcast_if_small(n), by)
+    j = null_safe_join(a, n, by)
     term = F.col("_n") * (F.col("_n") + 2) * F.pow(F.col("acf"), 2) / (F.col("_n") - F.col("lag"))
     w = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     q = j.withColumn("lb_stat", F.sum(term).over(w))  # at most ``lags`` rows per series
@@ -293,7 +311,7 @@ def future_frame(df: DataFrame, by: Sequence[str], d: str, pos: str, h: int,
     their own rows (NULL on future rows)."""
     by = list(by)
     n = series_lengths(df, by, pos)
-    last = df.join(broadcast_if_small(n), by).where(F.col(pos) == F.col("_len")) \
+    last = df.join(n, by).where(F.col(pos) == F.col("_len")) \
         .select(*by, F.col(d).alias("_dl"), "_len")
     fut = last.select(*by, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_k"), "_dl", "_len") \
         .select(*by, (F.col("_len") + F.col("_k")).alias(pos), F.date_add("_dl", F.col("_k")).alias(d))
@@ -305,7 +323,7 @@ def future_frame(df: DataFrame, by: Sequence[str], d: str, pos: str, h: int,
 def last_n_holdout(df: DataFrame, by: Sequence[str], pos: str, h: int = 30, role_col: str = "role") -> DataFrame:
     """the last ``h`` rows of each series are ``test``, the rest ``train``."""
     n = series_lengths(df, by, pos)
-    j = df.join(broadcast_if_small(n), list(by))
+    j = df.join(n, list(by))
     return j.withColumn(role_col, F.when(F.col(pos) > F.col("_len") - h, "test").otherwise("train")).drop("_len")
 
 
@@ -316,7 +334,7 @@ def time_series_folds(df: DataFrame, by: Sequence[str], pos: str, n_splits: int
     earlier rows.  ``by..., fold, pos, role`` (each row in every fold it
     takes part in: a fan-out of at most ``n_splits``)."""
     n = series_lengths(df, by, pos)
-    j = df.join(broadcast_if_small(n), list(by))
+    j = df.join(n, list(by))
     j = j.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     start = F.col("_len") - (F.lit(n_splits) - F.col("fold")) * test_size + 1
     role = F.when(F.col(pos) < start, "train").when(F.col(pos) < start + test_size, "test")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricewise.functions.dist import chi2_sf, f_sf, mackinnon_p_constant
 from pricewise.operators.series import series_lengths, with_window_columns
-from pricewise.session import broadcast_if_small, cut_lineage
+from pricewise.session import cut_lineage
 
 
 def _key_schema(df: DataFrame, by: Sequence[str]) -> list[str]:
@@ -115,7 +115,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     else:
         ml = F.lit(int(max_lag))
         lmax = int(max_lag)
-    mls = broadcast_if_small(nobs.select(*by, ml.alias("_ml")))
+    mls = nobs.select(*by, ml.alias("_ml"))
     cols = {"_lvl": lambda w: F.lag(col, 1).over(w), "_dx": lambda w: F.col(col) - F.lag(col, 1).over(w)}
     lagged = with_window_columns(df, by, pos, 1, cols)
     lagged = with_window_columns(lagged, by, pos, max(lmax, 1),
@@ -123,7 +123,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     xs = ["_lvl", *[f"_dl{k}" for k in range(1, lmax + 1)], "_dx"]
     # centre by the series means for conditioning (the ones column absorbs it)
     mu = lagged.groupBy(*by).agg(F.avg(col).alias("_mu"), F.avg("_dx").alias("_mdx"))
-    lagged = lagged.join(broadcast_if_small(mu), by).join(mls, by)
+    lagged = lagged.join(mu, by).join(mls, by)
     # complete cases: a row counts for a fit only if all lags of that fit exist
     lagged = lagged.withColumn("_whole", _complete_lags([f"_dl{k}" for k in range(1, lmax + 1)]))
     lagged = lagged.withColumn("_lvl", F.col("_lvl") - F.col("_mu")).withColumns(
@@ -155,7 +155,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
         chosen = g_common.groupBy(*by).applyInPandas(pick, ", ".join(key_schema + ["_L int"]))
     else:
         chosen = mls.select(*by, F.col("_ml").alias("_L"))
-    refit = lagged.join(broadcast_if_small(chosen), by)
+    refit = lagged.join(chosen, by)
     refit = refit.withColumns({f"_dl{j}": F.when(F.col("_L") >= j, F.col(f"_dl{j}")).otherwise(F.lit(0.0))
                                for j in range(1, lmax + 1)})
     g_fit = _masked_gram(refit, [*by, "_L"], xs, {0: ok & (F.col(pos) >= F.col("_L") + 2) & (F.col("_whole") >= F.col("_L"))})
@@ -185,7 +185,7 @@ def granger(df: DataFrame, by: Sequence[str], pos: str, y: str, x: str, max_lag:
     f_p, chi2, chi2_p, lr, lr_p``."""
     by = list(by)
     mu = df.groupBy(*by).agg(F.avg(y).alias("_my"), F.avg(x).alias("_mx"))
-    c = df.join(broadcast_if_small(mu), by).withColumn("_y", F.col(y) - F.col("_my")) \
+    c = df.join(mu, by).withColumn("_y", F.col(y) - F.col("_my")) \
         .withColumn("_x", F.col(x) - F.col("_mx"))
     make = {}
     for k in range(1, max_lag + 1):
@@ -270,7 +270,7 @@ def forecast_ar(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y:
     by = list(by)
     p = max(lags)
     n = series_lengths(df, by, pos)
-    tail = df.join(broadcast_if_small(n), by).where(F.col(pos) > F.col("_len") - p) \
+    tail = df.join(n, by).where(F.col(pos) > F.col("_len") - p) \
         .select(*by, pos, F.col(y).cast("double").alias("_y"), *[F.lit(None).cast("double").alias(e) for e in exog],
                 F.lit(False).alias("_fut"))
     fut = future.select(*by, pos, F.lit(None).cast("double").alias("_y"),
@@ -349,7 +349,7 @@ def fit_arima(df: DataFrame, by: Sequence[str], pos: str, y: str, order=(1, 1, 1
     for k in range(1, m + 1):
         resid = resid - F.col(f"_a{k}") * F.col(f"c__a{k}")
     w1r = w1.select(*by, "const", *[F.col(f"_a{k}").alias(f"c__a{k}") for k in range(1, m + 1)])
-    e_rows = dd.join(broadcast_if_small(w1r), by).withColumn(
+    e_rows = dd.join(w1r, by).withColumn(
         "_e", F.when(F.col(pos) > m + 1, resid)).drop("const", *[f"c__a{k}" for k in range(1, m + 1)])
     lag_make = {f"_p{k}": (lambda w, k=k: F.lag("_dy", k).over(w)) for k in range(1, p + 1)}
     lag_make.update({f"_q{k}": (lambda w, k=k: F.lag("_e", k).over(w)) for k in range(1, q + 1)})
@@ -386,7 +386,7 @@ def forecast_arima(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str,
     m = max(long_ar, p + q)
     keep = max(p, q, m) + 2
     n = series_lengths(df, by, pos)
-    tail = df.join(broadcast_if_small(n), by).where(F.col(pos) > F.col("_len") - keep - m) \
+    tail = df.join(n, by).where(F.col(pos) > F.col("_len") - keep - m) \
         .select(*by, pos, F.col(y).cast("double").alias("_y"), *[F.col(e).cast("double").alias(e) for e in exog],
                 F.lit(False).alias("_fut"), "_len")
     if future is None:
@@ -394,7 +394,7 @@ def forecast_arima(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str,
         fut = fut.select(*by, F.col(pos).cast("long").alias(pos), F.lit(None).cast("double").alias("_y"),
                          *[F.lit(None).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"), "_len")
     else:
-        fut = future.join(broadcast_if_small(n), by).select(
+        fut = future.join(n, by).select(
             *by, F.col(pos).cast("long").alias(pos), F.lit(None).cast("double").alias("_y"),
             *[F.col(e).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"), "_len")
     rows = tail.select(*by, F.col(pos).cast("long").alias(pos), "_y", *exog, "_fut", "_len").unionByName(fut)
@@ -475,7 +475,7 @@ def forecast_backtest(df: DataFrame, by: Sequence[str], pos: str, y: str, orders
     # materialise it once in the shared checkpoint folder
     df = cut_lineage(df)
     n = series_lengths(df, by, pos)
-    j = df.join(broadcast_if_small(n), by)
+    j = df.join(n, by)
     train = j.where(F.col(pos) <= F.col("_len") - h).drop("_len")
     test = j.where(F.col(pos) > F.col("_len") - h).drop("_len")
     out = None

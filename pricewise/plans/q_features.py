@@ -132,19 +132,28 @@ def q_impute_mode(spark, sf_dir):
     return E.impute_mode(fx, ["wheel_drive", "design"])
 
 
+# Levels of the driver data, declared because they name columns.
+ONE_HOT_LEVELS = {"condition": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+                  "design": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
+
+
 def _one_hot_sql() -> str:
-    # levels are the driver data's own (sorted, first dropped)
-    cond = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    design = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    flags = [f"CAST(coalesce(condition = '{v}', false) AS INTEGER) AS \"condition_{v}\"" for v in cond]
-    flags += [f"CAST(coalesce(design = '{v}', false) AS INTEGER) AS \"design_{v}\"" for v in design]
+    flags = [f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\""
+             for c, levels in ONE_HOT_LEVELS.items() for v in levels[1:]]
     return with_fixture("fx_listings", f"SELECT id, price, {', '.join(flags)} FROM fx_listings")
 
 
 @register("e03_one_hot", _one_hot_sql())
 def q_one_hot(spark, sf_dir):
     fx = fixture(spark, sf_dir, "fx_listings").select("id", "price", "condition", "design")
-    return E.one_hot(fx, ["condition", "design"], drop_first=True)
+    return E.one_hot(fx, ["condition", "design"], ONE_HOT_LEVELS)
+
+
+@register("e03_category_levels", with_fixture("fx_listings", """
+SELECT DISTINCT 'condition' AS "column", condition AS value FROM fx_listings WHERE condition IS NOT NULL
+UNION ALL SELECT DISTINCT 'design', design FROM fx_listings WHERE design IS NOT NULL"""))
+def q_category_levels(spark, sf_dir):
+    return E.category_levels(fixture(spark, sf_dir, "fx_listings"), ["condition", "design"])
 
 
 _SMOOTH = ["kilometers", "power", "trunk", "price"]

@@ -342,7 +342,7 @@ SELECT la.a, lb.b, CAST(coalesce(c.n, 0) AS BIGINT) AS count
 FROM (SELECT DISTINCT a FROM c) la CROSS JOIN (SELECT DISTINCT b FROM c) lb
 LEFT JOIN c ON c.a = la.a AND c.b = lb.b"""))
 def q_crosstab(spark, sf_dir):
-    return P.crosstab(fixture(spark, sf_dir, "fx_listings"), "condition", "wheel_drive")
+    return P.crosstab(fixture(spark, sf_dir, "fx_listings"), "condition", "wheel_drive", ["F", "O", "P"])
 
 
 def _chi2_sql(pairs, src: str = "fx_listings") -> str:

@@ -260,8 +260,8 @@ def q_ar1(spark, sf_dir):
 def q_ar_forecast(spark, sf_dir):
     f = filled_daily(spark, sf_dir)
     n = S.series_lengths(f, BY, "_pos")
-    train = f.join(F.broadcast(n), BY).where(F.col("_pos") <= F.col("_len") - 30).drop("_len")
-    test = f.join(F.broadcast(n), BY).where(F.col("_pos") > F.col("_len") - 30).drop("_len")
+    train = f.join(n, BY).where(F.col("_pos") <= F.col("_len") - 30).drop("_len")
+    test = f.join(n, BY).where(F.col("_pos") > F.col("_len") - 30).drop("_len")
     coefs = T.fit_ar(train, BY, "_pos", "open", [1, 2], ["high", "low"])
     return T.forecast_ar(train, coefs, BY, "_pos", "open", [1, 2], test.select(*BY, "_pos", "high", "low"),
                          ["high", "low"])
@@ -283,5 +283,5 @@ def q_backtest(spark, sf_dir):
 @register("f09_isolation_anomalies")
 def q_iforest(spark, sf_dir):
     f = filled_daily(spark, sf_dir)
-    return isolation_anomalies(f, ["open"], contamination=0.01, trees=50, seed=42) \
+    return isolation_anomalies(f, ["open"], ["series", "d"], contamination=0.01) \
         .select("series", "d", "open", "anomaly_score", "anomaly")

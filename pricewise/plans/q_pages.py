@@ -14,13 +14,20 @@ from pricewise.sources.fixtures import FIXTURES, fixture, with_fixture
 from pricewise.sources.tables import load, read_table, register_tables, write_stage
 
 
+# Class names of the detail table, and attribute names in it.
+TABLE_CLASS, KEY_CLASS = "hirdetesadatok", "bal pontos"
+ATTRIBUTES = ["Kivitel:", "Méret:", "Vételár:"]
+# Character references the driver's flat pages hold; ``&amp;`` goes last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
 # ------------------------------------------------------------- SQL helpers
 def _sql_text(expr: str) -> str:
     s = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
-    for ent, ch in PG.ENTITIES:
+    for ent, ch in ENTITIES:
         ch_sql = ch.replace("'", "''")
         s = f"replace({s}, '{ent}', '{ch_sql}')"
-    return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({s}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')"
 
 
 def _sql_blocks(expr: str, tag: str, cls: str | None = None) -> str:
@@ -108,13 +115,45 @@ def q_listing_links(spark, sf_dir):
     return PG.extract_listing_links(load(spark, sf_dir, "pages"), block_tag="li")
 
 
+# Pages written from known values of ``part``: result blocks that nest their
+# own tag, upper-case tags, single quotes and character references.
+NESTED_SQL = """
+SELECT p_partkey AS page_id, concat('<!-- ', p_name, ' --><DIV Class="hit row"><div class=pic><img src="x.png"></div>',
+  '<div><H3><span>', p_type, '</span><a class=t href=''/p?a=1&amp;b=', p_partkey, '''>&nbsp;', p_name, '&nbsp;&eacute;&#x41;<br>',
+  p_brand, ' </a></H3></div></DIV><div class="hit row"><div><h3>no link</h3></div><a href="/other">x</a></div>',
+  '<div class="hit"><a href="/not-a-hit">y</a></div>',
+  '<TABLE id=t class=''main specs''><tr><td class="name wide"><div>Size:</div></td><td><STRONG><div>', p_size,
+  '&nbsp;cm</div></STRONG></td></tr><tr><td class=''name wide''>Price:<td><strong>2&nbsp;', p_size, ' Ft</table>') AS html
+FROM part"""
+
+
+def _nested(spark, sf_dir):
+    register_tables(spark, sf_dir, ["part"])
+    return spark.sql(NESTED_SQL)
+
+
+@register("a04_nested_blocks", """
+SELECT p_partkey AS page_id, CAST(0 AS INTEGER) AS block_pos, concat(p_name, chr(160), 'éA', p_brand) AS title,
+       concat('/p?a=1&b=', p_partkey) AS href, CAST(NULL AS VARCHAR) AS reject_reason FROM part
+UNION ALL SELECT p_partkey, 1, NULL, NULL, 'no anchor in block' FROM part""")
+def q_nested_blocks(spark, sf_dir):
+    return PG.extract_listing_links(_nested(spark, sf_dir), "div", "hit row", "h3")
+
+
+@register("a05_nested_tables", """
+SELECT p_partkey AS page_id, CAST(0 AS INTEGER) AS attr_pos, 'Size:' AS attr, concat(p_size, chr(160), 'cm') AS value FROM part
+UNION ALL SELECT p_partkey, 1, 'Price:', concat('2', chr(160), p_size, ' Ft') FROM part""")
+def q_nested_tables(spark, sf_dir):
+    return PG.explode_attributes(PG.extract_key_values(_nested(spark, sf_dir), "specs", "name wide"))
+
+
 # ------------------------------------------------------------- A5, A6, A7
 @register("a05_extract_key_values", "WITH fx_kv_pages AS (" + FIXTURES["fx_kv_pages"] + "), src AS ("
           + KV_SRC_SQL + "), " + _sql_kv_pairs("src") + """
 SELECT src, page_id, CAST(row_number() OVER (PARTITION BY src, page_id ORDER BY i) - 1 AS INTEGER) AS attr_pos,
        attr, value FROM kept""")
 def q_key_values(spark, sf_dir):
-    kv = PG.extract_key_values(_kv_src(spark, sf_dir), key=["src", "page_id"])
+    kv = PG.extract_key_values(_kv_src(spark, sf_dir), TABLE_CLASS, KEY_CLASS, key=["src", "page_id"])
     return PG.explode_attributes(kv, key=["src", "page_id"])
 
 
@@ -127,10 +166,9 @@ SELECT o.src, o.page_id,
 FROM ok o LEFT JOIN kept k ON k.src = o.src AND k.page_id = o.page_id
 GROUP BY o.src, o.page_id""")
 def q_widen(spark, sf_dir):
-    kv = PG.extract_key_values(_kv_src(spark, sf_dir), key=["src", "page_id"])
+    kv = PG.extract_key_values(_kv_src(spark, sf_dir), TABLE_CLASS, KEY_CLASS, key=["src", "page_id"])
     good, _ = PG.quarantine_bad_rows(kv)
-    # attribute names are discovered from the data (bounded, sorted)
-    return PG.widen_attributes(good, key=["src", "page_id"])
+    return PG.widen_attributes(good, ATTRIBUTES, key=["src", "page_id"])
 
 
 @register("a07_quarantine_bad_rows", "WITH fx_kv_pages AS (" + FIXTURES["fx_kv_pages"] + "), src AS ("
@@ -142,7 +180,7 @@ SELECT src, page_id,
             WHEN len(ks) < len(vs) THEN 'fewer keys than values' END AS reject_reason
 FROM kv WHERE NOT regexp_matches(html, '{_TABLE}') OR len(ks) < len(vs)""")
 def q_quarantine(spark, sf_dir):
-    kv = PG.extract_key_values(_kv_src(spark, sf_dir), key=["src", "page_id"])
+    kv = PG.extract_key_values(_kv_src(spark, sf_dir), TABLE_CLASS, KEY_CLASS, key=["src", "page_id"])
     _, rejected = PG.quarantine_bad_rows(kv)
     return rejected.select("src", "page_id", "reject_reason")
 

@@ -180,7 +180,7 @@ def q_ic(spark, sf_dir):
     daily = fixture(spark, sf_dir, "fx_daily")
     c = daily.groupBy("series").agg(F.regr_slope("open", "high").alias("b"),
                                     F.regr_intercept("open", "high").alias("a"))
-    e = daily.join(F.broadcast(c), "series").groupBy("series").agg(
+    e = daily.join(c, "series").groupBy("series").agg(
         F.sum(F.pow(F.col("open") - F.col("a") - F.col("b") * F.col("high"), 2)).alias("sse"),
         F.count(F.lit(1)).alias("n"))
     ll, aic, bic = S.information_criteria(F.col("sse"), F.col("n"), F.lit(2))

@@ -12,11 +12,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Upper bound on rows of a side we are willing to broadcast after an explicit
-# count.  At ~100 bytes/row this keeps broadcasts well under 64 MB.
-DEFAULT_BROADCAST_ROWS = 500_000
-
-
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "pricewise") -> SparkSession:
     """Local session for tests and the bench (UI off, AQE on)."""
@@ -91,19 +86,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job, so it never scans more
-    than needed.  Above the bound the frame is returned as is and the planner
-    (with AQE) picks a shuffle join.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (one row by construction) to
     every row of ``df`` as typed literals.

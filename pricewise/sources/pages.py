@@ -1,48 +1,21 @@
 """The listing collector re-aimed at a table of fetched pages.
 
 Pages arrive as rows ``(page_id, url, html)``; every operator here is a
-per-row projection (regex arrays, higher-order functions, ``posexplode``), so
-extraction runs as narrow map stages over as many partitions as the page
-table has and never shuffles.  Markup is matched with non-greedy regexes:
-that covers flat blocks (``<li>``, ``<td>``, ``<strong>``, ``<h1>``); blocks
-that nest the same tag need a real HTML parser and are out of scope.
+per-row projection, so extraction runs as narrow map stages over as many
+partitions as the page table has and never shuffles.  Markup is read by an
+HTML parser (``markup``) in Arrow-batched column functions, one page at a
+time; a page without markup (NULL) has no elements.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# HTML entities decoded in extracted text (the ones a text node can hold
-# without a full parser); ``&amp;`` goes last so ``&amp;lt;`` stays ``&lt;``.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
-def _c(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-def tag_text(col) -> Column:
-    """Text of an HTML fragment: tags removed, basic entities decoded,
-    surrounding whitespace stripped (like ``.text.strip()``)."""
-    c = F.regexp_replace(_c(col), r"<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def _open_tag(tag: str, cls: str | None) -> str:
-    if cls is None:
-        return rf"<{tag}(?:\s[^>]*)?>"
-    return rf"<{tag}\s[^>]*class=\"{cls}\"[^>]*>"
-
-
-def inner_blocks(col, tag: str, cls: str | None = None) -> Column:
-    """Array of the inner HTML of every ``<tag class="cls">`` element."""
-    pattern = rf"(?s){_open_tag(tag, cls)}(.*?)</{tag}>"
-    return F.regexp_extract_all(_c(col), F.lit(pattern), 1)
+from pricewise.sources.markup import elements, select
 
 
 def page_requests(templates: DataFrame, template_col: str = "template", start: int = 1,
@@ -60,27 +33,31 @@ def extract_listing_links(pages: DataFrame, block_tag: str = "li", block_class:
                           title_tag: str | None = None, key: Sequence[str] = ("page_id",),
                           html: str = "html") -> DataFrame:
     """A4: one row per listing block with the title text and link of its
-    first anchor (inside ``title_tag`` when given, as the ``<h3><a>`` of the
-    result list).  Blocks without an anchor keep NULL ``title``/``href`` and a
+    first anchor (inside the first ``title_tag`` when given, as the
+    ``<h3><a>`` of a result list).  Blocks may hold nested tags of their own
+    kind.  Blocks without an anchor keep NULL ``title``/``href`` and a
     ``reject_reason`` (the collector skipped them; see A7)."""
-    blocks = inner_blocks(html, block_tag, block_class)
-    out = pages.select(*key, F.posexplode_outer(blocks).alias("block_pos", "_block")) \
+
+    @F.pandas_udf("array<struct<title:string,href:string>>")
+    def links(column: pd.Series) -> pd.Series:
+        def page(text):
+            found = elements(text)
+            out = []
+            for block in select(found, block_tag, block_class):
+                scope = [block] if title_tag is None else select(found, title_tag, within=block)[:1]
+                anchor = next((a for s in scope for a in select(found, "a", within=s) if a.attrs.get("href") is not None), None)
+                out.append({"title": anchor.text() if anchor else None, "href": anchor.attrs["href"] if anchor else None})
+            return out
+        return column.map(page)
+
+    out = pages.select(*key, F.posexplode_outer(links(html)).alias("block_pos", "_block")) \
         .where(F.col("_block").isNotNull())
-    scope = F.col("_block")
-    if title_tag is not None:
-        scope = F.regexp_extract(scope, rf"(?s){_open_tag(title_tag, None)}(.*?)</{title_tag}>", 1)
-    anchor = r"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-    has = scope.rlike(r"(?s)<a\s[^>]*href=\"")
-    return out.select(
-        *key, "block_pos",
-        F.when(has, tag_text(F.regexp_extract(scope, anchor, 2))).alias("title"),
-        F.when(has, F.regexp_extract(scope, anchor, 1)).alias("href"),
-        F.when(~has, F.lit("no anchor in block")).alias("reject_reason"))
-
-
-def extract_key_values(pages: DataFrame, table_class: str = "hirdetesadatok", key_class: str = "bal pontos",
-                       value_tag: str = "strong", key: Sequence[str] = ("page_id",),
-                       html: str = "html") -> DataFrame:
+    return out.select(*key, "block_pos", "_block.title", "_block.href",
+                      F.when(F.col("_block.href").isNull(), F.lit("no anchor in block")).alias("reject_reason"))
+
+
+def extract_key_values(pages: DataFrame, table_class: str, key_class: str, value_tag: str = "strong",
+                       key_tag: str = "td", key: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
     """A5: the detail table of a page as an array of ``(key, value)`` structs.
 
     The i-th key cell is paired with the i-th value element, both as trimmed
@@ -88,59 +65,48 @@ def extract_key_values(pages: DataFrame, table_class: str = "hirdetesadatok", ke
     dict).  Pages without the table, or with fewer key cells than values, get
     ``attrs = NULL`` and a ``reject_reason``.
     """
-    table_re = rf"(?s)<table\s[^>]*class=\"[^\"]*{table_class}[^\"]*\"[^>]*>(.*?)</table>"
-    # Successive projections: the regex arrays are computed once per page
-    # and then only referenced (lambdas would otherwise re-evaluate them for
-    # every element).
-    step = pages.select(*key, F.col(html).rlike(table_re).alias("_has"),
-                        F.regexp_extract(F.col(html), table_re, 1).alias("_tb"))
-    step = step.select(*key, "_has", inner_blocks("_tb", "td", key_class).alias("_ks"),
-                       inner_blocks("_tb", value_tag).alias("_vs"))
-    reason = (F.when(~F.col("_has"), F.lit("no attribute table"))
-              .when(F.size("_ks") < F.size("_vs"), F.lit("fewer keys than values")))
-    step = step.select(*key, F.transform("_vs", lambda v, i: F.struct(
-        tag_text(F.try_element_at(F.col("_ks"), i + 1)).alias("key"), tag_text(v).alias("value"))).alias("_pairs"),
-        reason.alias("reject_reason"))
-    # keep a pair only when no later pair has the same key (last one wins)
-    pairs = F.col("_pairs")
-    last_wins = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
-                                                       lambda q: q["key"] == p["key"]))
-    return step.select(*key, F.when(F.col("reject_reason").isNull(), last_wins).alias("attrs"), "reject_reason")
+
+    @F.pandas_udf("struct<attrs:array<struct<key:string,value:string>>,reject_reason:string>")
+    def details(column: pd.Series) -> pd.DataFrame:
+        def page(text):
+            found = elements(text)
+            tables = select(found, "table", table_class)
+            if not tables:
+                return None, "no attribute table"
+            keys = select(found, key_tag, key_class, within=tables[0])
+            values = select(found, value_tag, within=tables[0])
+            if len(keys) < len(values):
+                return None, "fewer keys than values"
+            last = {}
+            for k, v in zip(keys, values):
+                name = k.text()
+                last.pop(name, None)  # a repeated key moves to its last place
+                last[name] = v.text()
+            return [{"key": k, "value": v} for k, v in last.items()], None
+        return pd.DataFrame([page(t) for t in column], columns=["attrs", "reject_reason"])
+
+    return pages.select(*key, details(html).alias("_d")).select(*key, "_d.attrs", "_d.reject_reason")
 
 
 def explode_attributes(kv: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:
     """Long form ``(key..., attr_pos, attr, value)`` of A5's arrays.
 
-    ``posexplode_outer`` plus a filter on the generated struct: a plain
-    ``posexplode`` makes the optimizer infer ``size(attrs) > 0`` and push that
-    copy of the whole extraction below the scan, doing the regex work twice."""
+    The default shape: it holds any number of attribute names.
+    ``posexplode_outer`` plus a filter on the generated struct keeps the
+    optimizer from pushing a second copy of the extraction below the scan."""
     return kv.select(*key, F.posexplode_outer("attrs").alias("attr_pos", "_kv")) \
         .where(F.col("_kv").isNotNull()) \
         .select(*key, "attr_pos", F.col("_kv.key").alias("attr"), F.col("_kv.value").alias("value"))
 
 
-def attribute_names(kv: DataFrame, max_keys: int = 1000) -> list[str]:
-    """Distinct attribute names (the union of keys over all pages), sorted.
-
-    This is schema discovery: the result becomes columns, so it is bounded by
-    ``max_keys`` and checked with a ``limit`` before anything is collected."""
-    names = kv.select(F.explode(F.col("attrs.key")).alias("k")).distinct().limit(max_keys + 1)
-    got = sorted(r.k for r in names.collect())
-    if len(got) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct attribute names")
-    return got
-
-
-def widen_attributes(kv: DataFrame, keys: Sequence[str] | None = None, key: Sequence[str] = ("page_id",),
-                     max_keys: int = 1000) -> DataFrame:
-    """Ragged key/value arrays -> one column per attribute name, NULL
-    where a page lacks it.  With known names this is a pure projection (no
-    shuffle, no pivot)."""
-    names = list(keys) if keys is not None else attribute_names(kv, max_keys)
+def widen_attributes(kv: DataFrame, keys: Sequence[str], key: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Ragged key/value arrays -> one column per declared attribute name,
+    NULL where a page lacks it.  A pure projection (no shuffle, no pivot);
+    names nobody declared stay in the long form (``explode_attributes``)."""
     def value_of(name: str) -> Column:
         return F.element_at(F.filter("attrs", lambda p: p["key"] == F.lit(name)), 1)["value"].alias(name)
 
-    cols = [value_of(n) for n in names]
+    cols = [value_of(n) for n in keys]
     return kv.select(*key, *cols)
 
 
@@ -148,9 +114,14 @@ def headline_blocks(pages: DataFrame, tag: str = "h1", key: Sequence[str] = ("pa
                     html: str = "html", url: str = "url") -> DataFrame:
     """Featured entries of a page: the text of every ``<tag>`` block, linked
     to the page itself."""
-    return pages.select(*key, url, F.posexplode_outer(inner_blocks(html, tag)).alias("block_pos", "_b")) \
-        .where(F.col("_b").isNotNull()) \
-        .select(*key, "block_pos", tag_text("_b").alias("title"), F.col(url).alias("href"))
+
+    @F.pandas_udf("array<string>")
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: [e.text() for e in select(elements(t), tag)])
+
+    return pages.select(*key, url, F.posexplode_outer(texts(html)).alias("block_pos", "title")) \
+        .where(F.col("title").isNotNull()) \
+        .select(*key, "block_pos", "title", F.col(url).alias("href"))
 
 
 def quarantine_bad_rows(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:

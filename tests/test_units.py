@@ -67,12 +67,13 @@ def test_key_values_last_wins_and_rejects(spark):
              '<tr><td class="bal pontos">A:</td><td><strong>9</strong></td></tr></table>')
     broken = '<table class="hirdetesadatok"><tr><td>A:</td><td><strong>1</strong></td></tr></table>'
     df = spark.createDataFrame([(1, table), (2, "<p>no table</p>"), (3, broken)], "page_id long, html string")
-    kv = PG.extract_key_values(df).orderBy("page_id").collect()
+    kv = PG.extract_key_values(df, "hirdetesadatok", "bal pontos").orderBy("page_id").collect()
     assert [(a.key, a.value) for a in kv[0].attrs] == [("B:", "2 & 3"), ("A:", "9")]
     assert kv[0].reject_reason is None
     assert kv[1].attrs is None and kv[1].reject_reason == "no attribute table"
     assert kv[2].attrs is None and kv[2].reject_reason == "fewer keys than values"
-    wide = PG.widen_attributes(PG.quarantine_bad_rows(PG.extract_key_values(df))[0]).collect()
+    wide = PG.widen_attributes(PG.quarantine_bad_rows(PG.extract_key_values(df, "hirdetesadatok", "bal pontos"))[0],
+                                ["A:", "B:"]).collect()
     assert wide[0]["A:"] == "9" and wide[0]["B:"] == "2 & 3"
 
 
