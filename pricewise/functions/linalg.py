@@ -40,22 +40,14 @@ def gram(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str | None =
         ok = ok & F.col(c).isNotNull()
     base = base.where(ok).select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
     k = len(names)
-    if center:
-        means = base.groupBy(*by).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)])
-        if by:
-            base = base.join(means, by)
-            xs = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(k)]
-            extra = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(k)]
-        else:
-            # one group: the k means are literals of the second pass
-            m = means.first()
-            xs = [F.col(f"_x{i}") - F.lit(m[f"_m{i}"]) for i in range(k)]
-            extra = [F.lit(m[f"_m{i}"]).alias(f"_m{i}") for i in range(k)]
+    n = F.count(F.lit(1))
+    if center:  # one pass: Spark merges partial covariances stably
+        sums = [(F.covar_pop(f"_x{i}", f"_x{j}") * n).alias(f"_g{i}_{j}") for i, j in _pairs(k)]
+        means = [F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)]
     else:
-        xs = [F.col(f"_x{i}") for i in range(k)]
-        extra = []
-    return base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *extra,
-                                 *[F.sum(xs[i] * xs[j]).alias(f"_g{i}_{j}") for i, j in _pairs(k)])
+        sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_g{i}_{j}") for i, j in _pairs(k)]
+        means = []
+    return base.groupBy(*by).agg(n.alias("_n"), *means, *sums)
 
 
 def merge_moments(parts: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:

@@ -124,14 +124,20 @@ def _fill(df: DataFrame, by: Sequence[str], pos: str, col: str, out: str, forwar
 
 
 # ---------------------------------------------------------------- F1, F2
-def fill_missing_dates(df: DataFrame, by: Sequence[str], d: str, impute: dict | None = None) -> DataFrame:
+def fill_missing_dates(df: DataFrame, by: Sequence[str], d: str, impute: dict | None = None,
+                       pos: str | None = None) -> DataFrame:
     """complete daily calendar from the first to the last day of every
-    series; new rows get ``impute`` values (existing NULLs stay)."""
+    series; new rows get ``impute`` values (existing NULLs stay).  ``pos``
+    names a column for the day's 1-based place in the calendar, which has no
+    holes: a filled series needs no ranking (one row per series and day)."""
     by = list(by)
-    rng = df.groupBy(*by).agg(F.min(d).alias("_d0"), F.max(d).alias("_d1"))
-    cal = rng.select(*by, F.explode(F.sequence("_d0", "_d1", F.expr("INTERVAL 1 DAY"))).alias(d))
+    rng = df.where(F.col(d).isNotNull()).groupBy(*by).agg(F.min(d).alias("_d0"), F.max(d).alias("_d1"))
+    cal = rng.select(*by, F.explode(F.sequence("_d0", "_d1", F.expr("INTERVAL 1 DAY"))).alias(d),
+                     *([F.col("_d0")] if pos else []))
+    if pos:
+        cal = cal.withColumn(pos, (F.datediff(d, "_d0") + 1).cast("long")).drop("_d0")
     marked = df.withColumn("_present", F.lit(True))
-    out = cal.join(marked, [*by, d], "left")
+    out = null_safe_join(cal, marked, [*by, d], "left")
     if impute:
         out = out.withColumns({c: F.when(F.col("_present").isNull(), F.lit(v)).otherwise(F.col(c))
                                for c, v in impute.items()})

@@ -30,9 +30,8 @@ bf AS (SELECT series, d,
 def filled_daily(spark, sf_dir):
     """fx_daily -> daily calendar per series -> positions -> back fill."""
     daily = fixture(spark, sf_dir, "fx_daily")
-    filled = S.fill_missing_dates(daily, BY, "d")
-    pos = S.positions(filled, BY, "d")
-    return S.backfill(pos, BY, "_pos", ["open", "high", "low"])
+    filled = S.fill_missing_dates(daily, BY, "d", pos="_pos")
+    return S.backfill(filled, BY, "_pos", ["open", "high", "low"])
 
 
 @register("f01_fill_missing_dates", with_fixture("fx_daily", FILLED + """
