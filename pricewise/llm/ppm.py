@@ -1,9 +1,10 @@
 """Prediction by partial matching over byte contexts, with frozen counts.
 
 A model is a variable-order trie of byte contexts up to ``ORDER`` bytes: all
-contexts of order 0 to 2 that occur, and the most frequent contexts of order 3
-(``max_nodes`` of them; the counts behind that choice cover all training
-text).  A symbol's probability starts at the longest context in the trie.  If
+contexts of order 0 to 2 that occur, and those of order 3.  A ``Trie`` holds
+the most frequent of these (``Trie.pruned``); ``LowerOrders`` holds none and
+gives the code lengths under any of them whose counts are brought to it, so a
+model can have all contexts without being in one place.  A symbol's probability starts at the longest context in the trie.  If
 it was seen there, it has count / (total + kinds).  If not, the coder escapes
 with kinds / (total + kinds), goes to the context one byte shorter and leaves
 out the symbols already refused (symbol exclusion).  Below order 0 the symbols
@@ -28,6 +29,7 @@ from pricewise.llm import textkernel as K
 
 ORDER = 3
 PAD = 0x0A  # what stands before a text's first byte
+SCATTER = 0x9E3779  # odd: a one-to-one product modulo 2^24
 
 
 def contexts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -80,16 +82,11 @@ def gram_counts(docs: DataFrame, by: list[str], lower: bool) -> DataFrame:
             .groupBy(*by, "gram").agg(F.sum("n").alias("n")))
 
 
-def bounded_counts(grams: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """Counts that the trie needs: of all 3-byte strings (at most 2^24 rows),
-    and of 4-byte strings under the most frequent order-3 contexts (at most
-    256 * max_nodes rows)."""
-    low = grams.withColumn("gram", F.col("gram").bitwiseAND(F.lit(0xFFFFFF))).groupBy("gram").agg(F.sum("n").alias("n"))
-    node = F.shiftright("gram", 8)
-    top = (grams.groupBy(node.alias("node")).agg(F.sum("n").alias("total"))
-           .orderBy(F.desc("total"), "node").limit(max_nodes).select("node"))
-    high = grams.withColumn("node", node).join(F.broadcast(top), "node").select("gram", "n")
-    return low, high
+def gram_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For every byte its 4-byte string, with the three bytes of context
+    scattered over 24 bits (one to one), so that ranges of keys are alike in
+    size and a context's strings stay neighbours."""
+    return (contexts(data, offs) * np.uint32(SCATTER) & np.uint32(0xFFFFFF)) << np.uint32(8) | data
 
 
 @dataclass
@@ -114,7 +111,7 @@ class Trie:
 
     @staticmethod
     def pruned(gram: np.ndarray, n: np.ndarray, max_nodes: int) -> Trie:
-        """The same choice as ``bounded_counts`` from counts at hand."""
+        """A trie with the ``max_nodes`` most frequent contexts of order 3."""
         low, where = np.unique(gram & 0xFFFFFF, return_inverse=True)
         node, at = np.unique(gram >> 8, return_inverse=True)
         total = np.bincount(at, weights=n, minlength=len(node))
@@ -124,7 +121,11 @@ class Trie:
 
     def code_lengths(self) -> list[np.ndarray]:
         """-ln P(symbol | context) by order, [contexts, 256]."""
-        top, below = [], None
+        return self.lengths_and_escapes()[0]
+
+    def lengths_and_escapes(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The code lengths, and those after an escape from each context."""
+        top, escapes, below = [], [], None
         for order in range(ORDER + 1):
             own = self.counts[order]
             if order == 0:
@@ -134,8 +135,9 @@ class Trie:
                 parent = np.searchsorted(self.keys[order - 1], self.keys[order] & ((1 << (8 * (order - 1))) - 1))
                 refused = shorter(own > 0, self.counts[order - 1][parent], below[parent])
             top.append(shorter(np.zeros_like(own, dtype=bool), own, refused))
+            escapes.append(refused)
             below = refused
-        return top
+        return top, escapes
 
 
 def shorter(out: np.ndarray, counts: np.ndarray, refused: np.ndarray) -> np.ndarray:
@@ -152,6 +154,63 @@ def shorter(out: np.ndarray, counts: np.ndarray, refused: np.ndarray) -> np.ndar
         return np.where(seen & ~out, here, np.where(seen, 0.0, escape + refused))
 
 
+class LowerOrders:
+    """Orders 0 to 2 of one model, from the counts of all 3-byte strings (at
+    most 2^24): what the code lengths of any order-3 context need beside its
+    own counts."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.gram, self.n = gram, n
+        self._made = None
+
+    def __getstate__(self):
+        return {"gram": self.gram, "n": self.n, "_made": None}
+
+    def made(self) -> tuple[Trie, list[np.ndarray], list[np.ndarray]]:
+        if self._made is None:
+            none = np.zeros(0, np.int64)
+            trie = Trie.build((self.gram, self.n), (none, none))
+            self._made = (trie, *trie.lengths_and_escapes())
+        return self._made
+
+    def code_lengths(self, context: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """-ln P(symbol | context) in order-3 contexts with the counts ``own``,
+        [contexts, 256]; a context without counts acts as the longest shorter
+        one that has some."""
+        trie, top, escapes = self.made()
+        out = np.repeat(top[0], len(context), axis=0)
+        for order in (1, 2):
+            short = context & ((1 << (8 * order)) - 1)
+            keys = trie.keys[order]
+            if len(keys):
+                up = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+                known = keys[up] == short
+                out[known] = top[order][up[known]]
+        learnt = own.any(axis=1)
+        if learnt.any():
+            own = own[learnt]
+            parent = np.searchsorted(trie.keys[2], context[learnt] & 0xFFFF)
+            refused = shorter(own > 0, trie.counts[2][parent], escapes[2][parent])
+            out[learnt] = shorter(np.zeros_like(own, dtype=bool), own, refused)
+        return out
+
+    def gram_lengths(self, keys: np.ndarray, n: np.ndarray, step: int = 2048) -> np.ndarray:
+        """Code lengths of sorted distinct ``gram_keys`` with these counts;
+        all counted strings of a context must be among them."""
+        out = np.zeros(len(keys))
+        spread, symbol = (keys >> np.uint64(8)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+        first = np.flatnonzero(np.diff(spread, prepend=-1))
+        context = spread[first] * pow(SCATTER, -1, 1 << 24) & 0xFFFFFF
+        row, edge = np.searchsorted(first, np.arange(len(keys)), "right") - 1, np.append(first, len(keys))
+        for at in range(0, len(first), step):
+            end = min(at + step, len(first))
+            some = slice(edge[at], edge[end])
+            own = np.zeros((end - at, 256))
+            own[row[some] - at, symbol[some]] = n[some]
+            out[some] = self.code_lengths(context[at:end], own)[row[some] - at, symbol[some]]
+        return out
+
+
 class Tables:
     """Several models over one set of contexts: scoring look-ups."""
 

@@ -320,6 +320,25 @@ def test_lm_edges(spark, edge):
     assert codelength.score_documents(edge.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_scores_use_every_context(spark):
+    """A varied corpus: far more order-3 contexts than common ones, rare ones
+    included in the score."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+-_/=é漢") for _ in range(600)) for _ in range(120)]
+    grams = Counter()
+    for t in texts[:100]:
+        p = bytes([ppm.PAD]) * 3 + t.encode()
+        grams.update(int.from_bytes(p[i:i + 4], "big") for i in range(len(p) - 3))
+    assert len({g >> 8 for g in grams}) > 20_000
+    model = ppm.Tables([ppm.Trie.pruned(np.array(list(grams)), np.array(list(grams.values())), 1 << 24)])
+    from pyspark.sql import functions as F
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in codelength.score_documents(frame, F.col("doc_id") < 100).collect()}
+    for i, t in enumerate(texts):
+        b = np.frombuffer(t.encode(), np.uint8)
+        assert got[i] == pytest.approx(-model.costs(b, np.array([0, len(b)]))[0, 0] / math.log(10), rel=1e-6)
+
+
 def removed_by_brute_force(rows, width):
     count = Counter(tuple(w[s:s + width]) for _, w in rows for s in range(len(w) - width + 1))
     out = []
