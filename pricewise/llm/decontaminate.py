@@ -6,13 +6,15 @@ left out (every item keeps its ``LIVE_WORDS`` rarest).  A randomised SVD of the
 one pass sums Y = A'A W for a test matrix W (a small matrix per
 partition, added up by Spark), and the Nystrom form of A'A from Y and W gives
 the leading right singular vectors.  Passages and benchmark items are compared
-by cosine in that space.  Pairs over ``MIN_COSINE`` are candidates, and a
+by cosine in that space; an item longer than the widest passage is cut into
+queries of that width, which overlap by half.  Pairs over ``MIN_COSINE`` are candidates, and a
 candidate counts when the longest common subsequence of words covers at least
 ``MIN_SHARE`` of the item, or at least ``MIN_PARAPHRASE`` and the item's answer
-(its last ``ANSWER_WORDS`` words) stands in the passage word for word.
+(its last ``ANSWER_WORDS`` words) stands in the passage word for word.  The
+common subsequence is always that of the whole item.
 
 The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS``
-items, and each block meets all passages of all documents, in whole texts.
+queries (at least one item), and each block meets all passages of all documents, in whole texts.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased
 in A-Z and in Latin-1's letters.  Results in special cases: null or empty texts and items match
@@ -182,7 +184,8 @@ class Items:
     hashes: list[np.ndarray]  # the words of each
     words: Vocabulary
     embed: np.ndarray         # word -> latent space, weighted
-    vectors: np.ndarray       # items in latent space, length 1
+    queries: list[tuple[int, int, int]]  # of each: its item, and the item's words before and after it
+    vectors: np.ndarray       # queries in latent space, length 1
     least: int                # vector words a passage needs to be compared
 
     def masks(self, item: int) -> dict[int, int]:
@@ -233,11 +236,14 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
             size = np.linalg.norm(v, axis=1)
             cosine = (v / np.maximum(size, 1e-9)[:, None]) @ items.vectors.T
             p, j = np.nonzero(cosine >= MIN_COSINE)
-            for k, item, c in zip(part[p].tolist(), j.tolist(), cosine[p, j].tolist()):
+            for k, q, c in zip(part[p].tolist(), j.tolist(), cosine[p, j].tolist()):
+                item, before, after = items.queries[q]
                 n, t = len(items.hashes[item]), int(text[k])
                 # the passage, and as much around it as the item may reach
-                x, y = max(int(wo[t]), int(lo[k]) - n // 2), min(int(wo[t + 1]), int(hi[k]) + n // 2)
-                if (x, y, item) in seen:
+                x = max(int(wo[t]), int(lo[k]) - before - n // 2)
+                y = min(int(wo[t + 1]), int(hi[k]) + after + n // 2)
+                old = out[t].get(item)
+                if (x, y, item) in seen or old and old["lcs_share"] == 1:
                     continue
                 seen.add((x, y, item))
                 words = h[x:y].tolist()
@@ -247,7 +253,6 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
                 answer = items.hashes[item][-ANSWER_WORDS:].tolist()
                 stands = any(words[i:i + len(answer)] == answer for i in range(len(words) - len(answer) + 1))
                 if share >= MIN_SHARE or stands:
-                    old = out[t].get(item)
                     if old is None or share > old["lcs_share"]:
                         out[t][item] = {"item_id": items.ids[item], "cosine": min(1.0, c), "lcs_share": share, "answer": stands}
     return [[m[i] for i in sorted(m)] for m in out]
@@ -262,13 +267,15 @@ def prepare(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
         return None
     words = Vocabulary(h)
     df, total = _count_pass(docs, words)
-    found = [words.find(h[wo[i]:wo[i + 1]]) for i in keep]
+    text, lo, hi = passages(wo, *PASSAGES[-1])
+    found = [words.find(h[a:b]) for a, b in zip(lo, hi)]
+    queries = [(keep.index(i), int(a - wo[i]), int(wo[i + 1] - b)) for i, a, b in zip(text.tolist(), lo, hi)]
     live = df <= max(STOP_COUNT, STOP_SHARE * total)
     for f in found:
         own = np.unique(f)
         live[own[np.argsort(df[own], kind="stable")[:LIVE_WORDS]]] = True
     idf = np.where(live, np.log((1 + total) / (1 + df)) + 1.0, 0.0)
-    # the test matrix: random columns, and the items themselves, so that the
+    # the test matrix: random columns, and the queries themselves, so that the
     # space holds what lies near an item however rare it is in the documents
     tf = np.array([np.bincount(f, minlength=len(idf)) * idf for f in found])
     test = np.vstack([tf, np.random.default_rng(7).standard_normal((RANDOM, len(idf))) * (idf > 0)])
@@ -277,7 +284,7 @@ def prepare(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     embed = (idf[:, None] * v).astype(np.float32)
     vectors = np.array([embed[f].sum(axis=0) for f in found])
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, vectors,
+    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, queries, vectors,
                  max(1, min(len(np.unique(f[live[f]])) for f in found) // 2 - 1))
 
 
@@ -287,7 +294,7 @@ MATCHES = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer:boo
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with a column ``matches``: benchmark items found in it."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
-    block, done = [], docs.withColumn("matches", F.array().cast(MATCHES))
+    block, held, done = [], 0, docs.withColumn("matches", F.array().cast(MATCHES))
     spark = docs.sparkSession
 
     def with_block(frame: DataFrame) -> DataFrame:
@@ -306,9 +313,12 @@ def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return frame.withColumn("matches", F.concat("matches", look(F.col("text").cast("string"))))
 
     for row in items.toLocalIterator():
+        _, wo = term_hashes(*K.buffers(pa.array([row[1]], pa.string())))
+        n = max(1, len(passages(wo, *PASSAGES[-1])[0]))
+        if block and held + n > BLOCK_ITEMS:
+            done, block, held = with_block(done), [], 0
         block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            done, block = with_block(done), []
+        held += n
     return with_block(done) if block else done
 
 

@@ -191,6 +191,21 @@ def test_decontamination_paraphrase_and_edges(spark, edge):
     assert decontaminate.match(frame, bench.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_decontamination_finds_copies_of_long_items(spark):
+    """Items far longer than a passage, copied whole into other text; the last
+    one alone in its block."""
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    items = {i: [f"q{i}w{k}" for k in range(n)] for i, n in enumerate([40, 65, 330, 600, 9000])}
+    texts = [" ".join(rng.choice(plain) for _ in range(200)) for _ in range(40)]
+    for i, item in items.items():
+        texts[3 * i] += " " + " ".join(item) + " " + " ".join(rng.choice(plain) for _ in range(100))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    hits = decontaminate.match(frame, bench).where("size(matches) > 0").collect()
+    assert {(r.doc_id, m.item_id, m.lcs_share, m.answer) for r in hits for m in r.matches} == {(3 * i, i, 1.0, True) for i in items}
+
+
 def test_language(spark, sf_dir, docs):
     got = {r.doc_id: r for r in run(spark, sf_dir, "op5_language_id")}
     held = [(i, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 == 2]
