@@ -7,11 +7,14 @@ one pass sums Y = A'A W for a test matrix W (a small matrix per
 partition, added up by Spark), and the Nystrom form of A'A from Y and W gives
 the leading right singular vectors.  Passages and benchmark items are compared
 by cosine in that space; an item longer than the widest passage is cut into
-queries of that width, which overlap by half.  Pairs over ``MIN_COSINE`` are candidates, and a
-candidate counts when the longest common subsequence of words covers at least
-``MIN_SHARE`` of the item, or at least ``MIN_PARAPHRASE`` and the item's answer
-(its last ``ANSWER_WORDS`` words) stands in the passage word for word.  The
-common subsequence is always that of the whole item.
+queries of that width, which overlap by half.  Every passage with a vector word
+is compared, however long the items of the block are.  Pairs over
+``MIN_COSINE`` are candidates (those without the words for any match are
+dropped at once), and a candidate counts when the longest common
+subsequence of words covers at least ``MIN_SHARE`` of the item, or at least
+``MIN_PARAPHRASE`` and the item's answer (its last ``ANSWER_WORDS`` words)
+stands in the passage word for word.  The common subsequence is always that of
+the whole item.
 
 The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS``
 queries (at least one item), and each block meets all passages of all documents, in whole texts.
@@ -184,9 +187,10 @@ class Items:
     hashes: list[np.ndarray]  # the words of each
     words: Vocabulary
     embed: np.ndarray         # word -> latent space, weighted
-    queries: list[tuple[int, int, int]]  # of each: its item, and the item's words before and after it
+    queries: np.ndarray       # [queries, 3]: item, and the item's words before and after the query
     vectors: np.ndarray       # queries in latent space, length 1
-    least: int                # vector words a passage needs to be compared
+    times: np.ndarray         # [items, words + 1]: how often the item has the word (the last: not in the benchmark)
+    answer: np.ndarray        # likewise: is it a word of the item's answer
 
     def masks(self, item: int) -> dict[int, int]:
         """Places of every word of an item, as bits."""
@@ -210,6 +214,29 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
+def possible(items: Items, found: np.ndarray, item: np.ndarray, x: np.ndarray, y: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """For every (item, span of words x to y) whether it can count: no common
+    subsequence is longer than the item's words that the span has, or than the
+    span's words that the item has, and an answer needs all its words."""
+    out = np.zeros(len(x), dtype=bool)
+    size = np.array([len(h) for h in items.hashes], dtype=np.int64)
+    answer = items.answer.sum(axis=1)
+    cut = np.cumsum(y - x) // step
+    for at in np.split(np.arange(len(x)), np.flatnonzero(np.diff(cut)) + 1) if len(x) else ():
+        width, own = y[at] - x[at], item[at]
+        first = np.cumsum(width) - width
+        place = np.arange(int(width.sum())) + np.repeat(x[at] - first, width)
+        have = items.times[np.repeat(own, width), found[place]] > 0
+        many = np.add.reduceat(have, first, dtype=np.int64) / size[own] >= MIN_PARAPHRASE
+        have &= np.repeat(many, width)
+        pair = np.unique(np.repeat(np.arange(len(at)), width)[have] * items.times.shape[1] + found[place[have]])
+        span, word = np.divmod(pair, items.times.shape[1])
+        most = np.bincount(span, weights=items.times[own[span], word], minlength=len(at)) / size[own]
+        ends = np.bincount(span, weights=items.answer[own[span], word], minlength=len(at)) == answer[own]
+        out[at] = many & ((most >= MIN_SHARE) | (most >= MIN_PARAPHRASE) & ends)
+    return out
+
+
 def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
     """Matches of every text of a block."""
     out: list[dict[int, dict]] = [{} for _ in range(len(offs) - 1)]
@@ -220,11 +247,12 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
     sums = np.zeros((len(at) + 1, items.embed.shape[1]))
     np.cumsum(items.embed[found[at]], axis=0, out=sums[1:])
     sums = sums.astype(np.float32)
+    sizes = np.array([len(x) for x in items.hashes], dtype=np.int64)
     seen = set()
     for width, stride in PASSAGES:
         text, lo, hi = passages(wo, width, stride)
         a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-        busy = np.flatnonzero(b - a >= items.least)
+        busy = np.flatnonzero(b > a)
         if not len(busy):
             continue
         # neighbours with the same vector words are one passage
@@ -236,13 +264,13 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
             size = np.linalg.norm(v, axis=1)
             cosine = (v / np.maximum(size, 1e-9)[:, None]) @ items.vectors.T
             p, j = np.nonzero(cosine >= MIN_COSINE)
-            for k, q, c in zip(part[p].tolist(), j.tolist(), cosine[p, j].tolist()):
-                item, before, after = items.queries[q]
-                n, t = len(items.hashes[item]), int(text[k])
-                # the passage, and as much around it as the item may reach
-                x = max(int(wo[t]), int(lo[k]) - before - n // 2)
-                y = min(int(wo[t + 1]), int(hi[k]) + after + n // 2)
-                old = out[t].get(item)
+            k, (item, before, after) = part[p], items.queries[j].T
+            # the passage, and as much around it as the item may reach
+            x = np.maximum(wo[text[k]], lo[k] - before - sizes[item] // 2)
+            y = np.minimum(wo[text[k] + 1], hi[k] + after + sizes[item] // 2)
+            able = possible(items, found, item, x, y)
+            for t, item, x, y, c in zip(*(z[able].tolist() for z in (text[k], item, x, y, cosine[p, j]))):
+                n, old = len(items.hashes[item]), out[t].get(item)
                 if (x, y, item) in seen or old and old["lcs_share"] == 1:
                     continue
                 seen.add((x, y, item))
@@ -269,7 +297,12 @@ def prepare(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     df, total = _count_pass(docs, words)
     text, lo, hi = passages(wo, *PASSAGES[-1])
     found = [words.find(h[a:b]) for a, b in zip(lo, hi)]
-    queries = [(keep.index(i), int(a - wo[i]), int(wo[i + 1] - b)) for i, a, b in zip(text.tolist(), lo, hi)]
+    queries = np.stack([np.searchsorted(keep, text), lo - wo[text], wo[text + 1] - hi], axis=1)
+    whole = [words.find(h[wo[i]:wo[i + 1]]) for i in keep]
+    times = np.array([np.bincount(f, minlength=len(df) + 1) for f in whole], dtype=np.int32)
+    answer = np.zeros(times.shape, dtype=bool)
+    for i, f in enumerate(whole):
+        answer[i, f[-ANSWER_WORDS:]] = True
     live = df <= max(STOP_COUNT, STOP_SHARE * total)
     for f in found:
         own = np.unique(f)
@@ -284,8 +317,7 @@ def prepare(docs: DataFrame, block: list[tuple[int, str]]) -> Items | None:
     embed = (idf[:, None] * v).astype(np.float32)
     vectors = np.array([embed[f].sum(axis=0) for f in found])
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, queries, vectors,
-                 max(1, min(len(np.unique(f[live[f]])) for f in found) // 2 - 1))
+    return Items([block[i][0] for i in keep], [h[wo[i]:wo[i + 1]] for i in keep], words, embed, queries, vectors, times, answer)
 
 
 MATCHES = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer:boolean>>"

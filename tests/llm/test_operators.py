@@ -206,6 +206,47 @@ def test_decontamination_finds_copies_of_long_items(spark):
     assert {(r.doc_id, m.item_id, m.lcs_share, m.answer) for r in hits for m in r.matches} == {(3 * i, i, 1.0, True) for i in items}
 
 
+def test_decontamination_candidates_miss_nothing(spark, sf_dir, docs):
+    """Every item with every document, passage by passage, without the cosine."""
+    items = duckdb.sql(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall()
+
+    def plain(t):
+        return re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    want = set()
+    for i, t in items:
+        item, masks = plain(t), {}
+        n = len(item)
+        for k, w in enumerate(item):
+            masks[w] = masks.get(w, 0) | 1 << k
+        for d, text, _ in docs:
+            words = plain(text)
+            if 2 * sum((Counter(item) & Counter(words)).values()) < n:
+                continue
+            for width, stride in decontaminate.PASSAGES:
+                for lo in range(0, max(1, len(words) - width + stride), stride):
+                    w = words[max(0, lo - n // 2):lo + width + n // 2]
+                    share = decontaminate.common_subsequence(masks, n, w) / n
+                    stands = " ".join(item[-decontaminate.ANSWER_WORDS:]) in " ".join(w)
+                    if share >= decontaminate.MIN_SHARE or share >= decontaminate.MIN_PARAPHRASE and stands:
+                        want.add((d, i))
+    assert want == {(r.doc_id, r.item_id) for r in run(spark, sf_dir, "op4_benchmark_decontamination")} and want
+
+
+def test_decontamination_does_not_depend_on_the_items_beside(spark):
+    """A stretched copy: a third of the words of any passage are the item's."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    item = [f"zq{i}" for i in range(60)]
+    stretched = [w for x in item[:-5] for w in (x, rng.choice(plain), rng.choice(plain))] + item[-5:]
+    texts = [" ".join(rng.choice(plain) for _ in range(200)) for _ in range(30)]
+    texts[7] += " " + " ".join(stretched)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for beside in ([], [(2, "kx ky kz kv kw")]):
+        bench = spark.createDataFrame([(1, " ".join(item)), *beside], "item_id long, text string")
+        hits = decontaminate.match(frame, bench).where("size(matches) > 0").collect()
+        assert {(r.doc_id, m.item_id) for r in hits for m in r.matches} == {(7, 1)}
+
+
 def test_language(spark, sf_dir, docs):
     got = {r.doc_id: r for r in run(spark, sf_dir, "op5_language_id")}
     held = [(i, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 == 2]
