@@ -5,8 +5,9 @@ the shingles' XXH64 bits).  Fingerprints that differ in at most ``max_bits``
 bits are linked, and a component of links is one group of near copies.
 
 The join works on distinct fingerprints.  With ``max_bits`` = 3 two linked
-fingerprints agree on one of four 16-bit blocks, so each block in turn is
-rotated to the front as the first 16 levels of a binary trie, and the subtree
+fingerprints agree on one of four 16-bit blocks (with more bits allowed, on one
+of more and shorter blocks), so each block in turn is rotated to the front as
+the first levels of a binary trie, and the subtree
 below each block value is a *cell*.  Inside a cell, pairs of trie nodes are
 walked down together: the bits in which the two paths differ are added up and
 a pair is dropped as soon as they exceed the budget.  A cell keeps a
@@ -173,19 +174,28 @@ def compare(forest: Forest, key, alo, na, blo, nb, max_bits: int, step: int = 1
         forest.link(u[near], v[near])
 
 
+def block_bits(max_bits: int) -> int:
+    """Bits of a block: at least ``max_bits`` + 1 blocks fit into 64 bits, so
+    that two linked fingerprints agree on one of them."""
+    if not 0 <= max_bits < 64:
+        raise ValueError(f"max_bits must be 0 to 63, not {max_bits}")
+    return min(BLOCK_BITS, 64 // (max_bits + 1))
+
+
 def links(distinct: DataFrame, max_bits: int, n_tasks: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(u, v): a spanning forest, per cell, of all links between the distinct
     fingerprints ``fp``."""
-    # a rotation by 16 bits at a time; the front block names the cell
+    block = block_bits(max_bits)
+    # a rotation by one block at a time; the front block names the cell
     rotated = distinct.select(
-        "fp", F.posexplode(F.array([F.shiftleft("fp", BLOCK_BITS * j).bitwiseOR(F.shiftrightunsigned("fp", 64 - BLOCK_BITS * j)) if j
-                                    else F.col("fp") for j in range(64 // BLOCK_BITS)])).alias("turn", "key"))
-    rotated = rotated.withColumn("cell", (F.col("turn") * (1 << BLOCK_BITS) + F.shiftrightunsigned("key", 64 - BLOCK_BITS)).cast("long"))
+        "fp", F.posexplode(F.array([F.shiftleft("fp", block * j).bitwiseOR(F.shiftrightunsigned("fp", 64 - block * j)) if j
+                                    else F.col("fp") for j in range(64 // block)])).alias("turn", "key"))
+    rotated = rotated.withColumn("cell", (F.col("turn") * (1 << block) + F.shiftrightunsigned("key", 64 - block)).cast("long"))
     large = (rotated.groupBy("cell").count().where(F.col("count") > cell_rows)
              .select("cell", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / cell_rows))).cast("int").alias("depth")))
     # cells over the limit: one task part per pair of deeper nodes in budget
     marked = rotated.join(large, "cell", "left")
-    node = F.expr("shiftrightunsigned(shiftleft(key, %d), 64 - depth)" % BLOCK_BITS)
+    node = F.expr("shiftrightunsigned(shiftleft(key, %d), 64 - depth)" % block)
     other = F.expr(f"""case when depth is null then array(0L) else
         filter(transform(sequence(0L, shiftleft(1L, depth) - 1), m -> m), m -> bit_count(m) <= {max_bits}) end""")
     parts = (marked.withColumn("mask", F.explode(other))
@@ -202,9 +212,9 @@ def links(distinct: DataFrame, max_bits: int, n_tasks: int, cell_rows: int = CEL
         order = np.lexsort((key, part, cell))
         cell, part, key, turn = cell[order], part[order], key[order], rows["turn"].to_numpy()[order]
         both = np.cumsum(np.concatenate(([0], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))))
-        root = trie_links(both, key, max_bits, 64 - BLOCK_BITS)
+        root = trie_links(both, key, max_bits, 64 - block)
         at = np.flatnonzero(root != np.arange(len(root)))
-        back = (BLOCK_BITS * turn.astype(np.uint64))
+        back = (block * turn.astype(np.uint64))
 
         def unturn(k, t):
             right = np.where(t == 0, k, (k >> t) | (k << ((np.uint64(64) - t) & np.uint64(63))))

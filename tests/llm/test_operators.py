@@ -129,6 +129,20 @@ def test_trie_join_finds_every_link(spark, cell_rows):
     assert len(set(ours)) == len(set(brute))
 
 
+@pytest.mark.parametrize("max_bits", [1, 4, 6])
+def test_trie_join_finds_links_with_a_bit_in_every_block(spark, max_bits):
+    """Pairs whose bits differ in as many places as allowed, spread out evenly."""
+    rng = random.Random(max_bits)
+    near = sum(1 << (64 * i // max_bits + 5) for i in range(max_bits))
+    bases = [rng.getrandbits(64) for _ in range(30)]
+    signed = [(p - (1 << 64) if p >> 63 else p) for b in bases for p in (b, b ^ near)]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for cell_rows in (4, 1 << 15):
+        got = {r.u: r.root for r in neardup.components(neardup.links(frame, max_bits, 3, cell_rows)).collect()}
+        assert all(got.get(a, a) == got.get(b, b) for a, b in zip(signed[::2], signed[1::2]))
+        assert len({got.get(p, p) for p in signed}) == 30
+
+
 def test_simhash_edges(edge):
     out = neardup.near_duplicates(edge).collect()
     assert len(out) == len(EDGE)
