@@ -65,6 +65,13 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         self.words.append(data)
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a malformed declaration or marked section: read on behind it
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
     def shut(self, depth: int) -> None:
         for i in self.open[depth:]:
             self.found[i].last, self.found[i].inner = len(self.words), (i + 1, len(self.found))
@@ -72,13 +79,10 @@ class _Reader(HTMLParser):
 
 
 def elements(html: str | None) -> list[Element]:
-    """All elements of a page; what cannot be parsed ends the list."""
+    """All elements of a page; malformed declarations are skipped."""
     reader = _Reader()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except AssertionError:  # html.parser's answer to a malformed declaration
-        pass
+    reader.feed(html or "")
+    reader.close()
     reader.shut(0)
     return reader.found
 

@@ -73,6 +73,12 @@ def test_quantiles_plan_has_no_nested_loop(spark):
     assert np.allclose([r.q for r in q.orderBy("p").collect()], want)
 
 
+def test_markup_behind_a_malformed_declaration():
+    for bad in ("<![bogus[x]]>", "<![bogus", "<!DOCTYPE html [<!BOGUS x>]>", "<![if x"):
+        found = elements(f"<ul><li>one</li>{bad}><li>two</li></ul>")
+        assert [e.text() for e in select(found, "li")][-1] == "two", bad
+
+
 def test_markup_of_odd_pages():
     assert elements(None) == [] and elements("") == [] and elements("no tags") == []
     found = elements("<UL><LI class='a  b'>1<li>2<br>x</ul><p>&nbsp;t&amp;lt; <![bad[")
