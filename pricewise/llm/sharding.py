@@ -85,14 +85,17 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["index"])
 
 
-def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, curve (index), law, shard, slot."""
+def shard(docs: DataFrame, n_shards: int = SHARDS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, curve (index), law, shard, slot; with
+    ``carry`` also ``document``, the row itself."""
+    own = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("document")] if carry else []
+    kept = ["document"] if carry else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *own)
     top = (1 << BITS) - 1
 
     def bucket(c):
@@ -103,11 +106,11 @@ def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     order = ["curve", "text_crc32", "text_hash", "doc_id", "at"]
     placed = (rows.withColumn("curve", hilbert_index([F.col("x"), F.col("y"), F.col("z")]))
               .withColumn("at", F.monotonically_increasing_id())  # parts equal rows too
-              .select("doc_id", "size", "text_crc32", "text_hash", "curve", "at")
+              .select("doc_id", "size", "text_crc32", "text_hash", "curve", "at", *kept)
               .repartitionByRange(*order).sortWithinPartitions(*order))
     # partition number in the upper bits, place in the partition in the lower 33
     placed = cut_lineage(placed.select("doc_id", "size", "text_crc32", "curve",
-                                       F.monotonically_increasing_id().alias("at")))
+                                       F.monotonically_increasing_id().alias("at"), *kept))
     # one row per partition of the range partitioning: as many as shuffle partitions
     totals = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,15 +121,15 @@ def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
             .withColumn("rank", rank)
             .withColumn("shard", F.expr(f"int(rank * {n_shards} div {n}L)"))
             .select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard",
-                    F.expr(f"rank - (shard * {n}L + {n_shards - 1}) div {n_shards}").cast("long").alias("slot")))
+                    F.expr(f"rank - (shard * {n}L + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"), *kept))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
-    """Write whole documents, one folder per shard, in curve order (docs must
-    have unique ids)."""
-    where = shard(docs, n_shards).select("doc_id", "shard", "slot")
-    (docs.join(where, "doc_id").repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
-     .drop("slot").write.partitionBy("shard").parquet(path))
+    """Write whole documents, one folder per shard, in curve order; every row
+    once, also those that share an id or have none."""
+    placed = shard(docs, n_shards, carry=True).select("document", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    (placed.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "_slot")
+     .select("document.*", F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path))
 
 
 @register("op10_hilbert_sharding")

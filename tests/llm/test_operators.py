@@ -468,6 +468,17 @@ def test_shard_edges(edge):
     assert sharding.shard(edge.limit(0), 4).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(r[0], r[1], r[2], r[3]) for r in EDGE] + [(None, "another text", "en", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sharding.write_shards(frame, str(tmp_path / "out"), 4)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns == [*frame.columns, "shard"]
+    assert Counter(tuple(r)[:4] for r in out.collect()) == Counter(rows)
+    sizes = Counter(r.shard for r in out.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 4
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for bits in (1, 20, 40, 64):
