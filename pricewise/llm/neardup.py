@@ -245,28 +245,48 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+def grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``."""
     prints = cut_lineage(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     n = distinct.count()
     roots = components(links(distinct.select("fp"), max_bits, max(1, 4 * n // TASK_ROWS + 1)))
     placed = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp")
+    named = placed.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    return grouped(docs, shingle, max_bits).drop("root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with its smallest
-    id.  Rows that repeat that id are put together into one; rows without an
-    id cannot be named and stay."""
-    found = near_duplicates(docs, shingle, max_bits).where("doc_id = component_id").groupBy("doc_id").agg(
-        F.count("*").alias("n"))
-    found = cut_lineage(found.select(F.col("doc_id").alias("_kept_id"), "n"))
+    id.  Rows of the component that repeat that id are put together into one;
+    an id on rows of several components stands for each of them by itself;
+    rows without an id cannot be named and stay."""
+    own = (grouped(docs, shingle, max_bits).groupBy("doc_id", "root")
+           .agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("component_id").alias("component_id")))
+    own = cut_lineage(own.where("doc_id is not null"))
+    rows = own.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumnRenamed("doc_id", "_id")
+    kept = cut_lineage(own.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp"))
+                       .join(rows, F.col("_kept_id") == F.col("_id")).drop("_id"))
     same = F.col("doc_id").cast("long") == F.col("_kept_id")
-    once = docs.join(found.where("n = 1"), same, "left_semi")
-    often = docs.join(found.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(kept.where("n = 1"), same, "left_semi")
+
+    @F.arrow_udf("long")
+    def print_of(text: pa.Array) -> pa.Array:
+        data, offs = K.buffers(text)
+        raw, o = data.tobytes(), offs.tolist()
+        fp = np.fromiter((simhash(raw[a:b], shingle) for a, b in zip(o, o[1:])), dtype=np.uint64, count=len(o) - 1)
+        return pa.array(fp.view(np.int64))
+
+    # ids on several rows: the text tells which of them is kept
+    several = kept.where("n > 1")
+    often = (docs.join(several, same, "left_semi").withColumn("_fp", print_of(F.col("text").cast("string")))
+             .join(several, same & (F.col("_fp") == F.col("_kept_fp")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
     return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

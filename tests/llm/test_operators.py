@@ -152,6 +152,17 @@ def test_simhash_edges(edge):
     assert neardup.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    rows = [(1, one), (5, one), (5, two), (7, two), (9, two), (9, three), (9, three), (4, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(frame).collect()]
+    assert sorted(k for k in kept if k[0] != 4) == [(1, one), (5, two), (9, three)]
+    assert [k[0] for k in kept].count(4) == 1
+    both = spark.createDataFrame([(3, one), (3, two), (8, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(both).collect()) == [(3, one), (3, two)]
+
+
 def test_sentencepieces_equal_the_library(docs):
     import sentencepiece
     path = sentencepieces.vocabulary("piece_bpe_32k.model")
