@@ -231,29 +231,28 @@ def test_decontamination_finds_copies_of_long_items(spark):
     assert {(r.doc_id, m.item_id, m.lcs_share, m.answer) for r in hits for m in r.matches} == {(3 * i, i, 1.0, True) for i in items}
 
 
+def holds_item(text, item):
+    """Does a text hold a benchmark item, passage by passage?"""
+    words, item = (re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for t in (text, item))
+    n, masks = len(item), {}
+    if not n or 2 * sum((Counter(item) & Counter(words)).values()) < n:
+        return False
+    for k, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << k
+    for width, stride in decontaminate.PASSAGES:
+        for lo in range(0, max(1, len(words) - width + stride), stride):
+            w = words[max(0, lo - n // 2):lo + width + n // 2]
+            share = decontaminate.common_subsequence(masks, n, w) / n
+            stands = " ".join(item[-decontaminate.ANSWER_WORDS:]) in " ".join(w)
+            if share >= decontaminate.MIN_SHARE or share >= decontaminate.MIN_PARAPHRASE and stands:
+                return True
+    return False
+
+
 def test_decontamination_candidates_miss_nothing(spark, sf_dir, docs):
     """Every item with every document, passage by passage, without the cosine."""
     items = duckdb.sql(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall()
-
-    def plain(t):
-        return re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
-    want = set()
-    for i, t in items:
-        item, masks = plain(t), {}
-        n = len(item)
-        for k, w in enumerate(item):
-            masks[w] = masks.get(w, 0) | 1 << k
-        for d, text, _ in docs:
-            words = plain(text)
-            if 2 * sum((Counter(item) & Counter(words)).values()) < n:
-                continue
-            for width, stride in decontaminate.PASSAGES:
-                for lo in range(0, max(1, len(words) - width + stride), stride):
-                    w = words[max(0, lo - n // 2):lo + width + n // 2]
-                    share = decontaminate.common_subsequence(masks, n, w) / n
-                    stands = " ".join(item[-decontaminate.ANSWER_WORDS:]) in " ".join(w)
-                    if share >= decontaminate.MIN_SHARE or share >= decontaminate.MIN_PARAPHRASE and stands:
-                        want.add((d, i))
+    want = {(d, i) for i, t in items for d, text, _ in docs if holds_item(text, t)}
     assert want == {(r.doc_id, r.item_id) for r in run(spark, sf_dir, "op4_benchmark_decontamination")} and want
 
 
