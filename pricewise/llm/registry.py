@@ -25,5 +25,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every operator module so that its query is registered."""
-    from pricewise.llm import (codelength, decontaminate, infill, langid, licenses, linecrf,  # noqa: F401
+    from pricewise.llm import (codelength, decontaminate, fingerprints, importance, infill, langid, licenses, linecrf,  # noqa: F401
                                neardup, sentencepieces, sharding, substrings, tokencount)
