@@ -1,9 +1,9 @@
-"""Model fitting and search (E2, E8, G2-G6, A9) on ``pyspark.ml``.
+"""Linear model fitting and search.
 
-Model training is distributed by ``pyspark.ml`` (tree aggregation per
-iteration); hyper-parameter search runs its candidate fits in parallel
-threads through ``CrossValidator(parallelism=...)``.  Folds come from a
-repeatable hash of the row key, never from a driver-side shuffle.
+The lasso path needs one moment aggregation; ``pyspark.ml`` fits are
+distributed and searched in parallel threads through
+``CrossValidator(parallelism=...)``.  Folds come from a repeatable hash of the
+row key, never from a driver-side shuffle.  Trees are in ``trees`` and ``forest``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import FMRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,18 +157,6 @@ def _grid_from_settings(est, settings: list[dict]):
     return maps
 
 
-def fit_boosted_search(df: DataFrame, y: str, x: Sequence[str], key: str, space: dict | None = None,
-                       n: int = 8, folds: int = 5, seed: int = 7, parallelism: int = 4):
-    """Random search over boosted-tree settings scored by k-fold RMSE
-    (guided search re-aimed as seeded random search)."""
-    space = space or {"maxDepth": (3, 8), "stepSize": (0.03, 0.3), "subsamplingRate": (0.6, 1.0),
-                      "minInfoGain": (0.0, 0.1), "minInstancesPerNode": (1, 9)}
-    data = with_fold(assemble(df, x, y), key, folds)
-    gbt = GBTRegressor(maxIter=20, seed=seed)
-    grid = _grid_from_settings(gbt, sample_settings(space, n, seed))
-    return cross_validate(gbt, grid, data, folds, "rmse", parallelism), grid
-
-
 def fit_gradient_search(df: DataFrame, y: str, x: Sequence[str], key: str, space: dict | None = None,
                         n: int = 6, folds: int = 3, seed: int = 7, parallelism: int = 4):
     """Randomized search of a gradient-trained non-linear regressor
@@ -184,39 +172,6 @@ def fit_gradient_search(df: DataFrame, y: str, x: Sequence[str], key: str, space
     return cross_validate(fm, grid, data, folds, "rmse", parallelism), grid
 
 
-def forest_importance(df: DataFrame, y: str, x: Sequence[str], key: str, train_size: float = 0.7,
-                      seed: int = 42, trees: int = 50) -> DataFrame:
-    """Random forest on a hash-split training part; importances sorted
-    (they sum to 1)."""
-    data = assemble(df, x, y)
-    train = data.where(split_hash(key, seed) < int(1000 * train_size))
-    model = RandomForestRegressor(numTrees=trees, seed=seed).fit(train)
-    imp = [(c, float(v)) for c, v in zip(x, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(imp, "feature string, importance double").orderBy(F.desc("importance"))
-
-
-def impute_by_forest(df: DataFrame, targets: Sequence[str], features: Sequence[str], key: str,
-                     grid: dict | None = None, folds: int = 3, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """For every target column, fit a cross-validated random forest on
-    the rows where it is present and fill the rows where it is NULL.  The
-    features exclude the targets (and the caller leaves out the label, which
-    the reference leaked in)."""
-    grid = grid or {"minInstancesPerNode": [3, 5], "numTrees": [20, 40]}
-    out = df
-    for t in targets:
-        known = with_fold(assemble(df.where(F.col(t).isNotNull()), features, t), key, folds)
-        rf = RandomForestRegressor(seed=seed)
-        pg = ParamGridBuilder()
-        for k, v in grid.items():
-            pg = pg.addGrid(rf.getParam(k), v)
-        best = cross_validate(rf, pg.build(), known, folds, "rmse", parallelism).bestModel
-        missing = assemble(df.where(F.col(t).isNull()), features).select(key, "features")
-        pred = best.transform(missing).select(key, F.col("prediction").alias(f"_pred_{t}"))
-        out = out.join(pred, key, "left").withColumn(t, F.coalesce(F.col(t), F.col(f"_pred_{t}"))) \
-            .drop(f"_pred_{t}")
-    return out
-
-
 def save_pipeline(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (scaler + model)."""
     model.write().overwrite().save(path)

@@ -9,12 +9,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from pricewise.functions.linalg import ols_by_group
+from pricewise.operators import cells as C
 from pricewise.operators import diagnostics as D
+from pricewise.operators import forest as I
 from pricewise.operators import regress as M
 from pricewise.operators import series as S
+from pricewise.operators import trees as R
 from pricewise.operators import tsmodels as T
 from pricewise.operators.anomaly import isolation_anomalies
 from pricewise.operators.features import split_hash
+from pricewise.plans.q_features import ONE_HOT_LEVELS
 from pricewise.plans.q_series import BY, FILLED, filled_daily
 from pricewise.plans.registry import register, rounded
 from pricewise.session import checkpoint_dir, with_scalars
@@ -126,7 +130,7 @@ def q_spread(spark, sf_dir):
     return rounded(D.residual_spread(fx, "residual", "i", 10), 9)
 
 
-# ------------------------------------------------------------- G3-G6, E2, E8, A9 (pyspark.ml)
+# ------------------------------------------------------------- G3-G6, E2, E8, A9
 _X = ["age", "year", "price"]
 
 
@@ -135,9 +139,12 @@ def _ml_frame(spark, sf_dir):
     return fx.where(F.col("power").isNotNull())
 
 
-@register("g06_cv_fold_sizes", with_fixture("fx_listings", """
-SELECT CAST((CAST(('0x' || substr(md5('42' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000) % 5 AS INTEGER) AS fold,
-       CAST(count(*) AS BIGINT) AS n FROM fx_listings WHERE power IS NOT NULL GROUP BY 1"""))
+#: The fold of a row in SQL.
+FOLD_SQL = "CAST((CAST(('0x' || substr(md5('42' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 1000) % 5 AS INTEGER)"
+
+
+@register("g06_cv_fold_sizes", with_fixture("fx_listings", f"""
+SELECT {FOLD_SQL} AS fold, CAST(count(*) AS BIGINT) AS n FROM fx_listings WHERE power IS NOT NULL GROUP BY 1"""))
 def q_folds(spark, sf_dir):
     return M.with_fold(_ml_frame(spark, sf_dir), "id", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,11 +169,73 @@ def q_lasso_ml(spark, sf_dir):
     return _scores(spark, cv, grid, ["regParam"])
 
 
+def _settings():
+    return M.sample_settings(R.BOOSTED_SPACE, R.SETTINGS)
+
+
+def _boosted_features(fx):
+    return C.numeric_features(fx, _X, bins=32)
+
+
 @register("g04_boosted_search")
-def q_gbt(spark, sf_dir):
-    cv, grid = M.fit_boosted_search(_ml_frame(spark, sf_dir), "power", _X, "id", n=3, folds=3)
-    return _scores(spark, cv, grid, ["maxDepth", "stepSize", "subsamplingRate", "minInfoGain",
-                                     "minInstancesPerNode"])
+def q_boosted(spark, sf_dir):
+    """50 settings x 5 folds x 1,000 rounds: mean held-out RMSE per setting."""
+    fx, settings = _ml_frame(spark, sf_dir), _settings()
+    scores = R.boosted_scores(fx, "power", _boosted_features(fx), "id", settings)
+    names = list(R.BOOSTED_SPACE)
+    table = spark.createDataFrame([(i, *[float(s[n]) for n in names]) for i, s in enumerate(settings)],
+                                  "setting int, " + ", ".join(f"{n} double" for n in names))
+    mean = scores.groupBy("setting").agg(F.count("rmse").alias("folds"), F.avg("rmse").alias("rmse"), F.stddev("rmse").alias("spread"))
+    return table.join(mean, "setting")
+
+
+#: One stump: a tree of depth 1 after one round, whose splits SQL can compute.
+_STUMP = {"max_depth": 1, "gamma": 0.0, "eta": 0.3, "subsample": 1.0, "min_child_weight": 0.0, "reg_lambda": 2.0}
+_STUMP_BINS = 8
+_STUMP_CODES = f"""
+, t AS (SELECT id, CAST(age AS DOUBLE) AS age, price, power, {FOLD_SQL} AS fold FROM fx_listings WHERE power IS NOT NULL),
+edges AS (SELECT DISTINCT unnest(quantile_cont(price, [{", ".join(str(i / _STUMP_BINS) for i in range(1, _STUMP_BINS))}])) AS e FROM t),
+coded AS (SELECT id, fold, power, 'price' AS feature, (SELECT 1 + count(*) FROM edges WHERE t.price > e) AS bin FROM t
+          UNION ALL SELECT id, fold, power, 'age', dense_rank() OVER (ORDER BY age) FROM t)"""
+
+
+def _stump_features(fx):
+    return C.numeric_features(fx, ["price", "age"], bins=_STUMP_BINS)
+
+
+@register("g04_split_gains", with_fixture("fx_listings", _STUMP_CODES + """,
+sums AS (SELECT feature, bin, sum((SELECT avg(power) FROM t) - power) AS g, count(*) AS h FROM coded GROUP BY feature, bin),
+run AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER v AS g, sum(h) OVER v AS h FROM sums
+        WINDOW w AS (PARTITION BY feature ORDER BY bin), v AS (PARTITION BY feature))
+SELECT feature, CAST(bin AS INTEGER) AS bin, CAST(hl AS DOUBLE) AS n_left,
+       round(gl * gl / (hl + 2) + (g - gl) * (g - gl) / (h - hl + 2) - g * g / (h + 2), 4) AS gain
+FROM run WHERE h > hl"""))
+def q_split_gains(spark, sf_dir):
+    """Gain of every split of the first tree's root, by the level aggregate."""
+    fx = _ml_frame(spark, sf_dir)
+    features = _stump_features(fx)
+    table, _ = C.cell_table(fx, features, ["power"], "id")
+    gains = R.split_gains(R.root_sums(table, features), [], F.lit(_STUMP["reg_lambda"]), F.lit(0.0))
+    return rounded(gains.select("feature", "bin", F.col("hl").alias("n_left"), "gain"), 4)
+
+
+@register("g04_boosted_stump", with_fixture("fx_listings", _STUMP_CODES + """,
+f AS (SELECT DISTINCT fold AS held FROM t),
+mean AS (SELECT held, avg(power) AS m FROM t JOIN f ON fold <> held GROUP BY held),
+sums AS (SELECT held, feature, bin, sum(m - power) AS g, count(*) AS h FROM coded JOIN mean ON fold <> held GROUP BY held, feature, bin),
+run AS (SELECT held, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER v AS g, sum(h) OVER v AS h FROM sums
+        WINDOW w AS (PARTITION BY held, feature ORDER BY bin), v AS (PARTITION BY held, feature)),
+best AS (SELECT held, feature, bin, -gl / (hl + 2) AS lv, -(g - gl) / (h - hl + 2) AS rv FROM run WHERE h > hl
+         QUALIFY row_number() OVER (PARTITION BY held ORDER BY gl * gl / (hl + 2) + (g - gl) * (g - gl) / (h - hl + 2) DESC, feature DESC, bin) = 1)
+SELECT CAST(b.held AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n,
+       round(sqrt(avg(pow(c.power - m.m - 0.3 * CASE WHEN c.bin <= b.bin THEN lv ELSE rv END, 2))), 6) AS rmse
+FROM coded c JOIN best b ON c.fold = b.held AND c.feature = b.feature JOIN mean m ON m.held = b.held GROUP BY b.held"""))
+def q_stump(spark, sf_dir):
+    """Held-out RMSE per fold after one round of one split."""
+    fx = _ml_frame(spark, sf_dir)
+    scores = R.boosted_scores(fx, "power", _stump_features(fx), "id", [_STUMP], rounds=1)
+    sizes = M.with_fold(fx, "id", R.FOLDS).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(scores.join(sizes, "fold").select("fold", "n", "rmse"), 6)
 
 
 @register("g05_gradient_search")
@@ -175,16 +244,53 @@ def q_fm(spark, sf_dir):
     return _scores(spark, cv, grid, ["factorSize", "maxIter", "regParam", "stepSize"])
 
 
-@register("e02_impute_by_forest")
+#: Declared category levels, as one-hot columns.
+_LEVELS = ONE_HOT_LEVELS | {"wheel_drive": ["F", "O", "P"]}
+_HOLED = ["kilometers", "trunk", "cylinder", "power"]  # the columns with missing values
+
+
+def _imputed(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "fx_listings").select("id", "age", *_LEVELS, *_HOLED)
+    return I.impute_by_forest(fx, _HOLED, C.category_features(_LEVELS) + C.numeric_features(fx, ["age"]), "id")
+
+
+@register("e02_impute_by_forest", with_fixture("fx_listings", "SELECT * FROM (" + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS filled, CAST(0 AS BIGINT) AS nulls_left,
+       round(sum(CAST({c} AS DOUBLE)), 3) AS known_sum, true AS in_range FROM fx_listings""" for c in _HOLED) + ")"))
 def q_impute_forest(spark, sf_dir):
-    fx = fixture(spark, sf_dir, "fx_listings").select("id", "age", "year", "trunk", "cylinder")
-    return M.impute_by_forest(fx, ["trunk", "cylinder"], ["age", "year"], "id",
-                              grid={"minInstancesPerNode": [3], "numTrees": [10, 20]}, folds=3)
+    """Every NULL of four columns filled (72 settings x 5 folds): what must hold
+    of the filled table, also beside the values that were known."""
+    fx = fixture(spark, sf_dir, "fx_listings").select("id", *[F.col(c).cast("double").alias(f"_{c}") for c in _HOLED])
+    both = _imputed(spark, sf_dir)[0].select("id", *_HOLED).join(fx, "id")
+    bounds = both.agg(*[f(f"_{c}").alias(f"{k}{c}") for c in _HOLED for f, k in ((F.min, "lo_"), (F.max, "hi_"))])
+    filled = [F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), F.col(f"_{c}").alias("known"),
+                       F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi")) for c in _HOLED]
+    rows = with_scalars(both, bounds).select(F.inline(F.array(*filled)))
+    inside = F.col("v").between(F.col("lo") - 1e-6, F.col("hi") + 1e-6)
+    out = rows.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("filled"), F.count_if(F.col("v").isNull()).alias("nulls_left"),
+        F.sum(F.when(F.col("known").isNotNull(), F.col("v"))).alias("known_sum"), F.bool_and(inside).alias("in_range"))
+    return rounded(out, 3)
+
+
+@register("e02_forest_scores")
+def q_forest_scores(spark, sf_dir):
+    """Mean held-out r2 of the 72 settings for every imputed column."""
+    return _imputed(spark, sf_dir)[1]
 
 
 @register("e08_forest_importance")
 def q_importance(spark, sf_dir):
-    return M.forest_importance(_ml_frame(spark, sf_dir), "power", _X, "id", trees=20)
+    fx = fixture(spark, sf_dir, "fx_listings")
+    return I.forest_importance(fx, "price", C.category_features(_LEVELS) + C.numeric_features(fx, ["age", *_HOLED[:3]]), "id")
+
+
+@register("e08_importance_totals", "SELECT * FROM (VALUES (CAST(14 AS BIGINT), 1.0::DOUBLE, true)) t(features, total, not_negative)")
+def q_importance_totals(spark, sf_dir):
+    """Importances of all one-hot and numeric inputs sum to 1."""
+    out = q_importance(spark, sf_dir).agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"),
+                                          F.bool_and(F.col("importance") >= 0).alias("not_negative"))
+    return rounded(out, 9)
 
 
 @register("a09_save_load_pipeline")
