@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricewise.operators.rank import null_safe_join
+
 
 def group_stats(df: DataFrame, by: Sequence[str], y: str, prefix: str = "") -> DataFrame:
     """C1 (folded): sample std, mean and count of ``y`` per group, one agg."""
@@ -73,7 +75,7 @@ def rolled_history(df: DataFrame, by: Sequence[str], pos: str, order: str, max_s
     by = list(by)
     fan = df.withColumn("_end", F.explode(F.sequence(F.col(pos), F.col(pos) + F.lit(max_shift))))
     ends = df.select(*by, F.col(pos).alias("_end"), F.col(order).alias(id_col))
-    out = fan.join(ends, [*by, "_end"])
+    out = null_safe_join(fan, ends, [*by, "_end"])
     if min_shift > 0:
         out = out.where(F.col("_end") - F.greatest(F.lit(1), F.col("_end") - max_shift) >= min_shift)
     return out.drop("_end")

@@ -158,10 +158,11 @@ def forward_fill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]
 # ---------------------------------------------------------------- F3-F8
 def diff(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str], n: int = 1,
          dropna: bool = True) -> DataFrame:
-    """``c - lag(c, n)`` for each column, then drop rows with a NULL."""
+    """``c - lag(c, n)`` for each column; then rows with a NULL are dropped
+    and the rest is numbered afresh, so that lags and windows may follow."""
     out = with_window_columns(df, by, pos, n, {
         c: (lambda w, c=c: F.col(c) - F.lag(c, n).over(w)) for c in cols})
-    return out.dropna(subset=list(cols)) if dropna else out
+    return dense(out.dropna(subset=list(cols)), by, pos) if dropna else out
 
 
 def add_lags(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: Sequence[int]) -> DataFrame:
@@ -317,19 +318,19 @@ def future_frame(df: DataFrame, by: Sequence[str], d: str, pos: str, h: int,
     their own rows (NULL on future rows)."""
     by = list(by)
     n = series_lengths(df, by, pos)
-    last = df.join(n, by).where(F.col(pos) == F.col("_len")) \
+    last = null_safe_join(df, n, by).where(F.col(pos) == F.col("_len")) \
         .select(*by, F.col(d).alias("_dl"), "_len")
     fut = last.select(*by, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_k"), "_dl", "_len") \
         .select(*by, (F.col("_len") + F.col("_k")).alias(pos), F.date_add("_dl", F.col("_k")).alias(d))
     frame = df.select(*by, pos, d, *target).unionByName(fut, allowMissingColumns=True)
     ex = df.select(*by, (F.col(pos) + h).alias(pos), *exog)
-    return frame.join(ex, [*by, pos], "left").where(F.col(pos) > h)
+    return null_safe_join(frame, ex, [*by, pos], "left").where(F.col(pos) > h)
 
 
 def last_n_holdout(df: DataFrame, by: Sequence[str], pos: str, h: int = 30, role_col: str = "role") -> DataFrame:
     """the last ``h`` rows of each series are ``test``, the rest ``train``."""
     n = series_lengths(df, by, pos)
-    j = df.join(n, list(by))
+    j = null_safe_join(df, n, list(by))
     return j.withColumn(role_col, F.when(F.col(pos) > F.col("_len") - h, "test").otherwise("train")).drop("_len")
 
 
@@ -340,7 +341,7 @@ def time_series_folds(df: DataFrame, by: Sequence[str], pos: str, n_splits: int
     earlier rows.  ``by..., fold, pos, role`` (each row in every fold it
     takes part in: a fan-out of at most ``n_splits``)."""
     n = series_lengths(df, by, pos)
-    j = df.join(n, list(by))
+    j = null_safe_join(df, n, list(by))
     j = j.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     start = F.col("_len") - (F.lit(n_splits) - F.col("fold")) * test_size + 1
     role = F.when(F.col(pos) < start, "train").when(F.col(pos) < start + test_size, "test")

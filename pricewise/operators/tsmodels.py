@@ -1,5 +1,5 @@
-"""Per-series tests and models: ADF (F10), Granger (F13), AR (F16),
-ARIMA(p,1,q) by Hannan-Rissanen (F17) and the order backtest (F22).
+"""Per-series tests and models: ADF (F10), Granger (F13) and AR (F16);
+ARIMA is in ``arima``.
 
 Pattern for all of them: lag columns from a blocked window
 (``series.with_window_columns``), one aggregation of cross products per
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewise.functions.dist import chi2_sf, f_sf, mackinnon_p_constant
+from pricewise.operators.rank import null_safe_join
 from pricewise.operators.series import series_lengths, with_window_columns
-from pricewise.session import cut_lineage
 
 
 def _key_schema(df: DataFrame, by: Sequence[str]) -> list[str]:
@@ -123,7 +123,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
     xs = ["_lvl", *[f"_dl{k}" for k in range(1, lmax + 1)], "_dx"]
     # centre by the series means for conditioning (the ones column absorbs it)
     mu = lagged.groupBy(*by).agg(F.avg(col).alias("_mu"), F.avg("_dx").alias("_mdx"))
-    lagged = lagged.join(mu, by).join(mls, by)
+    lagged = null_safe_join(null_safe_join(lagged, mu, by), mls, by)
     # complete cases: a row counts for a fit only if all lags of that fit exist
     lagged = lagged.withColumn("_whole", _complete_lags([f"_dl{k}" for k in range(1, lmax + 1)]))
     lagged = lagged.withColumn("_lvl", F.col("_lvl") - F.col("_mu")).withColumns(
@@ -155,7 +155,7 @@ def adf_test(df: DataFrame, by: Sequence[str], pos: str, col: str, max_lag: int
         chosen = g_common.groupBy(*by).applyInPandas(pick, ", ".join(key_schema + ["_L int"]))
     else:
         chosen = mls.select(*by, F.col("_ml").alias("_L"))
-    refit = lagged.join(chosen, by)
+    refit = null_safe_join(lagged, chosen, by)
     refit = refit.withColumns({f"_dl{j}": F.when(F.col("_L") >= j, F.col(f"_dl{j}")).otherwise(F.lit(0.0))
                                for j in range(1, lmax + 1)})
     g_fit = _masked_gram(refit, [*by, "_L"], xs, {0: ok & (F.col(pos) >= F.col("_L") + 2) & (F.col("_whole") >= F.col("_L"))})
@@ -185,7 +185,7 @@ def granger(df: DataFrame, by: Sequence[str], pos: str, y: str, x: str, max_lag:
     f_p, chi2, chi2_p, lr, lr_p``."""
     by = list(by)
     mu = df.groupBy(*by).agg(F.avg(y).alias("_my"), F.avg(x).alias("_mx"))
-    c = df.join(mu, by).withColumn("_y", F.col(y) - F.col("_my")) \
+    c = null_safe_join(df, mu, by).withColumn("_y", F.col(y) - F.col("_my")) \
         .withColumn("_x", F.col(x) - F.col("_mx"))
     make = {}
     for k in range(1, max_lag + 1):
@@ -270,7 +270,7 @@ def forecast_ar(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y:
     by = list(by)
     p = max(lags)
     n = series_lengths(df, by, pos)
-    tail = df.join(n, by).where(F.col(pos) > F.col("_len") - p) \
+    tail = null_safe_join(df, n, by).where(F.col(pos) > F.col("_len") - p) \
         .select(*by, pos, F.col(y).cast("double").alias("_y"), *[F.lit(None).cast("double").alias(e) for e in exog],
                 F.lit(False).alias("_fut"))
     fut = future.select(*by, pos, F.lit(None).cast("double").alias("_y"),
@@ -279,7 +279,7 @@ def forecast_ar(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y:
     terms = ["const", *names, *exog, "_ssr", "_n", "_sigma2"]
     wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by) \
         .pivot("term", [f"c_{t}" for t in terms]).agg(F.first("coef"))
-    rows = tail.unionByName(fut).join(wide, by)
+    rows = null_safe_join(tail.unionByName(fut), wide, by)
     schema = ", ".join(_key_schema(rows, by) + [f"`{pos}` long", "forecast double"])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -299,197 +299,3 @@ def forecast_ar(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y:
         return pd.DataFrame(out, columns=[*by, pos, "forecast"])
 
     return rows.groupBy(*by).applyInPandas(fn, schema)
-
-
-# ---------------------------------------------------------------- F17 ARIMA
-def _psi_weights(phi: np.ndarray, theta: np.ndarray, d: int, h: int) -> np.ndarray:
-    """MA(infinity) weights of ARIMA(p, d, q) via the undifferenced AR
-    polynomial ``phi(B) (1 - B)^d``."""
-    ar = np.array([1.0, *(-phi)])
-    for _ in range(d):
-        ar = np.convolve(ar, [1.0, -1.0])
-    a = -ar[1:]
-    psi = np.zeros(h)
-    psi[0] = 1.0
-    for j in range(1, h):
-        v = theta[j - 1] if j - 1 < len(theta) else 0.0
-        for i in range(1, min(j, len(a)) + 1):
-            v += a[i - 1] * psi[j - i]
-        psi[j] = v
-    return psi
-
-
-def fit_arima(df: DataFrame, by: Sequence[str], pos: str, y: str, order=(1, 1, 1), exog: Sequence[str] = (),
-              long_ar: int = 10) -> DataFrame:
-    """F17 fit: ARIMA(p, 1, q) with exogenous regressors by Hannan-Rissanen:
-    (1) long AR on the differenced series, residuals e; (2) OLS of the
-    differenced series on its p lags, q lags of e and differenced exog.
-    Returns ``by..., term, coef`` with ``_ssr``, ``_n``, ``_sigma2``,
-    ``_k`` rows (the two Gram passes are per-series aggregations)."""
-    p, d, q = order
-    if d != 1:
-        raise ValueError("only d = 1 is supported")
-    by = list(by)
-    dcols = {"_dy": lambda w: F.col(y) - F.lag(y, 1).over(w)}
-    for e in exog:
-        dcols[f"_d_{e}"] = (lambda w, e=e: F.col(e) - F.lag(e, 1).over(w))
-    dd = with_window_columns(df, by, pos, 1, dcols)
-    m = max(long_ar, p + q)
-    dd = with_window_columns(dd, by, pos, m, {f"_a{k}": (lambda w, k=k: F.lag("_dy", k).over(w))
-                                              for k in range(1, m + 1)})
-    from pricewise.functions.linalg import gram, solve_ols
-
-    stage1 = dd.where(F.col(pos) > m + 1)
-    g1 = gram(stage1, by, [f"_a{k}" for k in range(1, m + 1)], "_dy")
-    c1 = g1.groupBy(*by).applyInPandas(
-        lambda pdf: _coef_rows(pdf, by, m, [f"_a{k}" for k in range(1, m + 1)], solve_ols),
-        ", ".join(_key_schema(g1, by) + ["term string", "coef double"]))
-    w1 = c1.groupBy(*by).pivot("term", ["const", *[f"_a{k}" for k in range(1, m + 1)]]).agg(F.first("coef"))
-    resid = F.col("_dy") - F.col("const")
-    for k in range(1, m + 1):
-        resid = resid - F.col(f"_a{k}") * F.col(f"c__a{k}")
-    w1r = w1.select(*by, "const", *[F.col(f"_a{k}").alias(f"c__a{k}") for k in range(1, m + 1)])
-    e_rows = dd.join(w1r, by).withColumn(
-        "_e", F.when(F.col(pos) > m + 1, resid)).drop("const", *[f"c__a{k}" for k in range(1, m + 1)])
-    lag_make = {f"_p{k}": (lambda w, k=k: F.lag("_dy", k).over(w)) for k in range(1, p + 1)}
-    lag_make.update({f"_q{k}": (lambda w, k=k: F.lag("_e", k).over(w)) for k in range(1, q + 1)})
-    st2 = with_window_columns(e_rows, by, pos, max(p, q, 1), lag_make)
-    xs = [*[f"_p{k}" for k in range(1, p + 1)], *[f"_q{k}" for k in range(1, q + 1)], *[f"_d_{e}" for e in exog]]
-    g2 = gram(st2.where(F.col(pos) > m + 1 + q), by, xs, "_dy")
-    names = [*[f"ar_L{k}" for k in range(1, p + 1)], *[f"ma_L{k}" for k in range(1, q + 1)], *exog]
-    return g2.groupBy(*by).applyInPandas(
-        lambda pdf: _coef_rows(pdf, by, len(xs), names, solve_ols),
-        ", ".join(_key_schema(g2, by) + ["term string", "coef double"]))
-
-
-def _coef_rows(pdf, by, k, names, solve):
-    out = []
-    for _, r in pdf.iterrows():
-        res = solve(r.to_dict(), k)
-        keys = [r[b] for b in by]
-        out += [[*keys, "const", res["intercept"]]]
-        out += [[*keys, nm, float(v)] for nm, v in zip(names, res["beta"])]
-        out += [[*keys, "_ssr", res["ssr"]], [*keys, "_n", float(res["n"])],
-                [*keys, "_sigma2", res["ssr"] / max(res["dof"], 1)], [*keys, "_k", float(k + 1)]]
-    return pd.DataFrame(out, columns=[*by, "term", "coef"])
-
-
-def forecast_arima(df: DataFrame, coefs: DataFrame, by: Sequence[str], pos: str, y: str, order=(1, 1, 1),
-                   future: DataFrame | None = None, h: int = 30, exog: Sequence[str] = (),
-                   long_ar: int = 10, level: float = 0.95) -> DataFrame:
-    """F17 forecast: recursive point forecast of the differenced model (future
-    shocks 0), undifferenced, with a ``level`` interval from the psi
-    weights: ``by..., pos, forecast, lower, upper``.  Needs only the last
-    ``max(p, q, long_ar) + 1`` rows of each series and its future exog."""
-    p, _, q = order
-    by = list(by)
-    m = max(long_ar, p + q)
-    keep = max(p, q, m) + 2
-    n = series_lengths(df, by, pos)
-    tail = df.join(n, by).where(F.col(pos) > F.col("_len") - keep - m) \
-        .select(*by, pos, F.col(y).cast("double").alias("_y"), *[F.col(e).cast("double").alias(e) for e in exog],
-                F.lit(False).alias("_fut"), "_len")
-    if future is None:
-        fut = n.select(*by, F.explode(F.sequence(F.col("_len") + 1, F.col("_len") + h)).alias(pos), "_len")
-        fut = fut.select(*by, F.col(pos).cast("long").alias(pos), F.lit(None).cast("double").alias("_y"),
-                         *[F.lit(None).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"), "_len")
-    else:
-        fut = future.join(n, by).select(
-            *by, F.col(pos).cast("long").alias(pos), F.lit(None).cast("double").alias("_y"),
-            *[F.col(e).cast("double").alias(e) for e in exog], F.lit(True).alias("_fut"), "_len")
-    rows = tail.select(*by, F.col(pos).cast("long").alias(pos), "_y", *exog, "_fut", "_len").unionByName(fut)
-    terms = ["const", *[f"ar_L{k}" for k in range(1, p + 1)], *[f"ma_L{k}" for k in range(1, q + 1)], *exog,
-             "_ssr", "_n", "_sigma2", "_k"]
-    wide = coefs.withColumn("term", F.concat(F.lit("c_"), "term")).groupBy(*by) \
-        .pivot("term", [f"c_{t}" for t in terms]).agg(F.first("coef"))
-    rows = rows.join(wide, by)
-    z = 1.959963984540054 if abs(level - 0.95) < 1e-12 else float(np.sqrt(2) * _erfinv(level))
-    schema = ", ".join(_key_schema(rows, by) + [f"`{pos}` long", "forecast double", "lower double",
-                                                "upper double"])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        c = pdf.iloc[0]
-        phi = np.array([float(c[f"c_ar_L{k}"]) for k in range(1, p + 1)])
-        theta = np.array([float(c[f"c_ma_L{k}"]) for k in range(1, q + 1)])
-        beta = np.array([float(c[f"c_{e}"]) for e in exog])
-        hist = pdf[~pdf["_fut"]]
-        yv = hist["_y"].to_numpy(dtype=float)
-        dy = np.diff(yv)
-        xh = hist[list(exog)].to_numpy(dtype=float) if exog else np.zeros((len(yv), 0))
-        dxh = np.diff(xh, axis=0)
-        # in-sample residuals of the fitted model on the retained tail
-        e = np.zeros(len(dy))
-        for t in range(len(dy)):
-            v = float(c["c_const"])
-            for k in range(1, p + 1):
-                v += phi[k - 1] * (dy[t - k] if t - k >= 0 else 0.0)
-            for k in range(1, q + 1):
-                v += theta[k - 1] * (e[t - k] if t - k >= 0 else 0.0)
-            if len(beta):
-                v += beta @ dxh[t]
-            e[t] = dy[t] - v
-        fut = pdf[pdf["_fut"]]
-        xf = fut[list(exog)].to_numpy(dtype=float) if exog else np.zeros((len(fut), 0))
-        last_x = xh[-1] if len(xh) else np.zeros(0)
-        dys, es = list(dy), list(e)
-        level_v = yv[-1]
-        psi = _psi_weights(phi, theta, 1, len(fut))
-        s2 = float(c["c__sigma2"])
-        out = []
-        for j in range(len(fut)):
-            v = float(c["c_const"])
-            for k in range(1, p + 1):
-                v += phi[k - 1] * dys[-k]
-            for k in range(1, q + 1):
-                v += theta[k - 1] * es[-k]
-            if len(beta):
-                dxf = xf[j] - last_x
-                last_x = xf[j]
-                v += beta @ dxf
-            dys.append(v)
-            es.append(0.0)
-            level_v = level_v + v
-            se = math.sqrt(s2 * float(np.sum(psi[: j + 1] ** 2)))
-            out.append([*[c[b] for b in by], int(fut.iloc[j][pos]), level_v, level_v - z * se, level_v + z * se])
-        return pd.DataFrame(out, columns=[*by, pos, "forecast", "lower", "upper"])
-
-    return rows.groupBy(*by).applyInPandas(fn, schema)
-
-
-def _erfinv(y: float) -> float:
-    # Newton iterations on erf for the interval multiplier of other levels
-    x = 0.0
-    for _ in range(100):
-        x -= (math.erf(x) - y) / (2 / math.sqrt(math.pi) * math.exp(-x * x))
-    return x
-
-
-def forecast_backtest(df: DataFrame, by: Sequence[str], pos: str, y: str, orders: Sequence[tuple],
-                      exog: Sequence[str] = (), h: int = 30) -> DataFrame:
-    """per order, fit on all but the last ``h`` rows, forecast the hold
-    out with its known exog, and report RMSE plus AIC / BIC of the fit:
-    ``by..., order, rmse, aic, bic``."""
-    by = list(by)
-    # every order reads the input several times (fit, forecast, hold-out):
-    # materialise it once in the shared checkpoint folder
-    df = cut_lineage(df)
-    n = series_lengths(df, by, pos)
-    j = df.join(n, by)
-    train = j.where(F.col(pos) <= F.col("_len") - h).drop("_len")
-    test = j.where(F.col(pos) > F.col("_len") - h).drop("_len")
-    out = None
-    for order in orders:
-        coefs = cut_lineage(fit_arima(train, by, pos, y, order, exog))  # small: terms per series
-        fc = forecast_arima(train, coefs, by, pos, y, order, test.select(*by, pos, *exog), h, exog)
-        err = fc.join(test.select(*by, pos, F.col(y).alias("_actual")), [*by, pos])
-        rmse = err.groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col("forecast") - F.col("_actual"), 2))).alias("rmse"))
-        st = coefs.groupBy(*by).agg(F.max(F.when(F.col("term") == "_ssr", F.col("coef"))).alias("_ssr"),
-                                    F.max(F.when(F.col("term") == "_n", F.col("coef"))).alias("_n"),
-                                    F.max(F.when(F.col("term") == "_k", F.col("coef"))).alias("_k"))
-        nn = F.col("_n")
-        ll = -nn / 2 * (F.log(2 * math.pi * F.col("_ssr") / nn) + 1)
-        st = st.select(*by, (2 * F.col("_k") - 2 * ll).alias("aic"), (F.col("_k") * F.log(nn) - 2 * ll).alias("bic"))
-        res = rmse.join(st, by).select(*by, F.lit(str(tuple(order))).alias("order"), "rmse", "aic", "bic")
-        out = res if out is None else out.unionByName(res)
-    return out

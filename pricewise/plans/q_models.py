@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pricewise.functions.linalg import ols_by_group
+from pricewise.operators import arima as A
 from pricewise.operators import cells as C
 from pricewise.operators import diagnostics as D
 from pricewise.operators import forest as I
@@ -373,17 +374,99 @@ def q_ar_forecast(spark, sf_dir):
                          ["high", "low"])
 
 
+@register("f16_ar1_forecast", with_fixture("fx_daily", FILLED + """
+, a AS (SELECT series, pos, open AS y, lag(open) OVER (PARTITION BY series ORDER BY d) AS y1 FROM bf),
+c AS (SELECT series, regr_intercept(y, y1) AS c, regr_slope(y, y1) AS f, max(pos) AS n FROM a GROUP BY series)
+SELECT c.series, CAST(n + h AS BIGINT) AS pos, round(c * (1 - pow(f, h)) / (1 - f) + pow(f, h) * a.y, 3) AS forecast
+FROM c JOIN a ON a.series = c.series AND a.pos = c.n, range(1, 31) t(h)"""))
+def q_ar1_forecast(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    ahead = S.series_lengths(f, BY, "_pos").select(*BY, F.explode(F.sequence(F.col("_len") + 1, F.col("_len") + 30)).alias("_pos"))
+    out = T.forecast_ar(f, T.fit_ar(f, BY, "_pos", "open", [1]), BY, "_pos", "open", [1], ahead)
+    return rounded(out.withColumnRenamed("_pos", "pos"), 3)
+
+
+#: The grid of orders of the reference.
+_ORDERS = [(p, 1, q) for p in (1, 2) for q in (1, 2)]
+#: ARIMA(1, 1, 0): least squares through the origin, which SQL can compute.
+_110 = [(1, 1, 0)]
+
+
+def _110_sql(train: str = "true") -> str:
+    return FILLED + f"""
+, lv AS (SELECT series, pos, open AS y, open - lag(open) OVER (PARTITION BY series ORDER BY d) AS w,
+                count(*) OVER (PARTITION BY series) AS len FROM bf),
+tr AS (SELECT series, pos, y, w, lag(w) OVER (PARTITION BY series ORDER BY pos) AS w1 FROM lv WHERE {train}),
+phi AS (SELECT series, sum(w * w1) / sum(w1 * w1) AS f, count(w1) AS n, max(pos) AS last FROM tr WHERE w1 IS NOT NULL GROUP BY series),
+res AS (SELECT tr.series, tr.pos, w - f * w1 AS e FROM tr JOIN phi ON tr.series = phi.series WHERE w1 IS NOT NULL),
+fit AS (SELECT phi.series, f, n, last, s AS sse FROM phi JOIN (SELECT series, sum(e * e) AS s FROM res GROUP BY series) USING (series))"""
+
+
+_110_AHEAD = """
+, ah AS (SELECT fit.series, last + h AS pos, h, f, y + w * f * (1 - pow(f, h)) / (1 - f) AS forecast,
+                sse / n * list_sum(list_transform(range(0, h), lambda j: pow((1 - pow(f, j + 1)) / (1 - f), 2))) AS var
+         FROM fit JOIN tr ON tr.series = fit.series AND tr.pos = fit.last, range(1, 31) t(h))"""
+
+
+@register("f17_arima_110", with_fixture("fx_daily", _110_sql() + """
+SELECT series, round(f, 9) AS ar_l1, CAST(n AS BIGINT) AS n, round(sse / n / 1e6, 6) AS sigma2_m FROM fit"""))
+def q_arima_110(spark, sf_dir):
+    models, _ = A.fit_arima_grid(filled_daily(spark, sf_dir), BY, "_pos", "open", _110)
+    out = models.select("series", F.col("params")[0].alias("ar_l1"), "n", (F.col("sse") / F.col("n") / 1e6).alias("sigma2_m"))
+    return rounded(out, {"ar_l1": 9, "sigma2_m": 6})
+
+
+@register("f17_arima_110_forecast", with_fixture("fx_daily", _110_sql() + _110_AHEAD + """
+SELECT series, CAST(pos AS BIGINT) AS pos, round(forecast, 3) AS forecast, round(forecast - 1.959963984540054 * sqrt(var), 3) AS lower,
+       round(forecast + 1.959963984540054 * sqrt(var), 3) AS upper FROM ah"""))
+def q_arima_110_forecast(spark, sf_dir):
+    f = filled_daily(spark, sf_dir)
+    models, _ = A.fit_arima_grid(f, BY, "_pos", "open", _110)
+    out = A.forecast_arima(f, models, BY, "_pos", "open", _110)
+    return rounded(out.select("series", F.col("_pos").alias("pos"), "forecast", "lower", "upper"), 3)
+
+
+@register("f17_arima_110_residuals", with_fixture("fx_daily", _110_sql() + """
+SELECT series, CAST(pos AS BIGINT) AS pos, round(e, 4) AS residual FROM res"""))
+def q_arima_110_residuals(spark, sf_dir):
+    models, blocks = A.fit_arima_grid(filled_daily(spark, sf_dir), BY, "_pos", "open", _110)
+    out = A.arima_residuals(models, blocks, BY, "_pos", _110)
+    return rounded(out.select("series", F.col("_pos").alias("pos"), "residual"), 4)
+
+
+@register("f19_ljung_box_residuals", with_fixture("fx_daily", _110_sql() + """
+, z AS (SELECT series, pos, e - avg(e) OVER (PARTITION BY series) AS z, count(*) OVER (PARTITION BY series) AS n FROM res),
+lg AS (SELECT series, n, z, lag(z, 1) OVER v AS z1, lag(z, 2) OVER v AS z2 FROM z WINDOW v AS (PARTITION BY series ORDER BY pos)),
+r AS (SELECT series, max(n) AS n, sum(z * z1) / sum(z * z) AS r1, sum(z * z2) / sum(z * z) AS r2 FROM lg GROUP BY series)
+SELECT series, CAST(2 AS INTEGER) AS lag, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 6) AS lb_stat,
+       round(exp(-n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)) / 2), 9) AS lb_pvalue FROM r"""))
+def q_ljung_residuals(spark, sf_dir):
+    """Ljung-Box on a model's residuals (two lags: the p-value is closed)."""
+    models, blocks = A.fit_arima_grid(filled_daily(spark, sf_dir), BY, "_pos", "open", _110)
+    out = S.ljung_box(A.arima_residuals(models, blocks, BY, "_pos", _110), BY, "_pos", "residual", 2)
+    return rounded(out.where("lag = 2"), {"lb_stat": 6, "lb_pvalue": 9})
+
+
 @register("f17_arima_forecast")
 def q_arima(spark, sf_dir):
     f = filled_daily(spark, sf_dir)
-    coefs = T.fit_arima(f, BY, "_pos", "open", (1, 1, 1))
-    return T.forecast_arima(f, coefs, BY, "_pos", "open", (1, 1, 1), h=30)
+    models, _ = A.fit_arima_grid(f, BY, "_pos", "open", [(1, 1, 1)])
+    return A.forecast_arima(f, models, BY, "_pos", "open", [(1, 1, 1)], h=30)
+
+
+@register("f22_backtest_110", with_fixture("fx_daily", _110_sql("pos <= len - 30") + _110_AHEAD + """
+, er AS (SELECT ah.series, sqrt(avg(pow(forecast - lv.y, 2))) AS rmse FROM ah JOIN lv ON lv.series = ah.series AND lv.pos = ah.pos GROUP BY ah.series),
+ll AS (SELECT series, n, -n / 2 * (ln(2 * pi() * sse / n) + 1) AS ll FROM fit)
+SELECT er.series, '(1, 1, 0)' AS "order", round(rmse, 4) AS rmse, round(2 * 2 - 2 * ll, 4) AS aic, round(2 * ln(n) - 2 * ll, 4) AS bic
+FROM er JOIN ll ON er.series = ll.series"""))
+def q_backtest_110(spark, sf_dir):
+    return rounded(A.forecast_backtest(filled_daily(spark, sf_dir), BY, "_pos", "open", _110), 4)
 
 
 @register("f22_forecast_backtest")
 def q_backtest(spark, sf_dir):
-    f = filled_daily(spark, sf_dir)
-    return T.forecast_backtest(f, BY, "_pos", "open", [(1, 1, 1), (1, 1, 2)], ["high", "low"], 30)
+    """All four orders, with regressors, fitted in the same passes."""
+    return A.forecast_backtest(filled_daily(spark, sf_dir), BY, "_pos", "open", _ORDERS, ["high", "low"], 30)
 
 
 @register("f09_isolation_anomalies")
