@@ -76,9 +76,11 @@ def bucket_edges(sorted_values: np.ndarray, n_buckets: int, bits: int = 64) -> n
     return np.concatenate(([0], inner, [len(sorted_values)])).astype(np.int64)
 
 
-def sent(slice_id: int, values: np.ndarray, extra: np.ndarray, n_buckets: int, bits: int = 64) -> pa.Table:
+def sent(slice_id: int, values: np.ndarray, extra: np.ndarray, n_buckets: int, bits: int = 64,
+         check: np.ndarray | None = None) -> pa.Table:
     """A slice's rows to the buckets.  ``extra`` is any array beside the
-    sorted values; boolean arrays travel as bits."""
+    sorted values; boolean arrays travel as bits.  ``check`` has 64 further
+    bits of every value, behind it."""
     out = {"bucket": [], "slice": [], "n": [], "packed": [], "extra": []}
     edges = bucket_edges(values, n_buckets, bits)
     for b in np.flatnonzero(np.diff(edges)):
@@ -88,7 +90,8 @@ def sent(slice_id: int, values: np.ndarray, extra: np.ndarray, n_buckets: int, b
         out["slice"].append(slice_id)
         out["n"].append(int(hi - lo))
         out["packed"].append(pack(values[lo:hi]))
-        out["extra"].append((np.packbits(part) if part.dtype == bool else part).tobytes())
+        own = (np.packbits(part) if part.dtype == bool else part).tobytes()
+        out["extra"].append(own if check is None else own + check[lo:hi].astype("<u8").tobytes())
     return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("n", pa.int64()),
                                            ("packed", pa.binary()), ("extra", pa.binary())]))
 
@@ -117,10 +120,11 @@ def answer_bits(rows: pa.Table, kind: int, values: np.ndarray, n_buckets: int, b
     return out
 
 
-def seen_twice(rows: pa.Table, flag_bits: int, kind: int) -> pa.Table:
+def seen_twice(rows: pa.Table, flag_bits: int, kind: int, checked: bool = False) -> pa.Table:
     """Bucket step: a value's answer is true if two places hold it (two
     slices, or one slice that says so in its first flag) and, with a second
-    flag, if that flag is set anywhere."""
+    flag, if that flag is set anywhere.  ``checked`` values are the same only
+    if their further 64 bits agree too."""
     n = np.array(rows["n"].to_pylist(), dtype=np.int64)
     values = [unpack(p, k) for p, k in zip(rows["packed"].to_pylist(), n)]
     flags = [bits_of(x, int(k) * flag_bits).reshape(flag_bits, int(k)) if flag_bits == 1 else
@@ -128,9 +132,14 @@ def seen_twice(rows: pa.Table, flag_bits: int, kind: int) -> pa.Table:
              for x, k in zip(rows["extra"].to_pylist(), n)]
     v = np.concatenate(values)
     f = np.concatenate(flags, axis=1)
-    order = np.argsort(v, kind="stable")
+    if checked:
+        c = np.concatenate([np.frombuffer(x, "<u8", offset=(int(k) + 7) // 8) for x, k in zip(rows["extra"].to_pylist(), n)])
+        order = np.lexsort((c, v))
+        first = np.concatenate(([True], (np.diff(v[order]) != 0) | (np.diff(c[order]) != 0)))
+    else:
+        order = np.argsort(v, kind="stable")
+        first = np.concatenate(([True], np.diff(v[order]) != 0))
     s = v[order]
-    first = np.concatenate(([True], s[1:] != s[:-1]))
     at = np.flatnonzero(first)
     count = np.diff(np.append(at, len(s)))
     good = (count >= 2) | np.logical_or.reduceat(f[0][order], at)

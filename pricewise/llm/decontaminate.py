@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pricewise.llm import textkernel as K
 from pricewise.llm.merging import PairTable
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 
 PASSAGES = ((24, 8), (40, 16), (64, 32))  # words and stride of the passages compared
 COUNTED = 64                     # words of the (disjoint) passages counted and decomposed
@@ -324,9 +324,11 @@ MATCHES = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer:boo
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with a column ``matches``: benchmark items found in it."""
+    """``docs`` with a last column ``matches``, the benchmark items found in it;
+    if the name is taken it gets underscores in front."""
+    name = free_name(docs.columns, "matches")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
-    block, held, done = [], 0, docs.withColumn("matches", F.array().cast(MATCHES))
+    block, held, done = [], 0, docs.withColumn(name, F.array().cast(MATCHES))
     spark = docs.sparkSession
 
     def with_block(frame: DataFrame) -> DataFrame:
@@ -342,7 +344,7 @@ def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()),
                                                       ("lcs_share", pa.float64()), ("answer", pa.bool_())])))
 
-        return frame.withColumn("matches", F.concat("matches", look(F.col("text").cast("string"))))
+        return frame.withColumn(name, F.concat(name, look(F.col("text").cast("string"))))
 
     for row in items.toLocalIterator():
         _, wo = term_hashes(*K.buffers(pa.array([row[1]], pa.string())))

@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from pricewise.llm import ppm
 from pricewise.llm import textkernel as K
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 
 SAMPLE = 1000     # labelled documents per language to learn from (expected number)
-NODES = 2048      # order-3 contexts per language
 UNKNOWN = "und"
 HELD_OUT = (4, 2)  # crc32(id) modulo 4 is 2: not learned from
 
@@ -33,7 +32,7 @@ IS_LETTER[ord("a"):ord("z") + 1] = True
 IS_LETTER[ord("A"):ord("Z") + 1] = True
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> tuple[list[str], ppm.Tables | None]:
+def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], ppm.Tables | None]:
     """Languages and compiled models learned from ``docs`` (text, lang, doc_id)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
@@ -47,15 +46,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> tuple[li
     grams = ppm.gram_counts(known.where(pick).select("lang", "text"), ["lang"], lower=True).toArrow()
     of, gram, n = (grams[c].to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
     languages = sorted(sizes)
-    tries = [ppm.Trie.pruned(gram[of == lang], n[of == lang], nodes) for lang in languages]
+    tries = [ppm.Trie.whole(gram[of == lang], n[of == lang]) for lang in languages]
     return languages, ppm.Tables(tries)
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """``docs`` with a struct column ``language`` (lang_pred, score)."""
+    """``docs`` with a last column, a struct ``language`` (lang_pred, score); if
+    the name is taken it gets underscores in front."""
     languages, tables = train(docs if training is None else training)
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((languages, tables))  # at most NODES * 1 KB and the lower orders per language
+    model = spark.sparkContext.broadcast((languages, tables))  # 1 KB per context and language of the sampled documents
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(text: pa.Array) -> pa.Array:
@@ -80,7 +80,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
             [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))],
             names=["lang_pred", "score"])
 
-    return docs.withColumn("language", predict(F.col("text").cast("string")))
+    return docs.withColumn(free_name(docs.columns, "language"), predict(F.col("text").cast("string")))
 
 
 def held_out():

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RARE = 3  # indexed words per template
@@ -93,45 +93,52 @@ def idf_table(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
 def rare_words(t: Template, idf: dict[str, float], rare: int = RARE) -> list[tuple[str, int]]:
     """The template's rarest distinct words and their (first) places; a word
     that the template repeats proposes no single start and is passed over
-    unless nothing else is left."""
+    unless nothing else is left: then one repeated word proposes a start for
+    each of its places."""
     words = t.text.split()
     once = [(w, i) for i, w in enumerate(words) if words.count(w) == 1]
-    return sorted(once, key=lambda x: (-idf[x[0]], x[1]))[:rare]
+    if once:
+        return sorted(once, key=lambda x: (-idf[x[0]], x[1]))[:rare]
+    rarest = min(words, key=lambda w: (-idf[w], words.index(w)))
+    return [(rarest, i) for i, w in enumerate(words) if w == rarest]
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """All columns of ``docs`` plus struct ``license``: n_words, places
-    (array of label, start, score), labels."""
+    """All columns of ``docs``, then a struct ``license``: n_words, places
+    (array of label, start, score, base); if the name is taken it gets
+    underscores in front."""
+    name, w_, hits_ = (free_name(docs.columns, c) for c in ("license", "_w", "_hits"))
     idf = idf_table(docs, templates)
     index = {t.label: rare_words(t, idf) for t in templates}
     indexed = sorted({w for posts in index.values() for w, _ in posts})
-    d = docs.withColumn("_w", word_array(F.col("text")))
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(F.lower(w).isin(indexed), F.struct(
+    d = docs.withColumn(w_, word_array(F.col("text")))
+    hits = F.filter(F.transform(w_, lambda w, i: F.when(F.lower(w).isin(indexed), F.struct(
         F.translate(w, UPPER, LOWER).alias("w"), i.cast("int").alias("at")))), lambda h: h.isNotNull())
-    d = d.withColumn("_hits", hits)
+    d = d.withColumn(hits_, hits)
 
     def proposed(word: str, place: int) -> Column:
-        return F.transform(F.filter("_hits", lambda h: h["w"] == word), lambda h: h["at"] - F.lit(place))
+        return F.transform(F.filter(hits_, lambda h: h["w"] == word), lambda h: h["at"] - F.lit(place))
 
     def starts(t: Template) -> Column:
-        found = None
-        for w, i in index[t.label]:
+        found, posts = None, index[t.label]
+        same = len({w for w, _ in posts}) < len(posts)  # one repeated word: any of its places may be it
+        for w, i in posts:
             here = proposed(w, i)
-            found = here if found is None else F.array_intersect(found, here)
+            found = here if found is None else F.array_union(found, here) if same else F.array_intersect(found, here)
         words, n = t.text.split(), len(t.text.split())
         keys = [(k.split(), _at(words, k.split())) for k in (t.keys or (t.text,))]
 
         def verified(s):
             ok = s >= 0
             for k, at in keys:
-                ok = ok & (ascii_lower(F.slice("_w", s + (at + 1), F.lit(len(k)))) == F.array(*map(F.lit, k)))
+                ok = ok & (ascii_lower(F.slice(w_, s + (at + 1), F.lit(len(k)))) == F.array(*map(F.lit, k)))
             return ok
 
         total = sum(idf[w] for w in words)
         weights = F.array(*[F.lit(idf[w] / total) for w in words])
 
         def place(s):
-            own = ascii_lower(F.slice("_w", s + 1, F.lit(n)))
+            own = ascii_lower(F.slice(w_, s + 1, F.lit(n)))
             score = F.aggregate(F.zip_with(F.zip_with(own, F.array(*map(F.lit, words)), lambda a, b: a == b), weights,
                                            lambda same, x: F.when(same, x).otherwise(F.lit(0.0))),
                                 F.lit(0.0), lambda a, x: a + x)
@@ -141,9 +148,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         return F.transform(F.filter(found, verified), place)
 
     none = "array<struct<label:string,start:bigint,score:double,base:boolean>>"
-    places = F.when(F.size("_hits") == 0, F.array().cast(none)).otherwise(F.concat(*[starts(t) for t in templates]).cast(none))
-    return (d.withColumn("license", F.struct(F.size("_w").cast("long").alias("n_words"), places.alias("places")))
-            .drop("_w", "_hits"))
+    places = F.when(F.size(hits_) == 0, F.array().cast(none)).otherwise(F.concat(*[starts(t) for t in templates]).cast(none))
+    return (d.withColumn(name, F.struct(F.size(w_).cast("long").alias("n_words"), places.alias("places")))
+            .drop(w_, hits_))
 
 
 def _at(words: list[str], phrase: list[str]) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewise.llm import textkernel as K
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 
 SAMPLE = 2000       # labelled documents to learn from (expected number, half of each kind)
 MIN_WORDS = 50
@@ -264,7 +264,7 @@ def judge(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
         return pa.StructArray.from_arrays([pa.array(c.astype(np.int64) if c.dtype.kind == "i" else c) for c in cols], names=names)
 
-    return docs.withColumn("quality_rules", rules(F.col("text").cast("string")))
+    return docs.withColumn(free_name(docs.columns, "quality_rules"), rules(F.col("text").cast("string")))
 
 
 @register("op7_quality_rules")

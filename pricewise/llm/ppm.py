@@ -2,10 +2,10 @@
 
 A model is a variable-order trie of byte contexts up to ``ORDER`` bytes: all
 contexts of order 0 to 2 that occur, and those of order 3.  A ``Trie`` holds
-the most frequent of these (``Trie.pruned``); ``LowerOrders`` holds none and
-gives the code lengths under any of them whose counts are brought to it, so a
-model can have all contexts without being in one place.  A symbol's probability starts at the longest context in the trie.  If
-it was seen there, it has count / (total + kinds).  If not, the coder escapes
+all of these; ``LowerOrders`` holds none of order 3 and gives the code lengths
+under any of them whose counts are brought to it, so a model can have all
+contexts without being in one place.  A symbol's probability starts at the
+longest context in the trie.  If it was seen there, it has count / (total + kinds).  If not, the coder escapes
 with kinds / (total + kinds), goes to the context one byte shorter and leaves
 out the symbols already refused (symbol exclusion).  Below order 0 the symbols
 left are equally likely.  A context in which every symbol is known keeps no
@@ -110,14 +110,10 @@ class Trie:
         return Trie(keys, counts)
 
     @staticmethod
-    def pruned(gram: np.ndarray, n: np.ndarray, max_nodes: int) -> Trie:
-        """A trie with the ``max_nodes`` most frequent contexts of order 3."""
+    def whole(gram: np.ndarray, n: np.ndarray) -> Trie:
+        """A trie with every context of the counted 4-byte strings."""
         low, where = np.unique(gram & 0xFFFFFF, return_inverse=True)
-        node, at = np.unique(gram >> 8, return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=len(node))
-        top = np.zeros(len(node), dtype=bool)
-        top[np.lexsort((node, -total))[:max_nodes]] = True
-        return Trie.build((low, np.bincount(where, weights=n, minlength=len(low))), (gram[top[at]], n[top[at]]))
+        return Trie.build((low, np.bincount(where, weights=n, minlength=len(low))), (gram, n))
 
     def code_lengths(self) -> list[np.ndarray]:
         """-ln P(symbol | context) by order, [contexts, 256]."""

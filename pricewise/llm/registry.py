@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(columns, name: str) -> str:
+    """``name``, with underscores in front until no column has it: results
+    never take the place of a column of the input."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def load_all() -> None:
     """Import every operator module so that its query is registered."""
     from pricewise.llm import (codelength, decontaminate, fingerprints, importance, infill, langid, licenses, linecrf,  # noqa: F401

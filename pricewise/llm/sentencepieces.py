@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewise.llm.merging import PairTable, merge_rows
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 
 SPACE = "▁"
 CACHE = 100_000  # remembered segments per worker
@@ -373,13 +373,15 @@ def vocabulary(name: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` plus piece_ids, n_pieces and round_trip
-    (decoding gives the text back)."""
+    """All columns of ``docs``, then three more: piece_ids, n_pieces and
+    round_trip (decoding gives the text back); a name that is taken gets
+    underscores in front."""
     both = codec(docs.sparkSession, path or vocabulary("piece_bpe_32k.model"))[2]
     found = both(F.col("text").cast("string"))
-    return docs.withColumns({"piece_ids": found["piece_ids"],
-                             "n_pieces": F.coalesce(F.size(found["piece_ids"]), F.lit(0)).cast("long"),
-                             "round_trip": found["decoded"].eqNullSafe(F.col("text").cast("string"))})
+    ids, n, same = (free_name(docs.columns, c) for c in ("piece_ids", "n_pieces", "round_trip"))
+    return docs.withColumns({ids: found["piece_ids"],
+                             n: F.coalesce(F.size(found["piece_ids"]), F.lit(0)).cast("long"),
+                             same: found["decoded"].eqNullSafe(F.col("text").cast("string"))})
 
 
 @register("op3_sentencepiece_codec")

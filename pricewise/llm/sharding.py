@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewise.llm.registry import register, table
+from pricewise.llm.registry import free_name, register, table
 from pricewise.session import cut_lineage
 
 SHARDS = 40
@@ -128,8 +128,9 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
     """Write whole documents, one folder per shard, in curve order; every row
     once, also those that share an id or have none."""
     placed = shard(docs, n_shards, carry=True).select("document", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    own = free_name(docs.columns, "shard")  # the folders' column
     (placed.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "_slot")
-     .select("document.*", F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path))
+     .select("document.*", F.col("_shard").alias(own)).write.partitionBy(own).parquet(path))
 
 
 @register("op10_hilbert_sharding")

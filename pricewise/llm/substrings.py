@@ -6,12 +6,14 @@ its own document.  Those non-overlapping blocks are the index.  Every rolling
 window of ``block`` words of every document probes it; windows whose block
 also occurs elsewhere are hits.  Hits are extended to maximal exact repeats:
 each ``width``-word window around a hit is compared, corpus-wide, with the
-others of the same content, and runs of repeated windows merge into spans.
+others of the same content, and runs of repeated windows merge into spans,
+which end where a repeat ends to either side.
 
 Index, probes and windows travel as packed distinct values per slice of
 documents (``buckets``), so a passage that a third of all documents share
-costs one entry per slice.  Window comparison uses 64-bit content hashes
-(``textkernel``): two different windows agree with probability 2^-64 a pair.
+costs one entry per slice.  Windows are compared by two independent 64-bit content
+hashes (``textkernel``): two different windows agree in all 128 bits with
+probability 2^-128 a pair.
 
 Results in special cases: a null text has no words; a text of fewer than
 ``width`` words loses nothing; two rows with equal doc_id and equal text are
@@ -38,8 +40,8 @@ PROBE_BITS = 40  # of a probe's hash: collisions only add candidates, which full
 class Repeats:
     """The same work on a slice in every pass, so that answers line up."""
 
-    def __init__(self, width: int, n_buckets: int):
-        self.width, self.block, self.n_buckets = width, (width + 1) // 2, n_buckets
+    def __init__(self, width: int, n_buckets: int, key_bits: int = 64):
+        self.width, self.block, self.n_buckets, self.key_bits = width, (width + 1) // 2, n_buckets, key_bits
 
     def probes(self, rows: pa.Table):
         """Word hashes, word offsets, distinct sorted probe values, and the
@@ -62,7 +64,8 @@ class Repeats:
         return two_flags(rows["slice"][0].as_py(), values, count > 1, aligned, self.n_buckets)
 
     def candidates(self, rows: pa.Table, back: pa.Table):
-        """Starts and distinct hashes of the full windows around hits."""
+        """Starts of the full windows around hits, and their distinct contents:
+        sorted keys, check hashes, the windows' places among them, counts."""
         h, offs, values, at, place, _ = self.probes(rows)
         good = B.answer_bits(back, 0, values, self.n_buckets, PROBE_BITS)
         hits = np.zeros(len(h) + 1, dtype=np.int64)
@@ -72,20 +75,27 @@ class Repeats:
         n = len(full)
         near = sums[np.minimum(np.arange(n) + self.width - self.block + 1, len(h))] - sums[:n] > 0
         start = np.flatnonzero(near & K.in_text(offs, self.width, n))
-        found, place, count = np.unique(full[start], return_inverse=True, return_counts=True)
-        return offs, start, found, place, count
+        again, _ = K.text_words(rows["text"], values=K.CHECK_VALUES)
+        key, check = full[start] >> np.uint64(64 - self.key_bits), K.window_hashes(again, self.width)[start]
+        order = np.lexsort((check, key))
+        key, check = key[order], check[order]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (np.diff(key) != 0) | (np.diff(check) != 0)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(first) - 1
+        return offs, start, key[first], check[first], place, np.bincount(place, minlength=int(first.sum()))
 
     def send_windows(self, rows: pa.Table, back: pa.Table) -> pa.Table:
         if not len(rows) or not len(back):
             return empty_sent()
         slice_id = rows["slice"][0].as_py()
-        _, _, found, _, count = self.candidates(B.in_order(rows), back)
-        return B.sent(slice_id, found, count > 1, self.n_buckets) if len(found) else empty_sent()
+        _, _, found, check, _, count = self.candidates(B.in_order(rows), back)
+        return B.sent(slice_id, found, count > 1, self.n_buckets, self.key_bits, check) if len(found) else empty_sent()
 
     def spans(self, rows: pa.Table, back: pa.Table):
         """Covered words (a mask) and word offsets of a slice's rows."""
-        offs, start, found, place, _ = self.candidates(rows, back)
-        again = B.answer_bits(back, 1, found, self.n_buckets)
+        offs, start, found, _, place, _ = self.candidates(rows, back)
+        again = B.answer_bits(back, 1, found, self.n_buckets, self.key_bits)
         mask = np.zeros(int(offs[-1]), dtype=bool)
         mask[start[again[place]]] = True
         return K.covered(mask, self.width, len(mask)), offs
@@ -127,16 +137,16 @@ def _cleaned(rows: pa.Table, mask: np.ndarray, offs: np.ndarray) -> pa.Table:
     return out.filter(pa.array(left))
 
 
-def _run(docs: DataFrame, width: int, finish, schema: str) -> DataFrame:
+def _run(docs: DataFrame, width: int, finish, schema: str, key_bits: int = 64) -> DataFrame:
     n_slices, n_buckets = B.plan_sizes(B.text_bytes(docs))
-    work = Repeats(width, n_buckets)
+    work = Repeats(width, n_buckets, key_bits)
     dealt = B.into_slices(docs, n_slices)  # one exchange of the text, reused by all three passes
 
     hits = (dealt.groupBy("slice").applyInArrow(lambda t: work.send_probes(t), B.SENT_SCHEMA)
             .groupBy("bucket").applyInArrow(lambda t: B.seen_twice(t, 2, 0), B.ANSWER_SCHEMA))
     again = (dealt.groupBy("slice").cogroup(hits.groupBy("slice"))
              .applyInArrow(lambda rows, back: work.send_windows(rows, back), B.SENT_SCHEMA)
-             .groupBy("bucket").applyInArrow(lambda t: B.seen_twice(t, 1, 1), B.ANSWER_SCHEMA))
+             .groupBy("bucket").applyInArrow(lambda t: B.seen_twice(t, 1, 1, True), B.ANSWER_SCHEMA))
 
     def last(rows: pa.Table, back: pa.Table) -> pa.Table:
         if len(rows):
@@ -148,10 +158,11 @@ def _run(docs: DataFrame, width: int, finish, schema: str) -> DataFrame:
             .applyInArrow(last, schema))
 
 
-def repeat_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, words, removed words and SHA-256 of the kept words."""
+def repeat_digest(docs: DataFrame, width: int = WIDTH, key_bits: int = 64) -> DataFrame:
+    """doc_id, words, removed words and SHA-256 of the kept words.  Fewer
+    ``key_bits`` only let more windows meet that then differ in their checks."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _run(docs, width, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _run(docs, width, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", key_bits)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

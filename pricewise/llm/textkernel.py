@@ -34,9 +34,9 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(x: int = 0x243F6A8885A308D3) -> np.ndarray:
     """256 pseudo-random odd 64-bit values, from a fixed multiplicative rule."""
-    x, out = 0x243F6A8885A308D3, []
+    out = []
     for _ in range(256):
         x = (x * 6364136223846793005 + 1442695040888963407) & _MASK
         y = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & _MASK
@@ -45,6 +45,7 @@ def _byte_values() -> np.ndarray:
 
 
 BYTE_VALUES = _byte_values()
+CHECK_VALUES = _byte_values(0x13198A2E03707344)  # for a second, independent hash
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -126,14 +127,14 @@ def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = IS_WORD) -> t
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per span of bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """One 64-bit hash per span of bytes; other byte ``values``, another hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data))
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(BYTE_VALUES[data] * up[:len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -172,7 +173,7 @@ def covered(starts_mask: np.ndarray, width: int, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def text_words(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def text_words(column, lower: bool = False, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a column and word offsets by text, worked
     out block by block (white-space words; A-Z lower-cased if asked)."""
     data, offs = buffers(column)
@@ -180,7 +181,7 @@ def text_words(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     for _, _, d, o in blocks(data, offs):
         s, e, w = words(d, o)
         d = LOWER[d] if lower else d
-        parts.append(word_hashes(d, s, e))
+        parts.append(word_hashes(d, s, e, values))
         counts.append(np.diff(w))
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return h, np.cumsum(np.concatenate(counts))
