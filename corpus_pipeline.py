@@ -30,7 +30,7 @@ from pricewise.session import shared_folder, ship_package
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = langid.identify(docs)
-    return found.where(found["language"]["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return found.where(found[found.columns[-1]]["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     found = decontaminate.match(docs, benchmark)
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
