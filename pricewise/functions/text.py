@@ -83,9 +83,11 @@ def literal_null_text(col, compat: bool = False) -> Column:
     return F.coalesce(c, F.lit("nan")) if compat else c
 
 
-def derive_age(year_col, as_of_year: int) -> Column:
-    """``as_of_year - year`` (as_of_year is explicit so runs repeat)."""
-    return (F.lit(int(as_of_year)) - _c(year_col).cast("int")).cast("int")
+def derive_age(year_col, as_of_year: int, on_error: str = "raise") -> Column:
+    """``as_of_year - year`` (as_of_year is explicit so runs repeat); a
+    year that is no number raises, or gives NULL with ``on_error='null'``."""
+    year = _c(year_col).try_cast("int") if on_error == "null" else _c(year_col).cast("int")
+    return (F.lit(int(as_of_year)) - year).cast("int")
 
 
 def recode_by_substring(col, rules: Sequence[tuple[str, str]]) -> Column:

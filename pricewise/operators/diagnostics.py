@@ -23,7 +23,9 @@ EPS = float(np.finfo(np.float64).eps)
 
 def eval_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     """G1: MAE, MAPE (denominator floored at machine epsilon), MSE, RMSE and
-    r2 in one aggregation (``RegressionEvaluator`` has no MAPE)."""
+    r2 in one aggregation (``RegressionEvaluator`` has no MAPE).  Rows without
+    a value or a prediction count in none of them."""
+    df = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     e = F.col(y).cast("double") - F.col(yhat).cast("double")
     agg = df.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("MAE"),

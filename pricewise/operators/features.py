@@ -190,13 +190,20 @@ def split_hash(key: str | Column, seed: int = 42) -> Column:
     return (h.cast("long") % 1000).cast("int")
 
 
+def split_share(key: str | Column, seed: int = 42) -> Column:
+    """Repeatable place of a key in [0, 1), to 32 bits (md5 based)."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), k.cast("string"))), 1, 8), 16, 10)
+    return h.cast("double") / F.lit(4294967296.0)
+
+
 def train_test_split(df: DataFrame, key: str, train_size: float = 0.8, seed: int = 42,
                      exact: bool = False, role_col: str = "role") -> DataFrame:
-    """Repeatable shuffled split, no sort and no shuffle (hash bucket of
+    """Repeatable shuffled split, no sort and no shuffle (32-bit hash of
     the key).  ``exact=True`` takes exactly ``round(train_size * n)`` rows in
     hash order via a distributed global rank."""
     if not exact:
-        role = F.when(split_hash(key, seed) < int(round(1000 * train_size)), "train").otherwise("test")
+        role = F.when(split_share(key, seed) < train_size, "train").otherwise("test")
         return df.withColumn(role_col, role)
     h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     ranked = with_global_rank(h, ["_h", key])

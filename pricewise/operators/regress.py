@@ -1,9 +1,10 @@
-"""Linear model fitting and search.
+"""Linear model fitting and search.
 
 The lasso path needs one moment aggregation; ``pyspark.ml`` fits are
 distributed and searched in parallel threads through
 ``CrossValidator(parallelism=...)``.  Folds come from a repeatable hash of the
-row key, never from a driver-side shuffle.  Trees are in ``trees`` and ``forest``.
+row key, never from a driver-side shuffle.  Trees are in ``trees`` and
+``forest``, networks in ``nets``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import FMRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,26 +151,25 @@ def sample_settings(space: dict, n: int, seed: int = 7) -> list[dict]:
     return out
 
 
-def _grid_from_settings(est, settings: list[dict]):
-    maps = []
-    for s in settings:
-        maps.append({est.getParam(k): v for k, v in s.items()})
-    return maps
+def fitted_models(df: DataFrame, y: str, x: Sequence[str], key: str, train_size: float = 0.8, rounds: int = 100,
+                  setting: dict | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """The hold-out rows of a hash split with the ``prediction`` of every
+    model fitted on the training rows alone: least squares, the best lasso of
+    the path on min-max scaled inputs (ranges of the training rows), boosted
+    trees.  Complete cases only."""
+    from pricewise.operators.cells import numeric_features
+    from pricewise.operators.features import apply_min_max, fit_min_max, train_test_split
+    from pricewise.operators.trees import fit_boosted
 
-
-def fit_gradient_search(df: DataFrame, y: str, x: Sequence[str], key: str, space: dict | None = None,
-                        n: int = 6, folds: int = 3, seed: int = 7, parallelism: int = 4):
-    """Randomized search of a gradient-trained non-linear regressor
-    (factorization machine, AdamW) on min-max scaled features."""
-    from pyspark.ml.feature import MinMaxScaler
-
-    space = space or {"factorSize": (2, 8), "maxIter": [50, 100, 200], "regParam": [0.0001, 0.001, 0.01],
-                      "stepSize": [0.01, 0.05, 0.1]}
-    data = with_fold(assemble(df, x, y, "raw"), key, folds)
-    data = MinMaxScaler(inputCol="raw", outputCol="features").fit(data).transform(data)
-    fm = FMRegressor(solver="adamW", seed=seed)
-    grid = _grid_from_settings(fm, sample_settings(space, n, seed))
-    return cross_validate(fm, grid, data, folds, "rmse", parallelism), grid
+    x = list(x)
+    parts = train_test_split(df.dropna(subset=[y, *x]), key, train_size, seed)
+    train, test = (parts.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+    ranges = fit_min_max(train, x)
+    scaled, held = apply_min_max(train, ranges, x), apply_min_max(test, ranges, x)
+    setting = setting or {"max_depth": 6, "gamma": 0.0, "eta": 0.1, "subsample": 1.0, "min_child_weight": 1.0, "reg_lambda": 1.0}
+    trees = fit_boosted(train, y, numeric_features(train, x), key, setting, rounds)
+    return {"ols": predict_ols(test, fit_ols(train, y, x)), "lasso": predict_ols(held, lasso_path_cv(scaled, y, x, key)[1]),
+            "boosted": trees.predict(test)}
 
 
 def save_pipeline(model: PipelineModel, path: str) -> None:

@@ -22,18 +22,19 @@ def clean_raw_listings(raw: DataFrame, as_of_year: int = AS_OF_YEAR, compat: boo
     """B6-B11 over the raw listing strings (see ``FX_RAW`` for the layout)."""
     kw, hp = split_power("power_raw", on_error=on_error)
     year = year_token("year_raw")
+    cylinder = take_token(strip_nbsp("cylinder_raw"), " ", 1)
     return raw.select(
         "id",
         parse_quantity(coalesce_price("price_raw", "discount_raw"), 2, cast="long",
                        on_error=on_error).alias("price"),
         take_token("title", " ", 1).alias("brand"),
         year.alias("year"),
-        derive_age(year, as_of_year).alias("age"),
+        derive_age(year, as_of_year, on_error).alias("age"),
         parse_quantity("km_raw", 2, cast="long", on_error=on_error).alias("kilometers"),
         F.trim(cut_suffix("persons_raw", 2)).alias("persons"),
         parse_quantity("weight_raw", 2, on_error=on_error).alias("own_weight"),
         parse_quantity("trunk_raw", 5, strip_first=False, on_error=on_error).alias("trunk"),
-        take_token(strip_nbsp("cylinder_raw"), " ", 1).cast("double").alias("cylinder"),
+        (cylinder.try_cast("double") if on_error == "null" else cylinder.cast("double")).alias("cylinder"),
         kw.alias("power_kw"),
         hp.alias("power_hp"),
         literal_null_text(take_token("inspection_raw", "/", 1), compat).alias("roadworthiness"),

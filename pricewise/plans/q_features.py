@@ -12,7 +12,7 @@ from pricewise.plans.registry import register, rounded
 from pricewise.sources.fixtures import fixture, with_fixture, with_fixtures
 from pricewise.sources.tables import load
 
-SPLIT_SQL = "CAST(('0x' || substr(md5('42' || CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) % 1000"
+SHARE_SQL = "CAST(('0x' || substr(md5('42' || CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296"
 
 
 # ------------------------------------------------------------- C: joins
@@ -207,6 +207,21 @@ def q_high_corr(spark, sf_dir):
     return rounded(E.high_correlation_pairs(fx, _HC_COLS, 0.5), 6)
 
 
+_KEEP_COLS = ["age", "year", "price", "power"]
+
+
+@register("e06_keep_list", with_fixture("fx_listings", f"""
+, r AS (SELECT {", ".join(f"abs(corr({a}, {b})) > 0.8 AS {a}_{b}" for i, a in enumerate(_KEEP_COLS) for b in _KEEP_COLS[i + 1:])} FROM fx_listings),
+k2 AS (SELECT *, NOT age_year AS k_year FROM r), k3 AS (SELECT *, NOT age_price AND NOT (k_year AND year_price) AS k_price FROM k2),
+k4 AS (SELECT *, NOT age_power AND NOT (k_year AND year_power) AND NOT (k_price AND price_power) AS k_power FROM k3)
+SELECT c AS "column" FROM (SELECT unnest(list_filter(['age', CASE WHEN k_year THEN 'year' END, CASE WHEN k_price THEN 'price' END,
+       CASE WHEN k_power THEN 'power' END], lambda x: x IS NOT NULL)) AS c FROM k4)"""))
+def q_keep_list(spark, sf_dir):
+    """Columns left by greedy pruning of strong correlations."""
+    fx = fixture(spark, sf_dir, "fx_listings")
+    return spark.createDataFrame([(c,) for c in E.high_correlation_filter(fx, _KEEP_COLS, 0.8)], "column string")
+
+
 _TA_NUM = ["kilometers", "trunk", "cylinder", "power", "age"]
 _TA_CAT = ["condition", "design", "wheel_drive"]
 
@@ -226,14 +241,19 @@ def q_select_assoc(spark, sf_dir):
     return rounded(E.select_by_association(assoc, 0.1), 6)
 
 
-@register("e09_features_label")
+@register("e09_features_label", with_fixture("fx_listings", """
+SELECT price AS label, CAST(age AS DOUBLE) AS f0, CAST(kilometers AS DOUBLE) AS f1, CAST(power AS DOUBLE) AS f2 FROM fx_listings"""))
 def q_features_label(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
     fx = fixture(spark, sf_dir, "fx_listings")
-    return E.features_label(fx, "price", ["kilometers", "age", "power"])
+    v = vector_to_array("features")
+    made = E.features_label(fx, "price", ["age", "kilometers", "power"])
+    return made.select("label", *[F.nanvl(v[i], F.lit(None).cast("double")).alias(f"f{i}") for i in range(3)])
 
 
 @register("e10_train_test_split", with_fixture("fx_listings", f"""
-SELECT id, CASE WHEN {SPLIT_SQL.format(k='id')} < 800 THEN 'train' ELSE 'test' END AS role FROM fx_listings"""))
+SELECT id, CASE WHEN {SHARE_SQL.format(k='id')} < 0.8 THEN 'train' ELSE 'test' END AS role FROM fx_listings"""))
 def q_split(spark, sf_dir):
     fx = fixture(spark, sf_dir, "fx_listings").select("id")
     return E.train_test_split(fx, "id", 0.8, seed=42)
@@ -252,7 +272,7 @@ def q_standardize(spark, sf_dir):
 
 
 @register("e12_min_max_scale", with_fixture("fx_listings", f"""
-, r AS (SELECT *, CASE WHEN {SPLIT_SQL.format(k='id')} < 800 THEN 'train' ELSE 'test' END AS role FROM fx_listings),
+, r AS (SELECT *, CASE WHEN {SHARE_SQL.format(k='id')} < 0.8 THEN 'train' ELSE 'test' END AS role FROM fx_listings),
 f AS (SELECT min(price) AS lp, max(price) AS hp, min(kilometers) AS lk, max(kilometers) AS hk,
              min(age) AS la, max(age) AS ha FROM r WHERE role = 'train')
 SELECT id, role, round((price - lp) / CASE WHEN hp - lp = 0 THEN 1 ELSE hp - lp END, 6) AS price,

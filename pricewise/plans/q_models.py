@@ -12,7 +12,9 @@ from pricewise.functions.linalg import ols_by_group
 from pricewise.operators import arima as A
 from pricewise.operators import cells as C
 from pricewise.operators import diagnostics as D
+from pricewise.operators import features as E
 from pricewise.operators import forest as I
+from pricewise.operators import nets as N
 from pricewise.operators import regress as M
 from pricewise.operators import series as S
 from pricewise.operators import trees as R
@@ -22,7 +24,7 @@ from pricewise.operators.features import split_hash
 from pricewise.plans.q_features import ONE_HOT_LEVELS
 from pricewise.plans.q_series import BY, FILLED, filled_daily
 from pricewise.plans.registry import register, rounded
-from pricewise.session import checkpoint_dir, with_scalars
+from pricewise.session import checkpoint_dir, shared_folder, with_scalars
 from pricewise.sources.fixtures import fixture, with_fixture
 
 EPS = "2.220446049250313e-16"
@@ -239,10 +241,96 @@ def q_stump(spark, sf_dir):
     return rounded(scores.join(sizes, "fold").select("fold", "n", "rmse"), 6)
 
 
-@register("g05_gradient_search")
-def q_fm(spark, sf_dir):
-    cv, grid = M.fit_gradient_search(_ml_frame(spark, sf_dir), "power", _X, "id", n=3, folds=3)
-    return _scores(spark, cv, grid, ["factorSize", "maxIter", "regParam", "stepSize"])
+@register("g05_net_search")
+def q_nets(spark, sf_dir):
+    """50 settings x 5 folds by successive halving: mean held-out RMSE of each
+    setting on every rung that it reached."""
+    settings = M.sample_settings(N.NET_SPACE, N.SETTINGS)
+    folder = os.path.join(shared_folder(spark), f"net-search-{uuid.uuid4().hex}")
+    found = N.search_nets(_ml_frame(spark, sf_dir), "power", _X, "id", settings, folder)
+    names = list(N.NET_SPACE)
+    table = spark.createDataFrame([(i, *[float(s[n]) for n in names], i == found.best) for i, s in enumerate(settings)],
+                                  "setting int, " + ", ".join(f"{n} double" for n in names) + ", best boolean")
+    mean = found.scores.groupBy("setting", "rung", "steps").agg(F.count("rmse").alias("folds"), F.avg("rmse").alias("rmse"))
+    return table.join(mean, "setting")
+
+
+@register("g05_training_scales", with_fixture("fx_listings", f"""
+, t AS (SELECT {FOLD_SQL} AS fold, price, power FROM fx_listings WHERE power IS NOT NULL AND price IS NOT NULL), v AS (SELECT unnest(range(0, 6)) AS held)
+SELECT CAST(held AS INTEGER) AS held, CAST(count(*) AS BIGINT) AS n, round(min(price), 4) AS low, round(max(price) - min(price), 4) AS width,
+       round(avg(power), 6) AS mean, round(stddev_pop(power), 5) AS spread FROM t JOIN v ON fold <> held GROUP BY held"""))
+def q_net_scales(spark, sf_dir):
+    """Input range and target scale of every fold's training rows (5: all)."""
+    fx = M.with_fold(_ml_frame(spark, sf_dir), "id", N.FOLDS).select("fold", F.col("price").alias("x0"), F.col("power").cast("double").alias("y"))
+    rows = [(v, s.rows, float(s.low[0]), float(s.width[0]), s.mean, s.spread) for v, s in enumerate(N.fold_scales(fx, 1, N.FOLDS))]
+    return rounded(spark.createDataFrame(rows, "held int, n long, low double, width double, mean double, spread double"),
+                   {"low": 4, "width": 4, "mean": 6, "spread": 5})
+
+
+@register("g07_fitted_models")
+def q_fitted(spark, sf_dir):
+    """Least squares, lasso and boosted trees on the same hold-out rows."""
+    return D.compare_models(M.fitted_models(_ml_frame(spark, sf_dir), "power", _X, "id"), "power", "prediction")
+
+
+_OLS_SQL = """
+, p AS (SELECT id, CAST(price AS DOUBLE) AS x, CAST(power AS DOUBLE) AS y,
+               CAST(('0x' || substr(md5('42' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296 < 0.8 AS train
+        FROM fx_listings WHERE power IS NOT NULL AND price IS NOT NULL),
+b AS (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM p WHERE train),
+e AS (SELECT id, train, y, b0 + b1 * x AS f, y - b0 - b1 * x AS e FROM p, b)"""
+
+
+@register("g07_fitted_ols", with_fixture("fx_listings", _OLS_SQL + f"""
+SELECT 'ols' AS model, round(avg(abs(e)), 6) AS MAE, round(avg(abs(e) / greatest(abs(y), {EPS})), 6) AS MAPE, round(avg(e * e), 4) AS MSE,
+       round(sqrt(avg(e * e)), 6) AS RMSE, round(1 - sum(e * e) / (var_pop(y) * count(y)), 9) AS r2 FROM e WHERE NOT train"""))
+def q_fitted_ols(spark, sf_dir):
+    parts = E.train_test_split(_ml_frame(spark, sf_dir), "id", 0.8)
+    model = M.fit_ols(parts.where("role = 'train'"), "power", ["price"])
+    scored = M.predict_ols(parts.where("role = 'test'"), model)
+    return rounded(D.compare_models({"ols": scored}, "power", "prediction"), {"MAE": 6, "MAPE": 6, "MSE": 4, "RMSE": 6, "r2": 9})
+
+
+def _ols_residuals(spark, sf_dir):
+    """Residuals of least squares on its training rows."""
+    train = E.train_test_split(_ml_frame(spark, sf_dir), "id", 0.8).where("role = 'train'")
+    return D.residuals(M.predict_ols(train, M.fit_ols(train, "power", ["price"])), "power", "prediction", signed=True)
+
+
+@register("g12_ols_durbin_watson", with_fixture("fx_listings", _OLS_SQL + """
+, l AS (SELECT e, e - lag(e) OVER (ORDER BY id) AS de FROM e WHERE train)
+SELECT CAST(count(*) AS BIGINT) AS n, round(sum(de * de) / sum(e * e), 9) AS durbin_watson,
+       CASE WHEN sum(de * de) / sum(e * e) < 1.5 THEN 'positive autocorrelation'
+            WHEN sum(de * de) / sum(e * e) > 2.5 THEN 'negative autocorrelation' ELSE 'little to no autocorrelation' END AS verdict FROM l"""))
+def q_ols_dw(spark, sf_dir):
+    return rounded(D.durbin_watson(_ols_residuals(spark, sf_dir), "residual", "id"), 9)
+
+
+@register("g13_ols_residual_spread", with_fixture("fx_listings", _OLS_SQL + """
+, r AS (SELECT e, row_number() OVER (ORDER BY id) AS rk, count(*) OVER () AS n FROM e WHERE train)
+SELECT CAST(floor((rk - 1) * 10 / n) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS std
+FROM r GROUP BY 1"""))
+def q_ols_spread(spark, sf_dir):
+    return rounded(D.residual_spread(_ols_residuals(spark, sf_dir), "residual", "id", 10), 6)
+
+
+@register("g10_ols_normality_ad")
+def q_ols_ad(spark, sf_dir):
+    return D.normality_ad(_ols_residuals(spark, sf_dir), "residual")
+
+
+@register("g03_lasso_one_input", with_fixture("fx_listings", f"""
+, t AS (SELECT {FOLD_SQL} AS fold, CAST(price AS DOUBLE) / 1000 AS x, CAST(power AS DOUBLE) AS y FROM fx_listings WHERE power IS NOT NULL),
+a AS (SELECT 0.03 + i * (5 - 0.03) / 9 AS alpha FROM range(0, 10) r(i)), f AS (SELECT DISTINCT fold AS held FROM t),
+m AS (SELECT held, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c, var_pop(x) AS s FROM t JOIN f ON fold <> held GROUP BY held),
+b AS (SELECT held, alpha, mx, my, sign(c) * greatest(abs(c) - alpha, 0) / s AS b FROM m, a),
+e AS (SELECT alpha, held, sqrt(avg(pow(y - my - b * (x - mx), 2))) AS rmse FROM t JOIN b ON fold = held GROUP BY alpha, held)
+SELECT round(alpha, 6) AS alpha, round(avg(rmse), 6) AS rmse FROM e GROUP BY alpha"""))
+def q_lasso_one(spark, sf_dir):
+    """One input: the lasso is a soft threshold of its covariance."""
+    fx = _ml_frame(spark, sf_dir).withColumn("x", F.col("price") / 1000)
+    path, _ = M.lasso_path_cv(fx, "power", ["x"], "id")
+    return rounded(spark.createDataFrame([(r["alpha"], r["rmse"]) for r in path], "alpha double, rmse double"), 6)
 
 
 #: Declared category levels, as one-hot columns.
@@ -294,6 +382,17 @@ def q_importance_totals(spark, sf_dir):
     return rounded(out, 9)
 
 
+@register("a09_pipeline_predictions", with_fixture("fx_listings", """
+, p AS (SELECT id, CAST(age AS DOUBLE) AS x, CAST(power AS DOUBLE) AS y FROM fx_listings WHERE power IS NOT NULL)
+SELECT id, round(regr_intercept(y, x) OVER () + regr_slope(y, x) OVER () * x, 4) AS prediction FROM p"""))
+def q_pipeline_predictions(spark, sf_dir):
+    """A saved and loaded pipeline predicts what least squares gives."""
+    fx = _ml_frame(spark, sf_dir)
+    path = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    M.save_pipeline(M.fit_scoring_pipeline(fx, ["age"], "power"), path)
+    return rounded(M.load_pipeline(path).transform(fx).select("id", "prediction"), 4)
+
+
 @register("a09_save_load_pipeline")
 def q_save_load(spark, sf_dir):
     fx = _ml_frame(spark, sf_dir)

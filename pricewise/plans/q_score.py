@@ -104,7 +104,7 @@ def q_score_stream(spark, sf_dir):
     base = os.path.join(checkpoint_dir(spark), f"score-stream-{uuid.uuid4().hex}")
     src, sink, ckpt = (os.path.join(base, n) for n in ("requests", "scores", "checkpoint"))
     req = _requests(spark, sf_dir).select(*REQ_COLS)
-    req.repartition(4, "id").write.parquet(src)
+    req.write.option("maxRecordsPerFile", 50_000).parquet(src)  # as many files as there are requests for
     landed = spark.read.parquet(src)
     enc = H.encode_request(landed)
     model = _fixed_scorer(enc.where(F.col("reject_reason").isNull()))

@@ -230,9 +230,26 @@ def q_season_w(spark, sf_dir):
     return rounded(S.seasonality(fixture(spark, sf_dir, "fx_daily"), "d", "spread", "weekly"), 9)
 
 
-def rolling_feature_series(spark, sf_dir):
-    """Bench headline: gap fill -> back fill -> rolling 7 + growth features."""
-    f = filled_daily(spark, sf_dir)
-    out = S.additional_regressors(f, BY, "_pos", "open", 7)
-    return out.select("series", "d", "open", "recent_mean_7", "recent_std_dev_7", "recent_min_7",
-                      "recent_max_7", "1_week_pct_growth", "growth_volatility_past_month")
+@register("f21_seasonality_monthly", with_fixture("fx_daily", """
+SELECT CAST(month(d) AS INTEGER) AS across, CAST(day(d) AS INTEGER) AS down, round(avg(open), 6) AS mean
+FROM fx_daily GROUP BY 1, 2"""))
+def q_season_m(spark, sf_dir):
+    return rounded(S.seasonality(fixture(spark, sf_dir, "fx_daily"), "d", "open", "monthly"), 6)
+
+
+@register("f05_f07_rolling_feature_series", with_fixture("fx_daily", FILLED + """
+, g AS (SELECT series, d, open, open / lag(open, 7) OVER w - 1 AS g7, open / lag(open, 1) OVER w - 1 AS g1,
+               count(open) OVER r AS n, avg(open) OVER r AS av, stddev_samp(open) OVER r AS sd, min(open) OVER r AS mi, max(open) OVER r AS ma
+        FROM bf WINDOW w AS (PARTITION BY series ORDER BY d),
+                       r AS (PARTITION BY series ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT series, d, round(open, 6) AS open, round(CASE WHEN n = 7 THEN av END, 6) AS recent_mean_7, round(CASE WHEN n = 7 THEN sd END, 4) AS recent_std_dev_7,
+  round(CASE WHEN n = 7 THEN mi END, 6) AS recent_min_7, round(CASE WHEN n = 7 THEN ma END, 6) AS recent_max_7, round(g7, 9) AS "1_week_pct_growth",
+  round(CASE WHEN count(g1) OVER v = 30 THEN stddev_samp(g1) OVER v END, 9) AS growth_volatility_past_month
+FROM g WINDOW v AS (PARTITION BY series ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
+def q_rolling_features(spark, sf_dir):
+    """The whole feature builder: gap fill, back fill, rolling 7, growth."""
+    out = S.additional_regressors(filled_daily(spark, sf_dir), BY, "_pos", "open", 7)
+    out = out.select("series", "d", "open", "recent_mean_7", "recent_std_dev_7", "recent_min_7",
+                     "recent_max_7", "1_week_pct_growth", "growth_volatility_past_month")
+    return rounded(out, {"open": 6, "recent_mean_7": 6, "recent_std_dev_7": 4, "recent_min_7": 6, "recent_max_7": 6,
+                         "1_week_pct_growth": 9, "growth_volatility_past_month": 9})

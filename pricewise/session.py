@@ -105,16 +105,13 @@ def remove_written(spark: SparkSession, path: str) -> None:
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (one row by construction) to
-    every row of ``df`` as typed literals.
+    every row of ``df``.
 
-    The row is fetched by a ``limit(2)`` job and checked, so at most two rows
-    of a handful of numbers reach the driver; the consumer stays a narrow
-    projection (no cartesian product, no broadcast)."""
+    The row is a scalar subquery, so building the plan runs no job and the
+    consumer stays a narrow projection; more than one row is an error when
+    the query runs."""
     from pyspark.sql import functions as F
 
-    rows = one_row.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"expected exactly one aggregate row, got {len(rows)}")
-    r = rows[0]
-    return df.withColumns({f.name: F.lit(r[f.name]).cast(f.dataType) for f in one_row.schema.fields})
+    row = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumns({c: row.getField(c) for c in one_row.columns})
 
