@@ -21,8 +21,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from pricewise.functions.dist import chi2_sf_col
@@ -236,24 +239,44 @@ def fourier_terms(df: DataFrame, pos: str, m: float, k: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F11, F12, F19
+def overlap_products(z: np.ndarray, halo: int, lags: int) -> np.ndarray:
+    """``sum z_t z_(t-k)`` for k = 0..lags over the rows t behind the first
+    ``halo`` ones, by one correlation with the fast Fourier transform."""
+    size = 1 << (2 * len(z) - 1).bit_length()
+    own = z.copy()
+    own[:halo] = 0.0
+    full = np.fft.irfft(np.fft.rfft(own, size) * np.conj(np.fft.rfft(z, size)), size)
+    out = np.zeros(lags + 1)
+    k = min(lags + 1, len(z))
+    out[:k] = full[:k]
+    return out
+
+
 def acf(df: DataFrame, by: Sequence[str], pos: str, col: str, lags: int = 10,
         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """biased autocorrelation ``sum(z_t z_{t-k}) / sum(z_t^2)`` with
     ``z = x - mean``: ``by..., lag, acf`` for lag 0..``lags``.  NULL values
     are left out first and the rest is numbered afresh, so a lag is a number
-    of values whatever holes the positions have."""
+    of values whatever holes the positions have.  One grouped pass over blocks
+    gives the products of all lags, hundreds as well as ten."""
     by = list(by)
     base = dense(df.where(F.col(col).isNotNull()).select(*by, pos, col), by, pos)
     mean = base.groupBy(*by).agg(F.avg(col).alias("_mu"))
-    z = null_safe_join(base, mean, by).withColumn("_z", F.col(col) - F.col("_mu"))
-    lagged = with_window_columns(z, by, pos, lags, {
-        f"_z{k}": (lambda w, k=k: F.lag("_z", k).over(w)) for k in range(1, lags + 1)}, block_rows)
-    sums = lagged.groupBy(*by).agg(
-        F.sum(F.col("_z") * F.col("_z")).alias("_s0"),
-        *[F.sum(F.col("_z") * F.col(f"_z{k}")).alias(f"_s{k}") for k in range(1, lags + 1)])
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_s{k}") / F.col("_s0")).alias("acf"))
-                               for k in range(0, lags + 1)]))
-    return sums.select(*by, rows.alias("_e")).select(*by, "_e.lag", "_e.acf")
+    z = null_safe_join(base, mean, by).select(*by, pos, (F.col(col) - F.col("_mu")).alias("_z"))
+    blocks = blocked(z, pos, lags, block_rows)
+    schema = T.StructType([z.schema[b] for b in by] + [T.StructField("lag", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def products(table: pa.Table) -> pa.Table:
+        table = table.sort_by(pos)
+        halo = int(np.count_nonzero(table["_halo"].to_numpy()))
+        sums = overlap_products(table["_z"].to_numpy().astype(float), halo, lags)
+        keys = [pa.array([table[b][0].as_py()] * len(sums), arrow.field(b).type) for b in by]
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], schema=arrow)
+
+    sums = blocks.groupBy(*by, "_blk").applyInArrow(products, schema).groupBy(*by, "lag").agg(F.sum("_s").alias("_s"))
+    whole = Window.partitionBy(*by)  # lags + 1 rows a series
+    return sums.select(*by, "lag", (F.col("_s") / F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(whole)).alias("acf"))
 
 
 def _durbin_levinson(r: np.ndarray, lags: int) -> np.ndarray:
