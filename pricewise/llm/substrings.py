@@ -177,6 +177,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
-@register("op9_substring_dedup")
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, unnest(list_transform(range(1, len(w) - {WIDTH - 2}),
+               lambda i: {{'pos': i, 'k': sha256(array_to_string(w[i:i + {WIDTH - 1}], ' '))}}), recursive := true) FROM d WHERE len(w) >= {WIDTH}),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, pos + o AS p FROM win JOIN again USING (k), range(0, {WIDTH}) t(o)),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@register("op9_substring_dedup", ORACLE)
 def op9(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
