@@ -245,9 +245,3 @@ def apply_min_max(df: DataFrame, fitted: DataFrame, cols: Sequence[str], suffix:
         new[f"{c}{suffix}"] = (F.col(c) - F.col(f"_lo{i}")) / F.when(rng == 0, F.lit(1.0)).otherwise(rng)
     return j.withColumns(new).drop(*[f"_lo{i}" for i in range(len(cols))],
                                    *[f"_hi{i}" for i in range(len(cols))])
-
-
-def min_max_scale(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Fit on ``train`` only, apply to both."""
-    fitted = fit_min_max(train, cols)
-    return apply_min_max(train, fitted, cols), apply_min_max(test, fitted, cols)

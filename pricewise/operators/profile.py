@@ -17,7 +17,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricewise.functions.dist import chi2_sf_col
@@ -420,14 +419,6 @@ def target_association(df: DataFrame, y: str, num_cols: Sequence[str], cat_cols:
     return out
 
 
-def mode_value(df: DataFrame, col: str) -> DataFrame:
-    """Most frequent non-null value (ties -> smallest): ``mode, count``."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.agg(
-        F.min_by(F.col(col), F.struct(-F.col("_c"), F.col(col))).alias("mode"),
-        F.max("_c").alias("count"))
-
-
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """D20 for many columns in one pass: ``column, mode, count``."""
     long = stacked(df, cols, (), cast="string").where(F.col("value").isNotNull())

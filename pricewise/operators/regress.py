@@ -25,6 +25,10 @@ from pricewise.functions.linalg import fit_linear, gram, gram_matrix, linear_pre
 from pricewise.operators.features import split_hash
 
 
+#: Penalties of the lasso search.
+ALPHAS = [float(a) for a in np.linspace(0.03, 5, 10)]
+
+
 def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42, col: str = "fold") -> DataFrame:
     """Fold id 0..folds-1 from the repeatable hash bucket of the key."""
     return df.withColumn(col, (split_hash(key, seed) % folds).cast("int"))
@@ -63,7 +67,7 @@ def fit_lasso_cv(df: DataFrame, y: str, x: Sequence[str], key: str, alphas: Sequ
     """L1 path scored by 5-fold RMSE.  ``LinearRegression`` with
     ``elasticNetParam=1`` and no standardization minimises
     ``1/(2n) ||y - Xb||^2 + alpha ||b||_1``, the same objective."""
-    alphas = list(alphas) if alphas is not None else list(np.linspace(0.03, 5, 10))
+    alphas = list(alphas) if alphas is not None else ALPHAS
     data = with_fold(assemble(df, x, y), key, folds)
     lr = LinearRegression(elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-8)
     grid = ParamGridBuilder().addGrid(lr.regParam, [float(a) for a in alphas]).build()
@@ -106,7 +110,7 @@ def lasso_path_cv(df: DataFrame, y: str, x: Sequence[str], key: str, alphas: Seq
     best alpha on all rows."""
     x = list(x)
     p = len(x)
-    alphas = list(alphas) if alphas is not None else [float(a) for a in np.linspace(0.03, 5, 10)]
+    alphas = list(alphas) if alphas is not None else ALPHAS
     rows = gram(with_fold(df, key, folds, seed), ["fold"], x, y).collect()  # one row per fold
     parts = {int(r["fold"]): (int(r["_n"]), np.array([float(r[f"_m{i}"]) for i in range(p + 1)]),
                               gram_matrix(r, p + 1)) for r in rows}

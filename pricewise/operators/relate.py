@@ -8,7 +8,6 @@ a self-join, so its cost is linear in ``max_shift``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,14 +90,6 @@ def drop_by_key(df: DataFrame, bad: DataFrame, key: str | Sequence[str]) -> Data
     return df.join(bad, key, "left_anti")
 
 
-def parameter_grid(spark, **lists) -> DataFrame:
-    """Cartesian product of setting lists as a small frame (one row per
-    setting; its size is the product of the list lengths)."""
-    names = list(lists)
-    rows = list(product(*[lists[n] for n in names]))
-    return spark.createDataFrame(rows, names)
-
-
 def expand_grid(df: DataFrame, **lists) -> DataFrame:
     """C9 over data: every row of ``df`` repeated once per setting of the
     grid (the product of ``lists``), generated inside the row by ``explode``

@@ -153,12 +153,8 @@ def backfill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str],
     return _fill_many(df, by, pos, {c: c for c in cols}, forward=False, block_rows=block_rows)
 
 
-def forward_fill(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str]) -> DataFrame:
-    """Replace NULL by the previous non-null value of the series."""
-    return _fill_many(df, by, pos, {c: c for c in cols}, forward=True)
-
-
 # ---------------------------------------------------------------- F3-F8
+# The names of the output columns (``recent_mean_7``, ``1_week_pct_growth``, ...).
 def diff(df: DataFrame, by: Sequence[str], pos: str, cols: Sequence[str], n: int = 1,
          dropna: bool = True) -> DataFrame:
     """``c - lag(c, n)`` for each column; then rows with a NULL are dropped
@@ -379,6 +375,7 @@ def information_criteria(sse: Column, n: Column, k: Column) -> tuple[Column, Col
     return ll, 2 * k - 2 * ll, k * F.log(nn) - 2 * ll
 
 
+#: The seasons and their keys.
 SEASON_KEYS = {
     "monthly": ("month", "dayofmonth"),
     "weekly": ("weekofyear", "dayofweek"),

@@ -10,7 +10,7 @@ from pricewise.operators import profile as P
 from pricewise.operators.features import filter_upper_fence
 from pricewise.plans.listings import (clean_raw_listings, flagship, generalize_categories)
 from pricewise.plans.registry import register, rounded
-from pricewise.sources.fixtures import fixture, with_fixture, with_fixtures
+from pricewise.sources.fixtures import fixture, with_fixture
 
 NUM = ["price", "kilometers", "trunk", "cylinder", "power", "age"]
 CAT = ["brand", "condition", "design", "wheel_drive"]
@@ -388,9 +388,13 @@ def q_chi2_yates(spark, sf_dir):
     return rounded(P.chi2_stat(fx, "band", "building").select("chi2", "dof"), 6)
 
 
-@register("d16_chi2_pvalue")
+@register("d16_chi2_pvalue", with_fixture("fx_listings", ", " + _chi2_sql([("condition", "wheel_drive")]) + """
+SELECT round(chi2, 6) AS chi2, CAST((r - 1) * (c - 1) AS BIGINT) AS dof,
+       round(list_sum(list_transform(range(0, CAST((r - 1) * (c - 1) / 2 AS BIGINT)),
+             lambda i: exp(-chi2 / 2) * pow(chi2 / 2, i) / gamma(i + 1.0))), 9) AS p FROM chi"""))
 def q_chi2_p(spark, sf_dir):
-    return P.chi2_stat(fixture(spark, sf_dir, "fx_listings"), "condition", "wheel_drive")
+    """An even number of degrees of freedom has a closed tail."""
+    return rounded(P.chi2_stat(fixture(spark, sf_dir, "fx_listings"), "condition", "wheel_drive"), {"chi2": 6, "p": 9})
 
 
 @register("d17_cramers_matrix", with_fixture("fx_listings", ", " + _chi2_sql([(x, y) for x in CAT for y in CAT]) + """

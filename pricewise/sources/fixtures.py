@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricewise.operators.score import VOCABULARY
 from pricewise.sources.tables import register_tables
 
 NBSP = "chr(160)"
@@ -129,16 +130,8 @@ FROM part
 # position in a space-separated level list; each list ends with the
 # baseline level and one value outside the vocabulary, so fall-through and
 # reject rules are exercised on every scale.
-_LEVELS = {
-    "brand": ("audi bmw chevrolet citroen dacia fiat ford honda hyundai kia mazda mercedes mini "
-              "mitsubishi nissan opel peugeot renault seat skoda smart suzuki toyota volkswagen volvo alfa lada"),
-    "year": "2012 2013 2014 2015 2016 2017 2018 2019 2011 2021",
-    "condition": "megkimelt normal serulesmentes ujszeru kituno roncs",
-    "design": "egyter ferde kisbusz kombi sedan varosi cabrio pickup",
-    "aircon": "digital manual automata nincs",
-    "fuel": "dizel elektromos hibrid hibriddizel benzin gaz",
-    "gearbox": "manual szekvencia automata cvt",
-}
+_UNKNOWN = {"brand": "lada", "year": "2021", "condition": "roncs", "design": "pickup", "aircon": "nincs", "fuel": "gaz", "gearbox": "cvt"}
+_LEVELS = {field: " ".join([*levels, baseline, _UNKNOWN[field]]) for field, levels, baseline, _ in VOCABULARY}
 
 
 def _pick(field: str, driver: str) -> str:
