@@ -6,7 +6,7 @@ probability of its lower-cased UTF-8 bytes.
 
 The base score needs every word's corpus count, and the score the counts of
 every order-3 context.  Each slice of documents sends its distinct words
-(64-bit hashes) and its distinct 4-byte strings with its own training counts to
+(128-bit hashes) and its distinct 4-byte strings with its own training counts to
 buckets (``buckets``).  A word's bucket adds up and sends the totals back.  A
 4-byte string's bucket gets all strings of its context, adds up and sends code
 lengths back.  So neither the vocabulary nor the order-3 contexts are ever in
@@ -48,12 +48,6 @@ def train(docs: DataFrame) -> tuple[ppm.LowerOrders, int]:
     return ppm.LowerOrders(gram[n > 0], n[n > 0]), int(low["kinds"].to_numpy().sum())
 
 
-def _words(rows: pa.Table):
-    h, offs = K.text_words(rows["text"], lower=True)
-    values, place = np.unique(h, return_inverse=True)
-    return values, place, offs
-
-
 def _grams(rows: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last text, offsets and ``gram_keys`` of every block of texts."""
     return [(lo, hi, o, ppm.gram_keys(K.LOWER[d], o)) for lo, hi, d, o in K.blocks(*K.buffers(rows["text"]))]
@@ -65,9 +59,10 @@ def gram_buckets(n_bytes: int, n_slices: int, kinds: int, least: int) -> int:
     return 1 << min(24, (n - 1).bit_length())
 
 
-def score_documents(docs: DataFrame, training) -> DataFrame:
+def score_documents(docs: DataFrame, training, key_bits: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-    ``training`` is a condition on doc_id (null: no)."""
+    ``training`` is a condition on doc_id (null: no).  Fewer ``key_bits`` only
+    let more words meet that then differ in their check bits."""
     docs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .withColumn("learn", F.coalesce(training, F.lit(False))))
     spark = docs.sparkSession
@@ -82,9 +77,9 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     def send(rows: pa.Table) -> pa.Table:
         rows = B.in_order(rows)
         number, learnt = rows["slice"][0].as_py(), rows["learn"].to_numpy()
-        values, place, offs = _words(rows)
+        values, check, place, offs = K.distinct_words(rows["text"], True, key_bits)
         n = np.bincount(place[np.repeat(learnt, np.diff(offs))], minlength=len(values)).astype("<i8")
-        of_words = B.sent(number, values, n, n_buckets)
+        of_words = B.sent(number, values, n, n_buckets, key_bits, check)
         held = []
         for lo, hi, o, grams in _grams(rows):
             learn = np.repeat(learnt[lo:hi], np.diff(o))
@@ -100,12 +95,22 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     def add_up(rows: pa.Table) -> pa.Table:
         n = rows["n"].to_numpy()
         values = np.concatenate([B.unpack(p, k) for p, k in zip(rows["packed"].to_pylist(), n.tolist())])
-        counts = np.concatenate([np.frombuffer(x, dtype="<i8") for x in rows["extra"].to_pylist()])
-        values, place = np.unique(values, return_inverse=True)
+        extra, of_words = rows["extra"].to_pylist(), rows["bucket"][0].as_py() < n_buckets
+        counts = np.concatenate([np.frombuffer(x, dtype="<i8", count=k) for x, k in zip(extra, n.tolist())])
+        if of_words:
+            check = np.concatenate([np.frombuffer(x, dtype="<u8", offset=8 * k) for x, k in zip(extra, n.tolist())])
+            order = np.lexsort((check, values))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (np.diff(values[order]) != 0) | (np.diff(check[order]) != 0)
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.cumsum(new) - 1
+            values = values[order][new]
+        else:
+            values, place = np.unique(values, return_inverse=True)
         sums = np.zeros(len(values), dtype=np.int64)
         np.add.at(sums, place, counts)
         edge = np.cumsum(n)
-        if rows["bucket"][0].as_py() < n_buckets:
+        if of_words:
             back = sums[place].astype("<i8")
             first = [1] + [0] * (len(n) - 1)  # the bucket's own totals travel once
         else:
@@ -118,9 +123,9 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
 
     def last(rows: pa.Table, back: pa.Table) -> pa.Table:
         rows = B.in_order(rows)
-        values, place, offs = _words(rows)
+        values, _, place, offs = K.distinct_words(rows["text"], True, key_bits)
         counts = np.zeros(len(values), dtype=np.int64)
-        edges = B.bucket_edges(values, n_buckets)
+        edges = B.bucket_edges(values, n_buckets, key_bits)
         grams = _grams(rows)
         known_grams = np.unique(np.concatenate([np.unique(g) for *_, g in grams]))
         lengths = np.zeros(len(known_grams), dtype=np.float32)

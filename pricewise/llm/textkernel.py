@@ -185,3 +185,21 @@ def text_words(column, lower: bool = False, values: np.ndarray = BYTE_VALUES) ->
         counts.append(np.diff(w))
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return h, np.cumsum(np.concatenate(counts))
+
+
+def distinct_words(column, lower: bool = False, key_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of all texts of a column as sorted 64-bit keys with 64
+    independent check bits each, every word's place among them, and word
+    offsets by text.  Words are the same if all 128 bits are."""
+    h, offs = text_words(column, lower)
+    check, _ = text_words(column, lower, CHECK_VALUES)
+    h = h >> np.uint64(64 - key_bits)
+    values, first, place = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(check[first][place], check):  # two words under one key
+        order = np.lexsort((check, h))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        values, first = h[order][new], order[new]
+    return values, check[first], place, offs

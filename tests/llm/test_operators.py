@@ -393,6 +393,21 @@ def test_lm_scores(spark, sf_dir, docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 0
 
 
+@pytest.mark.parametrize("key_bits", [2, 64])
+def test_word_counts_with_a_weak_first_hash(spark, key_bits):
+    """Words that meet under one key are counted apart."""
+    from pyspark.sql import functions as F
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["a", "B", "b", "cc", "ddd", "é"]) for _ in range(rng.randint(0, 9)))) for i in range(40)]
+    got = codelength.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 1, key_bits).collect()
+    train = Counter(w for i, t in rows if i % 3 != 1 for w in [*words(t, lower=True), None])
+    n, v = sum(train.values()), len(train)
+    for r in got:
+        own = [*words(dict(rows)[r.doc_id], lower=True), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(train[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
+
+
 def test_lm_edges(spark, edge):
     from pyspark.sql import functions as F
     out = codelength.score_documents(edge, F.col("doc_id") > 3).collect()
