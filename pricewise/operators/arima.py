@@ -25,8 +25,10 @@ key is a series of its own.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -247,12 +249,10 @@ def _block(row: dict, columns: int) -> Block:
 
 
 def _bytes(sums: dict[str, np.ndarray]) -> bytes:
-    import pickle
     return pickle.dumps(sums)
 
 
 def _unbytes(packed: bytes) -> dict[str, np.ndarray]:
-    import pickle
     return pickle.loads(packed)
 
 
@@ -464,11 +464,6 @@ def psi_weights(phi: np.ndarray, theta: np.ndarray, d: int, h: int) -> np.ndarra
     return psi
 
 
-def normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-    return NormalDist().inv_cdf(p)
-
-
 def forecast_arima(df: DataFrame, models: DataFrame, by: Sequence[str], pos: str, y: str, orders: Sequence[Order],
                    future: DataFrame | None = None, h: int = 30, exog: Sequence[str] = (), const: bool | None = None,
                    level: float = 0.95) -> DataFrame:
@@ -490,7 +485,7 @@ def forecast_arima(df: DataFrame, models: DataFrame, by: Sequence[str], pos: str
         ahead = future.withColumn(y, F.lit(None).cast("double")).groupBy(*by).agg(F.sort_array(F.collect_list(cells)).alias("ahead"))
     small = models.groupBy(*by).agg(F.collect_list(F.struct("model", "params", "sse", "n", "shocks")).alias("models"))
     rows = null_safe_join(null_safe_join(tail, ahead, by), small, by)
-    z = normal_quantile(0.5 + level / 2)
+    z = NormalDist().inv_cdf(0.5 + level / 2)
 
     def of(row):
         past_y = [c["y"] for c in row["tail"]]
