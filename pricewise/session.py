@@ -87,6 +87,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """The same rows dealt out evenly, a few tasks to every core, whatever the
+    number of files and row groups they were read from: for steps that cost
+    far more than moving their rows."""
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame written as Parquet in the shared folder and read again, and
     its path.  Unlike a checkpoint it starts with the true size: in a loop of

@@ -1,10 +1,11 @@
 """The listing collector re-aimed at a table of fetched pages.
 
 Pages arrive as rows ``(page_id, url, html)``; every operator here is a
-per-row projection, so extraction runs as narrow map stages over as many
-partitions as the page table has and never shuffles.  Markup is read by an
-HTML parser (``markup``) in Arrow-batched column functions, one page at a
-time; a page without markup (NULL) has no elements.
+per-row projection.  Markup is read by an HTML parser (``markup``) in
+Arrow-batched column functions, one page at a time; a page without markup
+(NULL) has no elements.  Parsing costs far more than moving a page, and small
+files come as one or two partitions, so the pages are dealt out to all cores
+first (``spread``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewise.session import spread
 from pricewise.sources.markup import elements, select
 
 
@@ -50,7 +52,7 @@ def extract_listing_links(pages: DataFrame, block_tag: str = "li", block_class:
             return out
         return column.map(page)
 
-    out = pages.select(*key, F.posexplode_outer(links(html)).alias("block_pos", "_block")) \
+    out = spread(pages.select(*key, html)).select(*key, F.posexplode_outer(links(html)).alias("block_pos", "_block")) \
         .where(F.col("_block").isNotNull())
     return out.select(*key, "block_pos", "_block.title", "_block.href",
                       F.when(F.col("_block.href").isNull(), F.lit("no anchor in block")).alias("reject_reason"))
@@ -85,7 +87,7 @@ def extract_key_values(pages: DataFrame, table_class: str, key_class: str, value
             return [{"key": k, "value": v} for k, v in last.items()], None
         return pd.DataFrame([page(t) for t in column], columns=["attrs", "reject_reason"])
 
-    return pages.select(*key, details(html).alias("_d")).select(*key, "_d.attrs", "_d.reject_reason")
+    return spread(pages.select(*key, html)).select(*key, details(html).alias("_d")).select(*key, "_d.attrs", "_d.reject_reason")
 
 
 def explode_attributes(kv: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -119,7 +121,7 @@ def headline_blocks(pages: DataFrame, tag: str = "h1", key: Sequence[str] = ("pa
     def texts(column: pd.Series) -> pd.Series:
         return column.map(lambda t: [e.text() for e in select(elements(t), tag)])
 
-    return pages.select(*key, url, F.posexplode_outer(texts(html)).alias("block_pos", "title")) \
+    return spread(pages.select(*key, url, html)).select(*key, url, F.posexplode_outer(texts(html)).alias("block_pos", "title")) \
         .where(F.col("title").isNotNull()) \
         .select(*key, "block_pos", "title", F.col(url).alias("href"))
 
