@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from pricewise.operators import cells as C
+from pricewise.operators import forest as I
+from pricewise.operators import nets as N
+from pricewise.operators import regress as M
 from pricewise.sources import pages as PG
 
 
@@ -24,3 +29,63 @@ def test_pages_of_one_partition_are_parsed_by_many_tasks(spark):
         assert _tasks(out) > 1
     assert {(r.attr, r["value"]) for r in pairs.collect()} == {("Size:", "3")}
     assert PG.extract_key_values(pages, "d", "k").where("attrs IS NULL").count() == 1
+
+
+def test_importance_above_the_limit_equals_the_one_below(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 0 else float(rng.integers(0, 40)), float(rng.normal()), None if i % 7 == 0 else "abc"[int(rng.integers(0, 3))],
+             None if i % 13 == 0 else float(rng.integers(0, 99) + i % 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, y double")
+    # whole numbers about a mean of 0: sums are exact, so equal gains are equal in any order
+    train = df.where(F.col("y").isNotNull() & (I.split_share("id", 42) < 0.7)).agg(F.sum("y").alias("s"), F.min("id").alias("id")).first()
+    df = df.withColumn("y", F.when(F.col("id") == train.id, F.col("y") - train.s).otherwise(F.col("y")))
+    features = C.category_features({"c": ["a", "b", "c"]}) + C.numeric_features(df, ["a", "b"], bins=16)
+    below = {r.feature: r.importance for r in I.forest_importance(df, "y", features, "id", trees=12).collect()}
+    for small in (10_000, 40):  # all in subtrees, most in shared levels
+        above = {r.feature: r.importance for r in I.forest_importance(df, "y", features, "id", trees=12, limit=10, small=small).collect()}
+        assert above.keys() == below.keys()
+        assert all(abs(above[f] - below[f]) < 1e-6 for f in below)
+
+
+def test_lasso_fits_read_a_spread_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), float(3 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").coalesce(1)
+    seen = []
+    original = M.cross_validate
+    M.cross_validate = lambda lr, grid, data, *rest: seen.append(data) or original(lr, grid, data, *rest)
+    try:
+        cv, grid = M.fit_lasso_cv(df, "y", ["a", "b"], "id", alphas=[0.03, 1.0])
+    finally:
+        M.cross_validate = original
+    assert _tasks(seen[0]) > 1 and seen[0].columns == ["features", "label", "fold"]
+    path, _ = M.lasso_path_cv(df, "y", ["a", "b"], "id", alphas=[0.03, 1.0])
+    for (_, score), row in zip(M.cv_scores(cv, grid), path):
+        assert abs(score - row["rmse"]) < 1e-3
+
+
+def test_network_gradients_leave_out_units_that_only_pad(spark):
+    rng = np.random.default_rng(1)
+    settings = [{"hidden": h, "alpha": 0.001, "step": 0.01} for h in (2, 5, 3)]
+    nets = N.Nets.begin(settings, [0, 1], 2, 7)
+    x, y, fold = rng.normal(size=(60, 2)), rng.normal(size=60), rng.integers(0, 2, 60)
+    scales = [N.Scale(x.min(axis=0), np.ptp(x, axis=0), 0.1, 1.3, 60)] * 2
+    for m, (i, _) in enumerate(zip(nets.setting, nets.fold)):
+        order, layers = N._by_unit({c: p[m:m + 1] for c, p in nets.parts.items()})
+        assert len(layers) == settings[i]["hidden"]
+    grads, held = N.sums_of(nets, scales, x, y, fold)
+    assert not N.sums_of(nets, scales, x, y, fold, scored=False)[1].any() and (held > 0).all()
+
+    def loss(values, m):
+        s, v = scales[0], nets.fold[m]
+        z, t = (x - s.low) / s.width, (y - s.mean) / s.spread
+        one = nets.with_flat(values).only(np.array([m]))
+        return ((N.forward(one.parts, z[fold != v])[1][:, 0] - t[fold != v]) ** 2).sum() / 2
+
+    flat = nets.flat()
+    for m in range(len(flat)):
+        for p in np.flatnonzero(flat[m]):
+            up, down = flat.copy(), flat.copy()
+            up[m, p] += 1e-6
+            down[m, p] -= 1e-6
+            assert abs((loss(up, m) - loss(down, m)) / 2e-6 - grads[m, p]) < 1e-4 * (1 + abs(grads[m, p]))
