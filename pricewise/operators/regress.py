@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pricewise.functions.linalg import fit_linear, gram, gram_matrix, linear_prediction, merge_moments
 from pricewise.operators.features import split_hash
+from pricewise.session import spread, written
 
 
 #: Penalties of the lasso search.
@@ -68,7 +69,8 @@ def fit_lasso_cv(df: DataFrame, y: str, x: Sequence[str], key: str, alphas: Sequ
     ``elasticNetParam=1`` and no standardization minimises
     ``1/(2n) ||y - Xb||^2 + alpha ||b||_1``, the same objective."""
     alphas = list(alphas) if alphas is not None else ALPHAS
-    data = with_fold(assemble(df, x, y), key, folds)
+    # every fit reads the rows again: they are written once, with what a fit needs, a file to every core
+    data, _ = written(spread(with_fold(assemble(df, x, y), key, folds).select("features", "label", "fold"), 1))
     lr = LinearRegression(elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-8)
     grid = ParamGridBuilder().addGrid(lr.regParam, [float(a) for a in alphas]).build()
     return cross_validate(lr, grid, data, folds, "rmse", parallelism), grid
