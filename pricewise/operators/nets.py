@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewise.operators.features import split_hash
-from pricewise.session import written
+from pricewise.session import spread, written
 
 #: Hidden units and penalties of the network search.
 NET_SPACE = {"hidden": [2, 3, 4, 5], "alpha": [0.0001, 0.001, 0.01], "step": [0.01, 0.03, 0.1]}
@@ -111,10 +111,27 @@ def forward(parts: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np
     return hidden, (hidden * parts["out"]).sum(axis=2) + parts["bias"][:, 0]
 
 
-def sums_of(nets: Nets, scales: Sequence[Scale], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_unit(parts: dict[str, np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Models in the order of their hidden units (those with most first), and
+    per unit the weights with the bias as last input [input, model] of the
+    models that have it, and their number.  Units that only pad are left out."""
+    used = (parts["w"] != 0).any(axis=1) | (parts["b"] != 0) | (parts["out"] != 0)
+    units = np.where(used.any(axis=1), used.shape[1] - used[:, ::-1].argmax(axis=1), 0)
+    order = np.argsort(-units, kind="stable")
+    layers = []
+    for j in range(units.max(initial=0)):
+        some = order[:int((units > j).sum())]
+        layers.append((np.concatenate((parts["w"][some, :, j].T, parts["b"][some, j][None, :])), len(some)))
+    return order, layers
+
+
+def sums_of(nets: Nets, scales: Sequence[Scale], x: np.ndarray, y: np.ndarray, fold: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Over rows: gradients of half the squared error of every model's training
     rows [model, parameter], and squared errors of its held-out rows in units
-    of the target [model]."""
+    of the target [model] (zeros unless ``scored``).
+
+    A unit's gradients come from one product of the rows with the errors where
+    it is active: those of its output weight are its own weights times that."""
     grads, held = np.zeros(nets.flat().shape), np.zeros(len(nets.setting))
     for v in np.unique(nets.fold):
         mine, s = np.flatnonzero(nets.fold == v), scales[v]
@@ -122,19 +139,33 @@ def sums_of(nets: Nets, scales: Sequence[Scale], x: np.ndarray, y: np.ndarray, f
         z, t = (x - s.low) / s.width, (y - s.mean) / s.spread
         out = fold == v
         train = ~out
-        hidden, guess = forward(parts, z[train])
-        error = guess - t[train][:, None]
-        back = error[:, :, None] * parts["out"] * (hidden > 0)
-        n, m, h = back.shape
-        w = (z[train].T @ back.reshape(n, m * h)).reshape(-1, m, h).transpose(1, 0, 2)
-        pieces = [w.reshape(m, -1), back.sum(axis=0), (hidden * error[:, :, None]).sum(axis=0), error.sum(axis=0)[:, None]]
-        grads[mine] = np.concatenate(pieces, axis=1)
-        if out.any():
+        order, layers = _by_unit(parts)
+        ones = np.concatenate((z[train], np.ones((int(train.sum()), 1))), axis=1)
+        weight = parts["out"][order]
+        error = np.repeat(parts["bias"][order].T, len(ones), axis=0)
+        active = []
+        for j, (w, m) in enumerate(layers):
+            hidden = ones @ w
+            active.append(hidden > 0)
+            np.maximum(hidden, 0.0, out=hidden)
+            hidden *= weight[:m, j]
+            error[:, :m] += hidden
+        error -= t[train][:, None]
+        sums = {c: np.zeros(p.shape) for c, p in parts.items()}
+        for j, (w, m) in enumerate(layers):
+            some = order[:m]
+            at = ones.T @ (error[:, :m] * active[j])
+            sums["w"][some, :, j] = (at[:-1] * weight[:m, j]).T
+            sums["b"][some, j] = at[-1] * weight[:m, j]
+            sums["out"][some, j] = (at * w).sum(axis=0)
+        sums["bias"][order, 0] = error.sum(axis=0)
+        grads[mine] = np.concatenate([p.reshape(len(mine), -1) for p in sums.values()], axis=1)
+        if scored and out.any():
             held[mine] = ((forward(parts, z[out])[1] - t[out][:, None]) ** 2).sum(axis=0) * s.spread ** 2
     return grads, held
 
 
-def _pass(rows: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def _pass(rows: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, scored: bool = True, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """``sums_of`` over all rows: models x parameters numbers reach the driver."""
     shared = rows.sparkSession.sparkContext.broadcast((nets, scales))
 
@@ -145,7 +176,7 @@ def _pass(rows: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, step: in
             a = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [f"x{i}" for i in range(k)] + ["y", "fold"]], axis=1)
             for lo in range(0, len(a), step):
                 some = a[lo:lo + step]
-                g, held = sums_of(nets, scales, some[:, :k], some[:, k], some[:, k + 1].astype(int))
+                g, held = sums_of(nets, scales, some[:, :k], some[:, k], some[:, k + 1].astype(int), scored)
                 both = np.concatenate((g, held[:, None]), axis=1)
                 total = both if total is None else total + both
         if total is not None:
@@ -167,7 +198,7 @@ def _train(rows, nets, moments, scales, settings, k, steps, done):
     decayed = np.concatenate([np.full(p[0].size, c in ("w", "out")) for c, p in nets.parts.items()]) * 1.0
     first, second = moments
     for t in range(done + 1, done + steps + 1):
-        g = _pass(rows, nets, scales, k)[0] / n + alpha * decayed * nets.flat() / n
+        g = _pass(rows, nets, scales, k, scored=False)[0] / n + alpha * decayed * nets.flat() / n
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         nets = nets.with_flat(nets.flat() - rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8))
     return nets, (first, second)
@@ -218,7 +249,7 @@ def search_nets(df: DataFrame, y: str, x: Sequence[str], key: str, settings: Seq
         whole = whole & F.col(c).isNotNull()
     rows = df.where(whole).select((split_hash(key) % folds).alias("fold"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)],
                                   F.col(y).cast("double").alias("y"))
-    rows, _ = written(rows)
+    rows, _ = written(spread(rows, 1))  # a file to every core: each step reads them
     scales = fold_scales(rows, k, folds)
     if scales[folds] is None:
         raise ValueError("no row has all inputs and the target")
