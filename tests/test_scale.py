@@ -9,6 +9,7 @@ from pricewise.operators import cells as C
 from pricewise.operators import forest as I
 from pricewise.operators import nets as N
 from pricewise.operators import regress as M
+from pricewise.sources import markup as MK
 from pricewise.sources import pages as PG
 
 
@@ -89,3 +90,33 @@ def test_network_gradients_leave_out_units_that_only_pad(spark):
             up[m, p] += 1e-6
             down[m, p] -= 1e-6
             assert abs((loss(up, m) - loss(down, m)) / 2e-6 - grads[m, p]) < 1e-4 * (1 + abs(grads[m, p]))
+
+
+PLAIN_PAGES = [
+    "<!DOCTYPE html><html lang=hu><style>p{a:b}</style><script>var t=\"</p>\";1<2</script><p class='a  b'>&nbsp;x&amp;lt;<br/>y<p>z</p >",
+    "<!-- c-d --><UL><LI Class=\"k l\">1<li>2<a href='/x?a=1&amp;b=2' b B=3>t</a><img src=x/><script></script></UL>tail &am",
+    "<table class=d><tr><td class='k'>Size:<td><STRONG> 3&#x41;</STRONG></table></div>", "no tags & none", "",
+]
+ODD_PAGES = [
+    "<p>a < b</p><li>1", "<a x= y>1</a>", "<a x='1'y=2>1</a>", "<a x='1>1</a>", "<li>1<!-- a--- ><li>2", "<!--><li>1-->",
+    "<script>1</ script><li>2", "<script/><li>1", "<script><!-- </script><li>1", "<script>1</style></script><li>1", "<style>x",
+    "<a1-b>1", "<a\x0bb>1", "<li\x00>1", "<?pi><li>1", "<![bad[<li>1", "</><li>1", "<ſcript>1</script>", "<li", "x<",
+]
+
+
+def test_plain_markup_gives_the_elements_of_the_parser():
+    def view(found):
+        return [(e.tag, list(e.attrs.items()), e.inner, e.text(), "".join(e.words[:e.first])) for e in found]
+
+    pages = PLAIN_PAGES + ODD_PAGES + [a + b for a in PLAIN_PAGES for b in PLAIN_PAGES + ODD_PAGES]
+    for html in pages:
+        assert view(MK.elements(html)) == view(MK.parsed(html)), html
+    assert sum(len(MK.elements(html)) for html in PLAIN_PAGES) == 17
+
+
+def test_plain_markup_needs_no_parser(monkeypatch):
+    def feed(self, data):
+        raise AssertionError(data)
+
+    monkeypatch.setattr(MK._Reader, "feed", feed)
+    assert [[e.tag for e in MK.elements(html)] for html in PLAIN_PAGES[2:4]] == [["table", "tr", "td", "td", "strong"], []]
