@@ -87,7 +87,10 @@ def extract_key_values(pages: DataFrame, table_class: str, key_class: str, value
             return [{"key": k, "value": v} for k, v in last.items()], None
         return pd.DataFrame([page(t) for t in column], columns=["attrs", "reject_reason"])
 
-    return spread(pages.select(*key, html)).select(*key, details(html).alias("_d")).select(*key, "_d.attrs", "_d.reject_reason")
+    # Not deterministic for the optimizer: else a filter on the reason (A7) parses every page
+    # a second time, below the spread.
+    found = details.asNondeterministic()(html).alias("_d")
+    return spread(pages.select(*key, html)).select(*key, found).select(*key, "_d.attrs", "_d.reject_reason")
 
 
 def explode_attributes(kv: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:

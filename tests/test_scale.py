@@ -120,3 +120,15 @@ def test_plain_markup_needs_no_parser(monkeypatch):
 
     monkeypatch.setattr(MK._Reader, "feed", feed)
     assert [[e.tag for e in MK.elements(html)] for html in PLAIN_PAGES[2:4]] == [["table", "tr", "td", "td", "strong"], []]
+
+
+def test_each_page_is_parsed_once_when_rows_are_split(spark):
+    good = "<table class='d'><td class='k'>Size:</td><td><strong>3</strong></td></table>"
+    rows = [(1, good), (2, "<p>none</p>"), (3, good.replace("'k'", "'x'")), (None, good), (5, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    kept, rejected = PG.quarantine_bad_rows(PG.extract_key_values(pages, "d", "k"))
+    for out in (kept, rejected, PG.widen_attributes(kept, ["Size:"])):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.page_id for r in kept.collect()} == {1, None}
+    assert {(r.page_id, r.reject_reason) for r in rejected.collect()} == {
+        (2, "no attribute table"), (3, "fewer keys than values"), (5, "no attribute table")}
