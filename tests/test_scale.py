@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewise.operators import cells as C
 from pricewise.operators import forest as I
 from pricewise.operators import nets as N
+from pricewise.operators import rank as R
 from pricewise.operators import regress as M
 from pricewise.sources import markup as MK
 from pricewise.sources import pages as PG
@@ -132,3 +133,40 @@ def test_each_page_is_parsed_once_when_rows_are_split(spark):
     assert {r.page_id for r in kept.collect()} == {1, None}
     assert {(r.page_id, r.reject_reason) for r in rejected.collect()} == {
         (2, "no attribute table"), (3, "fewer keys than values"), (5, "no attribute table")}
+
+
+def test_column_quantiles_count_batches_of_rows_where_they_lie(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 9 == 0 else float(rng.normal()), float("nan") if i % 50 == 0 else float(rng.integers(0, 100)), None, i % 7)
+            for i in range(12_000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d int").repartition(5)
+    probs, cols = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0], ["a", "b", "c", "d"]
+    for part in (df, df.where("id < 300"), df.where("id < 0")):  # brackets of a sketch, of all rows, none
+        out = R.column_quantiles(part, cols, probs)
+        want = {(c, r.p): r.q for c in cols for r in R.exact_quantiles(part, c, probs).collect()}
+        assert {(r["column"], r.p): r.q for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan  # rows reach no join that deals them out by column
+    assert R.few_values(df, cols, 7) == {"d": [float(i) for i in range(7)]}
+    assert [f.edges for f in C.numeric_features(df, ["d", "c"])] == [tuple(map(float, range(6))), ()]
+
+
+def test_bins_by_bisection_count_the_edges_below(spark):
+    edges = tuple(float(i) for i in range(0, 26, 2))
+    values = [None, float("nan"), float("-inf"), *[i / 2 for i in range(-2, 54)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", C.Feature("x", edges=edges).code().alias("c"))
+    assert [r.c for r in df.collect()] == [0, len(edges) + 1, *[1 + sum(v > e for e in edges) for v in values[2:]]]
+
+
+def test_subtrees_are_grown_by_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 40)), float(rng.integers(0, 40)), float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    features, seen = C.numeric_features(df, ["a", "b"], bins=16), []
+    original = I.cut_lineage
+    I.cut_lineage = lambda out: seen.append(original(out)) or seen[-1]
+    try:
+        I.forest_importance(df, "y", features, "id", trees=24, limit=10)
+    finally:
+        I.cut_lineage = original
+    assert seen[-1].columns == ["tree", "feature", "gain"] and _tasks(seen[-1]) > 4
