@@ -36,6 +36,7 @@ NET_SPACE = {"hidden": [2, 3, 4, 5], "alpha": [0.0001, 0.001, 0.01], "step": [0.
 SETTINGS, FOLDS = 50, 5
 RUNGS = (15, 30, 60, 120)  # steps of each rung
 KEPT = 3                   # one setting in so many goes on
+ROOM = 1 << 16             # activities [model, unit, row] worked on at once in a task
 
 
 @dataclass
@@ -125,64 +126,158 @@ def _by_unit(parts: dict[str, np.ndarray]) -> tuple[np.ndarray, list[tuple[np.nd
     return order, layers
 
 
+class _Passing:
+    """Models of the same number of hidden units on their way through rows, and
+    the sums that they gather.
+
+    Rows are scaled once, by ``base``; each model's own scale is an affine map of
+    that, kept in its weights.  A unit's gradients come from one product of the
+    rows with the errors where it is active: those of its output weight are its
+    own weights times that."""
+
+    def __init__(self, parts: dict[str, np.ndarray], units: int, own: Sequence[Scale], base: Scale):
+        self.base, self.shape = base, (len(own), units)
+        self.ratio, self.shift = (np.array(a).reshape(len(own), 1, -1) for a in (
+            [base.width / s.width for s in own], [(base.low - s.low) / s.width for s in own]))
+        w, self.weight = parts["w"].transpose(0, 2, 1)[:, :units], parts["out"][:, None, :units]
+        # weights of the scaled rows and the bias [model, unit, input]
+        self.layer = np.concatenate((w * self.ratio, (parts["b"][:, :units] + (w * self.shift).sum(axis=2))[:, :, None]), axis=2)
+        # the output's bias less the target: factors of the scaled target and of 1
+        spread, mean = (np.array([getattr(s, c) for s in own]) for c in ("spread", "mean"))
+        self.start = np.stack((-base.spread / spread, parts["bias"][:, 0] - (base.mean - mean) / spread), axis=1)
+        self.sums, self.bias = np.zeros(self.layer.shape), np.zeros(len(own))
+        # rows at a time: all that one step of them needs stays near the processor
+        self.step = max(128, ROOM // max(1, len(own) * units))
+
+    def add(self, ones: np.ndarray, target: np.ndarray) -> None:
+        """Scaled rows by column, each with a last one of 1."""
+        models, units = self.shape
+        flat = self.layer.reshape(models * units, ones.shape[0])
+        room = np.empty(models * units * min(self.step, ones.shape[1]))
+        mask = np.empty(len(room), dtype=bool)
+        for lo in range(0, ones.shape[1], self.step):
+            some = ones[:, lo:lo + self.step]
+            n = some.shape[1]
+            hidden, active = (a[:models * units * n].reshape(models, units, n) for a in (room, mask))
+            np.matmul(flat, some, out=hidden.reshape(-1, n))
+            np.greater(hidden, 0.0, out=active)
+            np.maximum(hidden, 0.0, out=hidden)
+            error = self.start @ target[:, lo:lo + n] + np.matmul(self.weight, hidden)[:, 0]
+            np.multiply(error[:, None], active, out=hidden)
+            self.sums += (hidden.reshape(-1, n) @ some.T).reshape(self.sums.shape)
+            self.bias += error.sum(axis=1)
+
+    def gradients(self, wide: int) -> dict[str, np.ndarray]:
+        """The sums gathered, as gradients padded to ``wide`` units."""
+        models, units = self.shape
+        w, weight = self.sums[:, :, :-1] * self.ratio + self.sums[:, :, -1:] * self.shift, self.weight[:, 0]
+        pad = ((0, 0), (0, wide - units))
+        return {"w": np.pad((w * weight[:, :, None]).transpose(0, 2, 1), ((0, 0), *pad)), "b": np.pad(self.sums[:, :, -1] * weight, pad),
+                "out": np.pad((self.sums * self.layer).sum(axis=2), pad), "bias": self.bias[:, None]}
+
+
+class _Sums:
+    """What all models gather from rows that come fold by fold."""
+
+    def __init__(self, nets: Nets, scales: Sequence[Scale]):
+        self.nets, self.scales = nets, scales
+        self.base = next((scales[v] for v in nets.fold[::-1]), None)
+        order, layers = _by_unit(nets.parts)
+        self.units = np.zeros(len(nets.setting), dtype=int)
+        for _, m in layers:
+            self.units[order[:m]] += 1
+        self.passing: dict[int, list[tuple[np.ndarray, _Passing]]] = {}
+        self.held = np.zeros(len(nets.setting))
+
+    def _of(self, fold: int) -> list[tuple[np.ndarray, _Passing]]:
+        out = []
+        for units in np.unique(self.units):
+            some = np.flatnonzero((self.nets.fold != fold) & (self.units == units))
+            if len(some):
+                out.append((some, _Passing({c: p[some] for c, p in self.nets.parts.items()}, int(units), [self.scales[v] for v in self.nets.fold[some]], self.base)))
+        return out
+
+    def add(self, fold: int, x: np.ndarray, y: np.ndarray, scored: bool) -> None:
+        """Rows by column: inputs [input, row] and target [row]."""
+        if fold not in self.passing:
+            self.passing[fold] = self._of(fold)
+        ones = np.concatenate(((x - self.base.low[:, None]) / self.base.width[:, None], np.ones((1, len(y)))))
+        target = np.stack(((y - self.base.mean) / self.base.spread, np.ones(len(y))))
+        for _, p in self.passing[fold]:
+            p.add(ones, target)
+        out = np.flatnonzero(self.nets.fold == fold)
+        if scored and len(out):
+            s, one = self.scales[fold], {c: p[out] for c, p in self.nets.parts.items()}
+            for lo in range(0, len(y), 2048):
+                z, t = (x[:, lo:lo + 2048].T - s.low) / s.width, (y[lo:lo + 2048] - s.mean) / s.spread
+                self.held[out] += ((forward(one, z)[1] - t[:, None]) ** 2).sum(axis=0) * s.spread ** 2
+
+    def gradients(self) -> np.ndarray:
+        grads, wide = np.zeros(self.nets.flat().shape), self.nets.parts["b"].shape[1]
+        for some, p in (q for found in self.passing.values() for q in found):
+            sums = p.gradients(wide)
+            grads[some] += np.concatenate([sums[c].reshape(len(some), -1) for c in self.nets.parts], axis=1)
+        return grads
+
+
 def sums_of(nets: Nets, scales: Sequence[Scale], x: np.ndarray, y: np.ndarray, fold: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Over rows: gradients of half the squared error of every model's training
     rows [model, parameter], and squared errors of its held-out rows in units
-    of the target [model] (zeros unless ``scored``).
-
-    A unit's gradients come from one product of the rows with the errors where
-    it is active: those of its output weight are its own weights times that."""
-    grads, held = np.zeros(nets.flat().shape), np.zeros(len(nets.setting))
-    for v in np.unique(nets.fold):
-        mine, s = np.flatnonzero(nets.fold == v), scales[v]
-        parts = {c: p[mine] for c, p in nets.parts.items()}
-        z, t = (x - s.low) / s.width, (y - s.mean) / s.spread
-        out = fold == v
-        train = ~out
-        order, layers = _by_unit(parts)
-        ones = np.concatenate((z[train], np.ones((int(train.sum()), 1))), axis=1)
-        weight = parts["out"][order]
-        error = np.repeat(parts["bias"][order].T, len(ones), axis=0)
-        active = []
-        for j, (w, m) in enumerate(layers):
-            hidden = ones @ w
-            active.append(hidden > 0)
-            np.maximum(hidden, 0.0, out=hidden)
-            hidden *= weight[:m, j]
-            error[:, :m] += hidden
-        error -= t[train][:, None]
-        sums = {c: np.zeros(p.shape) for c, p in parts.items()}
-        for j, (w, m) in enumerate(layers):
-            some = order[:m]
-            at = ones.T @ (error[:, :m] * active[j])
-            sums["w"][some, :, j] = (at[:-1] * weight[:m, j]).T
-            sums["b"][some, j] = at[-1] * weight[:m, j]
-            sums["out"][some, j] = (at * w).sum(axis=0)
-        sums["bias"][order, 0] = error.sum(axis=0)
-        grads[mine] = np.concatenate([p.reshape(len(mine), -1) for p in sums.values()], axis=1)
-        if scored and out.any():
-            held[mine] = ((forward(parts, z[out])[1] - t[out][:, None]) ** 2).sum(axis=0) * s.spread ** 2
-    return grads, held
-
-
-def _pass(rows: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, scored: bool = True, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """``sums_of`` over all rows: models x parameters numbers reach the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast((nets, scales))
+    of the target [model] (zeros unless ``scored``)."""
+    sums = _Sums(nets, scales)
+    for v in np.unique(fold):
+        sums.add(int(v), x[fold == v].T, y[fold == v], scored)
+    return sums.gradients(), sums.held
+
+
+def packed(rows: DataFrame, k: int, size: int = 8192) -> DataFrame:
+    """``fold, n, block``: up to ``size`` rows of one fold by column, inputs and
+    then the target, as bytes.  The rows are read at every step of the search:
+    in blocks they reach its tasks without a conversion of each value."""
+    def of(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        count: dict[int, int] = {}
+
+        def block(v, a):
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([a.shape[1]], pa.int32()), pa.array([a.tobytes()], pa.binary())],
+                                              names=["fold", "n", "block"])
+
+        for batch in batches:
+            fold = batch.column(0).to_numpy(zero_copy_only=False)
+            a = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, k + 2)])
+            for v in np.unique(fold).tolist():
+                held.setdefault(v, []).append(a[:, fold == v])
+                count[v] = count.get(v, 0) + held[v][-1].shape[1]
+                if count[v] >= size:
+                    a_v = np.concatenate(held[v], axis=1)
+                    whole = count[v] - count[v] % size
+                    for lo in range(0, whole, size):
+                        yield block(v, a_v[:, lo:lo + size])
+                    held[v], count[v] = [a_v[:, whole:]], count[v] - whole
+        for v in sorted(held):
+            if count[v]:
+                yield block(v, np.concatenate(held[v], axis=1))
+
+    return rows.select("fold", *[f"x{i}" for i in range(k)], "y").mapInArrow(of, "fold int, n int, block binary")
+
+
+def _pass(blocks: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, scored: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``sums_of`` over all rows of the ``packed`` table: models x parameters
+    numbers reach the driver."""
+    shared = blocks.sparkSession.sparkContext.broadcast((nets, scales))
 
     def partial(batches):
-        nets, scales = shared.value
-        total = None
+        sums = None
         for batch in batches:
-            a = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [f"x{i}" for i in range(k)] + ["y", "fold"]], axis=1)
-            for lo in range(0, len(a), step):
-                some = a[lo:lo + step]
-                g, held = sums_of(nets, scales, some[:, :k], some[:, k], some[:, k + 1].astype(int), scored)
-                both = np.concatenate((g, held[:, None]), axis=1)
-                total = both if total is None else total + both
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int64()), pa.array(total.reshape(-1))], names=["i", "v"])
-
-    found = rows.mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+            for v, block in zip(batch.column("fold").to_pylist(), batch.column("block")):
+                sums = sums or _Sums(*shared.value)
+                a = np.frombuffer(block.as_buffer()).reshape(k + 1, -1)
+                sums.add(v, a[:-1], a[-1], scored)
+        if sums is not None:
+            total = np.concatenate((sums.gradients(), sums.held[:, None]), axis=1).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int64()), pa.array(total)], names=["i", "v"])
+
+    found = blocks.mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     shared.unpersist()
     width = nets.flat().shape[1] + 1
     out = np.zeros(len(nets.setting) * width)
@@ -191,14 +286,14 @@ def _pass(rows: DataFrame, nets: Nets, scales: Sequence[Scale], k: int, scored:
     return out[:, :-1], out[:, -1]
 
 
-def _train(rows, nets, moments, scales, settings, k, steps, done):
+def _train(blocks, nets, moments, scales, settings, k, steps, done):
     """``steps`` steps of Adam for all models."""
     n = np.array([scales[f].rows for f in nets.fold])[:, None]
     rate, alpha = (np.array([settings[i][c] for i in nets.setting])[:, None] for c in ("step", "alpha"))
     decayed = np.concatenate([np.full(p[0].size, c in ("w", "out")) for c, p in nets.parts.items()]) * 1.0
     first, second = moments
     for t in range(done + 1, done + steps + 1):
-        g = _pass(rows, nets, scales, k, scored=False)[0] / n + alpha * decayed * nets.flat() / n
+        g = _pass(blocks, nets, scales, k, scored=False)[0] / n + alpha * decayed * nets.flat() / n
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         nets = nets.with_flat(nets.flat() - rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8))
     return nets, (first, second)
@@ -249,11 +344,12 @@ def search_nets(df: DataFrame, y: str, x: Sequence[str], key: str, settings: Seq
         whole = whole & F.col(c).isNotNull()
     rows = df.where(whole).select((split_hash(key) % folds).alias("fold"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)],
                                   F.col(y).cast("double").alias("y"))
-    rows, _ = written(spread(rows, 1))  # a file to every core: each step reads them
+    rows, _ = written(rows)
     scales = fold_scales(rows, k, folds)
     if scales[folds] is None:
         raise ValueError("no row has all inputs and the target")
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    blocks, _ = written(packed(spread(rows, 1), k))  # a file to every core: each step reads them
     models = [f for f in range(folds + 1) if scales[f] is not None]
     nets = Nets.begin(settings, models, k, seed)
     moments = (np.zeros(nets.flat().shape), np.zeros(nets.flat().shape))
@@ -268,8 +364,8 @@ def search_nets(df: DataFrame, y: str, x: Sequence[str], key: str, settings: Seq
             moments = (np.array([r.first for r in order]), np.array([r.second for r in order]))
             rmse = np.array([np.nan if r.rmse is None else r.rmse for r in order])
         else:
-            nets, moments = _train(rows, nets, moments, scales, settings, k, steps, done)
-            sse = _pass(rows, nets, scales, k)[1]
+            nets, moments = _train(blocks, nets, moments, scales, settings, k, steps, done)
+            sse = _pass(blocks, nets, scales, k)[1]
             n = np.array([sizes.get(f, 0) for f in nets.fold.tolist()], dtype=float)
             rmse = np.sqrt(np.divide(sse, n, out=np.full(len(n), np.nan), where=n > 0))
             spark.createDataFrame(

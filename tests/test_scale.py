@@ -170,3 +170,27 @@ def test_subtrees_are_grown_by_many_tasks(spark):
     finally:
         I.cut_lineage = original
     assert seen[-1].columns == ["tree", "feature", "gain"] and _tasks(seen[-1]) > 4
+
+
+def test_network_steps_read_blocks_of_rows(spark):
+    rng = np.random.default_rng(6)
+    data = np.concatenate((rng.integers(0, 3, (700, 1)), rng.normal(5, 3, (700, 2)), rng.normal(40, 9, (700, 1))), axis=1)
+    rows = spark.createDataFrame([(int(f), float(a), float(b), float(y)) for f, a, b, y in data], "fold int, x0 double, x1 double, y double").coalesce(2)
+    blocks = N.packed(rows, 2, size=100).persist()
+    found = [(r.fold, np.frombuffer(bytes(r.block)).reshape(3, r.n)) for r in blocks.collect()]
+    assert max(b.shape[1] for _, b in found) == 100 and sum(b.shape[1] < 100 for _, b in found) <= 2 * 3
+    assert sorted((f, *r) for f, b in found for r in b.T) == sorted(tuple(r) for r in data)
+
+    scales = N.fold_scales(rows, 2, 3)
+    nets = N.Nets.begin([{"hidden": h, "alpha": 0.001, "step": 0.01} for h in (2, 5, 3)], [0, 1, 2, 3], 2, 7)
+    grads, held = N._pass(blocks, nets, scales, 2)
+    fold, x, y = data[:, 0], data[:, 1:3], data[:, 3]
+    for m, (g, sse) in enumerate(zip(grads, held)):  # by hand, each model on its own scale
+        s, p = scales[nets.fold[m]], {c: v[m] for c, v in nets.parts.items()}
+        z, t, train = (x - s.low) / s.width, (y - s.mean) / s.spread, fold != nets.fold[m]
+        act = z @ p["w"] + p["b"]
+        error = np.maximum(act, 0) @ p["out"] + p["bias"] - t
+        back = (error[:, None] * (act > 0) * p["out"])[train]
+        want = np.concatenate(((z[train].T @ back).reshape(-1), back.sum(axis=0), np.maximum(act, 0)[train].T @ error[train], [error[train].sum()]))
+        assert np.allclose(g, want, rtol=1e-9, atol=1e-9) and np.isclose(sse, (error[~train] ** 2).sum() * s.spread ** 2)
+    blocks.unpersist()
